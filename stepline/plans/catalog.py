@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from stepline.plans import metric_queries  # noqa: F401
+from stepline.plans import metric_queries, sample_queries  # noqa: F401
 from stepline.plans.registry import QUERIES, SQL  # noqa: F401

@@ -73,7 +73,7 @@ VIEWS = {
              ELSE 'go on '||k END AS reason, operation||'|'||(k%20) AS request, k FROM steps""",
     "verdicts": """SELECT DISTINCT user_id AS session, user_id%5<>0 AS judged_done FROM events""",
     "states": """SELECT 'd'||doc_id AS id, text AS state, source FROM documents UNION ALL
-        SELECT 'b'||item_id, upper(replace(text,' ','  ')), 'benchmark-copy' FROM benchmark""",
+        SELECT 'b'||item_id, translate(replace(text,' ','  '),'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'benchmark-copy' FROM benchmark""",
     "nodes": r"""SELECT page_id, url, pos, t[1] AS tag, t[2] AS raw FROM (
         SELECT page_id, url, generate_subscripts(m,1)-1 AS pos,
           [unnest(m), unnest(x)] AS t FROM (

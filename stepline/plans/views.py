@@ -170,6 +170,9 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return u.select(F.col("user_id").alias("session"), (F.col("user_id") % 5 != 0).alias("judged_done"))
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def states(spark: SparkSession, folder: str) -> DataFrame:
     """Training states: the documents, and re-spaced, re-cased copies of the benchmark items."""
     d = table(spark, folder, "documents").select(
@@ -177,7 +180,7 @@ def states(spark: SparkSession, folder: str) -> DataFrame:
     )
     b = table(spark, folder, "benchmark").select(
         F.concat(F.lit("b"), F.col("item_id")).alias("id"),
-        F.upper(F.regexp_replace("text", " ", "  ")).alias("state"),
+        F.translate(F.replace("text", F.lit(" "), F.lit("  ")), LOWER, LOWER.upper()).alias("state"),
         F.lit("benchmark-copy").alias("source"),
     )
     return d.unionByName(b)
