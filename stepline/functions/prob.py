@@ -12,6 +12,11 @@ SUM_TOLERANCE = 0.02
 SURE = 0.97  # fixed value: weight of the chosen option in a one-hot answer
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def extend(items: Column, **fields) -> Column:
     """Every struct of an array with further fields, each a function of the struct.
 
@@ -58,9 +63,8 @@ def expected_level(p: Column | str) -> Column:
 
 def softmax(z: Column | str, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(col(z))
-    e = F.transform(col(z), lambda x: F.exp((x - top) / t))
-    return F.transform(e, lambda x: x / total(e))
+    weights = let(F.array_max(col(z)), lambda top: F.transform(col(z), lambda x: F.exp((x - top) / t)))
+    return let(weights, lambda e: let(total(e), lambda mass: F.transform(e, lambda x: x / mass)))
 
 
 def log_loss(z: Column | str, gold: Column | str, temperature: float) -> Column:
@@ -85,9 +89,14 @@ def brier(p: Column | str, keys: Column | str, gold: Column | str) -> Column:
 
 def soft_align(keys: Column | str, soft: Column | str) -> Column:
     """A soft-label map in option order, scaled to sum 1; null when nothing is left."""
-    raw = F.transform(col(keys), lambda k: F.coalesce(F.try_element_at(col(soft), k), F.lit(0.0)))
-    mass = total(raw)
-    return F.when(mass > 0, F.transform(raw, lambda x: x / mass))
+
+    def aligned(m: Column) -> Column:
+        return F.transform(col(keys), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
+
+    def scaled(raw: Column) -> Column:
+        return let(total(raw), lambda mass: F.when(mass > 0, F.transform(raw, lambda x: x / mass)))
+
+    return let(col(soft), lambda m: let(aligned(m), scaled))
 
 
 def soft_mix(p: Column | str, gold: Column | str, mix: float) -> Column:

@@ -21,6 +21,11 @@ def norm_ws(s: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col(s), F.lit("")), SPACE, " "))
 
 
+def strip(s: Column | str) -> Column:
+    """White space, line breaks included, off both ends; null becomes ''."""
+    return F.regexp_replace(F.coalesce(col(s), F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def clip(s: Column | str, n: int = LABEL_CHARS) -> Column:
     """Normalised text of at most n characters; a cut is marked by an ellipsis."""
     t = norm_ws(s)
