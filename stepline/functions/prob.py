@@ -68,11 +68,18 @@ def softmax(z: Column | str, temperature: Column | float = 1.0) -> Column:
 
 
 def log_loss(z: Column | str, gold: Column | str, temperature: float) -> Column:
-    """Negative log softmax of the gold option (0-based) at a temperature."""
+    """Negative log softmax of the gold option (0-based) at a temperature.
+
+    ``z`` is already shifted so that its largest entry is 0 (see ``shifted``).
+    """
     t = F.lit(float(temperature))
-    top = F.array_max(col(z))
-    norm = F.aggregate(col(z), F.lit(0.0), lambda acc, x: acc + F.exp((x - top) / t))
-    return F.log(norm) - (F.element_at(col(z), col(gold) + 1) - top) / t
+    norm = F.aggregate(col(z), F.lit(0.0), lambda acc, x: acc + F.exp(x / t))
+    return F.log(norm) - F.element_at(col(z), col(gold) + 1) / t
+
+
+def shifted(z: Column | str) -> Column:
+    """Logits with their maximum at 0: the softmax stays the same and can not overflow."""
+    return let(F.array_max(col(z)), lambda top: F.transform(col(z), lambda x: x - top))
 
 
 def dot_score(a: Column | str, b: Column | str) -> Column:

@@ -235,6 +235,7 @@ def threshold_counts(rows: DataFrame, p: str, gold_done: str, thresholds: Sequen
 
 def nll_at(rows: DataFrame, z: str, gold: str, temperatures: Sequence[float]) -> DataFrame:
     """Mean negative log-likelihood at several temperatures, all in one pass."""
+    rows = rows.select(prob.shifted(z).alias(z), gold)
     means = rows.agg(*[F.avg(prob.log_loss(z, gold, t)).alias(f"t{i}") for i, t in enumerate(temperatures)])
     pairs = F.array(
         *[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("nll")) for i, t in enumerate(temperatures)]
@@ -246,11 +247,11 @@ def nll_at(rows: DataFrame, z: str, gold: str, temperatures: Sequence[float]) ->
 T_LOW, T_HIGH, T_DIGITS = 0.3, 5.0, 4
 
 
-def fit_temperature(rows: DataFrame, z: str, gold: str, points: int = 33, rounds: int = 5) -> float:
+def fit_temperature(rows: DataFrame, z: str, gold: str, points: int = 9, rounds: int = 10) -> float:
     """The temperature of least negative log-likelihood.
 
     The loss has a single minimum, so each pass evaluates a grid and keeps the cells around
-    the best point; five passes narrow the bracket below the printed precision.
+    the best point; ten passes narrow the bracket below the printed precision.
     """
     lo, hi = T_LOW, T_HIGH
     for _ in range(rounds):

@@ -184,3 +184,22 @@ def states(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("benchmark-copy").alias("source"),
     )
     return d.unionByName(b)
+
+
+FLAT_TAGS = r"<(a|p|li|h1)(?:\s[^>]*)?>([^<]*)"
+
+
+def flat_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat tags of each page with their text, and a nested interval derived from their place."""
+    from stepline.functions.text import clip
+
+    p = table(spark, folder, "pages")
+    found = F.arrays_zip(
+        F.regexp_extract_all("html", F.lit(FLAT_TAGS), F.lit(1)).alias("tag"),
+        F.regexp_extract_all("html", F.lit(FLAT_TAGS), F.lit(2)).alias("raw"),
+    )
+    n = p.select("page_id", "url", F.posexplode(found).alias("pre", "t")).select("page_id", "url", F.col("pre").cast("long").alias("pre"), "t.tag", "t.raw")
+    pre = F.col("pre")
+    size = F.when(pre % 8 == 0, 8).when(pre % 4 == 0, 4).when(pre % 2 == 0, 2).otherwise(1)
+    parent = F.when(pre % 2 == 1, pre - 1).when(pre % 4 == 2, pre - 2).when(pre % 8 == 4, pre - 4)
+    return n.withColumns({"last": pre + size - 1, "parent": parent, "label": clip("raw")})
