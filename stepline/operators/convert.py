@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepline.functions.actions import first_failure
 from stepline.functions.hashing import keyed, uniform, uniform_int
 from stepline.operators.ordering import first_per_group
+from stepline.operators.pages import with_gold_operation
 from stepline.operators.sampling import weighted_sample
 
 # fixed values: what each operation is called in a question
@@ -26,7 +28,9 @@ OPERATION_TEXT = {
     "DONE": "Every requirement is visibly satisfied.",
     "BLOCKED": "No supported operation can progress.",
 }
+TARGET_OPERATIONS = ["CLICK", "TYPE_TEXT", "SELECT"]
 MAX_SELECT_OPTIONS = 60
+ENTRY_TYPE = "struct<op:string,key:string,element:string,gold:boolean,current_value:string,target_role:string>"
 P_SCROLL_DOWN, P_SCROLL_UP = 0.8, 0.3
 K_MIN, K_MAX = 8, 40
 
@@ -81,7 +85,10 @@ def target_entries(elements: DataFrame, wanted: Column | None = None) -> DataFra
     """
     can = lambda op: F.array_contains("operations", op)
     text = lambda label: shown_element(F.col("index"), label)
-    one = lambda op, key, shown, gold: F.struct(F.lit(op).alias("op"), key.alias("key"), shown.alias("element"), gold.alias("gold"))
+    have = lambda c, other: F.coalesce(F.col(c), F.lit("")) if c in elements.columns else F.lit(other)
+    one = lambda op, key, shown, gold: F.struct(
+        F.lit(op).alias("op"), key.alias("key"), shown.alias("element"), gold.alias("gold"), have("value", "").alias("current_value"), have("role", "").alias("target_role")
+    )
     index = F.col("index").cast("string")
     gold = F.col("is_gold")
     click_label = F.when(can("TYPE_TEXT"), F.concat(F.lit("Open "), F.col("label"))).otherwise(F.col("label"))
@@ -101,23 +108,29 @@ def target_entries(elements: DataFrame, wanted: Column | None = None) -> DataFra
                 text(F.concat(F.col("label"), F.lit(" → "), o["label"])), is_wanted(o),
             ),
         )
-        plain = F.concat(plain, F.coalesce(options, F.expr("array()").cast("array<struct<op:string,key:string,element:string,gold:boolean>>")))
+        plain = F.concat(plain, F.coalesce(options, F.expr("array()").cast(f"array<{ENTRY_TYPE}>")))
     return elements.withColumn("_t", F.explode(plain)).drop("op").select("*", "_t.*").drop("_t")
 
 
 def criteria_by_operation(targets: DataFrame, step: Sequence[str]) -> DataFrame:
-    """Per step: operation → map of target key to element text, in index order, and the gold key per operation."""
+    """Per step: operation → map of target key to its description, in index order, and the gold key per operation."""
+    j = F.coalesce(F.split_part("key", F.lit(":"), F.lit(2)).try_cast("int"), F.lit(0))
+    shown = F.struct("element", "current_value", F.col("target_role").alias("role"))
     per = targets.groupBy(*step, "op").agg(
         F.map_from_entries(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("index", F.coalesce(F.split_part("key", F.lit(":"), F.lit(2)).try_cast("int"), F.lit(0)).alias("j"), "key", "element"))),
-                lambda x: F.struct(x["key"], x["element"]),
+                F.array_sort(F.collect_list(F.struct("index", j.alias("j"), "key", shown.alias("shown")))),
+                lambda x: F.struct(x["key"], x["shown"]),
             )
         ).alias("criteria"),
-        F.min_by(F.when(F.col("gold"), F.col("key")), F.when(F.col("gold"), F.struct("index", "key"))).alias("gold_key"),
+        F.min_by(F.when(F.col("gold"), F.col("key")), F.when(F.col("gold"), F.struct("index", j))).alias("gold_key"),
+    )
+    golds = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("gold_key").isNotNull(), F.struct("op", "gold_key")))))
+    # the criteria maps have no order of their own: one map per operation column
+    ops = {f"criteria_{o.lower()}": F.max_by("criteria", F.when(F.col("op") == o, F.lit(1))) for o in TARGET_OPERATIONS}
+    return per.groupBy(*step).agg(
+        *[v.alias(k) for k, v in ops.items()], golds.alias("gold_keys"), F.array_sort(F.collect_set("op")).alias("present")
     )
-    entry = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct("op", v))))
-    return per.groupBy(*step).agg(entry("criteria").alias("criteria"), entry("gold_key").alias("gold_keys"))
 
 
 def operation_menu(present: Column, seed: str, key: Sequence[str], fixed_scroll: bool = False, scrolled: Column | None = None) -> Column:
@@ -142,26 +155,106 @@ def operation_criteria(menu: Column) -> Column:
     return F.map_from_arrays(menu, F.transform(menu, lambda o: F.try_element_at(words, o)))
 
 
-def assemble(step: DataFrame) -> DataFrame:
-    """request and labels as JSON of a step with goal, op, page, elements, history, menu, criteria and gold_keys."""
+def assemble(step: DataFrame, op_rules: str = "", target_rules: str = "") -> DataFrame:
+    """request and labels as JSON of a step with goal, op, page, elements, history, menu, criteria and gold_keys.
+
+    The wording of the rules that go with each question is the caller's.
+    """
     op = F.col("op")
     qid = F.concat(F.lower(op), F.lit("_target"))
     target = F.try_element_at("gold_keys", op)
+    goal = F.col("goal").alias("goal")
     op_q = F.struct(
-        F.lit("choice").alias("type"), operation_criteria(F.col("menu")).alias("criteria"), F.struct(F.col("goal")).alias("instructions")
+        F.lit("choice").alias("type"),
+        operation_criteria(F.col("menu")).alias("criteria"),
+        F.struct(goal, F.lit(op_rules).alias("rules")).alias("instructions"),
     )
+    criteria = F.when(op == "CLICK", F.col("criteria_click")).when(op == "TYPE_TEXT", F.col("criteria_type_text")).otherwise(F.col("criteria_select"))
+    rules = F.array(F.lit(op_rules), F.lit(target_rules))
     t_q = F.struct(
-        F.lit("choice").alias("type"), F.try_element_at("criteria", op).alias("criteria"), F.struct(F.col("goal")).alias("instructions")
+        F.lit("choice").alias("type"), criteria.alias("criteria"), F.struct(goal, op.alias("operation"), rules.alias("rules")).alias("instructions")
     )
     state = F.struct(
         F.struct("url", "title", F.col("page_text").alias("text")).alias("page"), "elements", F.col("history").alias("recent_actions")
     )
-    questions = F.when(
-        target.isNotNull(), F.map_from_arrays(F.array(F.lit("operation"), qid), F.array(op_q, t_q))
-    ).otherwise(F.map_from_arrays(F.array(F.lit("operation")), F.array(op_q)))
-    labels = F.when(target.isNotNull(), F.map_from_arrays(F.array(F.lit("operation"), qid), F.array(op, target))).otherwise(
-        F.map_from_arrays(F.array(F.lit("operation")), F.array(op))
+    has = target.isNotNull()
+    questions = F.concat(
+        F.lit('{"operation":'), F.to_json(op_q), F.when(has, F.concat(F.lit(',"'), qid, F.lit('":'), F.to_json(t_q))).otherwise(""), F.lit("}")
+    )
+    labels = F.concat(
+        F.lit('{"operation":"'), op, F.lit('"'), F.when(has, F.concat(F.lit(',"'), qid, F.lit('":"'), target, F.lit('"'))).otherwise(""), F.lit("}")
+    )
+    request = F.concat(F.lit('{"state":'), F.to_json(state), F.lit(',"questions":'), questions, F.lit("}"))
+    return step.withColumn("request", request).withColumn("labels", labels).withColumn("has_target", has)
+
+
+def convert_steps(
+    nodes: DataFrame, steps: DataFrame, seed: str = "0", k_min: int = K_MIN, k_max: int = K_MAX, need_candidates: bool = True, from_tree: bool = False
+) -> DataFrame:
+    """Every step with its request and labels, or the reason why there is none.
+
+    nodes   described elements: page_id, pre, last, tag, role, label, value, operations,
+            options, candidate, weight, hidden
+    steps   step_id, page_id, gold (pre, null for an operation without target), hit (the node
+            acted on), op, wanted, goal, url, title, page_text, history, skip_reason (set by
+            earlier rules)
+    """
+    has_gold = F.col("gold").isNotNull()
+    about = nodes.select("page_id", F.col("pre").alias("gold"), F.col("last").alias("gold_last"), F.col("label").alias("gold_label"), F.col("tag").alias("gold_tag"), F.col("hidden").alias("gold_hidden"))
+    s = steps.join(about, ["page_id", "gold"], "left")
+    reason = first_failure(
+        [
+            (F.col("skip_reason").isNotNull(), F.col("skip_reason")),
+            (has_gold & (F.col("op") == "SELECT") & (F.col("gold_tag") != "select"), "select_not_a_select"),
+            (has_gold & F.coalesce("gold_hidden", F.lit(False)), "gold_hidden"),
+        ]
+    )
+    s = s.withColumn("skip_reason", reason)
+    live = s.filter("skip_reason is null")
+    wide = ["step_id", "page_id", "pre", "tag", "role", "label", "value", "operations", "options", "weight"]
+    key = live.select("step_id", "page_id", "gold", "gold_last", F.coalesce("gold_label", F.lit("\0")).alias("gold_label"), "hit")
+    near = nodes.filter("candidate").join(key, "page_id")
+    pre = F.col("pre")
+    own = F.coalesce(
+        pre.between(F.col("gold"), F.col("gold_last")) | F.col("gold").between(pre, F.col("last")) | (pre == F.col("hit")), F.lit(False)
+    )
+    negatives = unique_labels(near.filter(~own), ["step_id"]).select(*wide)
+    n_neg = negatives.groupBy("step_id").agg(F.count("*").alias("n_neg"))
+    gold_rows = nodes.join(key.select("step_id", "page_id", F.col("gold").alias("pre")), ["page_id", "pre"]).select(*wide)
+    off = offered(negatives, gold_rows, ["step_id"], seed, k_min, k_max)
+    act = live.select("step_id", F.col("op").alias("gold_op"), "wanted")
+    off = off.join(act, "step_id").withColumn("operations", with_gold_operation(F.col("operations"), F.when(F.col("is_gold"), F.col("gold_op"))))
+    off = off.withColumn("options", capped_select_options(F.col("options"), F.col("is_gold"), F.col("wanted"), seed, "step_id", "pre"))
+    targets = target_entries(off, F.col("wanted"))
+    criteria = criteria_by_operation(targets, ["step_id"])
+    shown_options = F.transform(
+        "options", lambda o: F.struct(F.concat_ws(":", "index", o["j"]).alias("index"), F.concat("label", F.lit(" → "), o["label"]).alias("label"), o["value"].alias("value"))
+    )
+    element = F.struct(
+        "role", "label", "value", F.col("index").cast("string").alias("index"), "operations",
+        F.when(F.array_contains("operations", "SELECT"), shown_options).alias("options"),
+    )
+    elements = off.groupBy("step_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("index").alias("at"), element.alias("e")))), lambda x: x["e"]).alias("elements"),
+        F.count("*").alias("k"),
     )
-    return step.withColumn("request", F.to_json(F.struct(state.alias("state"), questions.alias("questions")))).withColumn(
-        "labels", F.to_json(labels)
+    j = s.join(n_neg, "step_id", "left").join(criteria, "step_id", "left").join(elements, "step_id", "left")
+    scrolled = F.exists("history", lambda h: h["action"] == "Scroll down") | (F.col("op") == "SCROLL_UP")
+    menu = operation_menu(F.coalesce("present", F.array().cast("array<string>")), seed, ["step_id"], from_tree, F.coalesce(scrolled, F.lit(False)))
+    j = j.withColumn("menu", menu)
+    targeted = F.col("op").isin(*TARGET_OPERATIONS)
+    late = first_failure(
+        [
+            (F.col("skip_reason").isNotNull(), F.col("skip_reason")),
+            (F.lit(need_candidates) & (F.coalesce("n_neg", F.lit(0)) < k_min - 1), "too_few_candidates"),
+            (F.coalesce("k", F.lit(0)) == 0, "no_elements"),
+            (targeted & F.lit(need_candidates) & F.try_element_at("gold_keys", F.col("op")).isNull(), F.when(F.col("op") == "SELECT", "select_option_not_found").otherwise("no_target")),
+            (~F.array_contains("menu", F.col("op")), F.concat(F.lit("op_not_offered:"), F.col("op"))),
+        ]
     )
+    done = assemble(j.withColumn("skip_reason", late))
+    keep = F.col("skip_reason").isNull()
+    return done.select(
+        *[c for c in steps.columns if c not in ("skip_reason", "page_text", "history")], "gold_label", "skip_reason",
+        *[F.when(keep, F.col(c)).alias(c) for c in ("request", "labels", "k", "has_target")],
+    )

@@ -32,7 +32,11 @@ def lookup(mapping: dict[str, str], c: Column) -> Column:
 
 
 def steps(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
+    return steps_of(table(spark, folder, "events"))
+
+
+def steps_of(e: DataFrame) -> DataFrame:
+    """Decision steps of an events relation, batch or streaming."""
     return e.select(
         F.col("event_id").alias("step_id"),
         F.col("user_id").alias("session"),
@@ -150,7 +154,10 @@ def episodes(spark: SparkSession, folder: str) -> DataFrame:
 
 def decisions(spark: SparkSession, folder: str) -> DataFrame:
     """The decision log: steps with a reason and a request signature."""
-    s = steps(spark, folder)
+    return decisions_of(steps(spark, folder))
+
+
+def decisions_of(s: DataFrame) -> DataFrame:
     return s.select(
         "step_id",
         "session",
