@@ -109,7 +109,7 @@ def target_entries(elements: DataFrame, wanted: Column | None = None) -> DataFra
             ),
         )
         plain = F.concat(plain, F.coalesce(options, F.expr("array()").cast(f"array<{ENTRY_TYPE}>")))
-    return elements.withColumn("_t", F.explode(plain)).drop("op").select("*", "_t.*").drop("_t")
+    return elements.withColumn("_t", F.explode_outer(plain)).filter("_t is not null").drop("op").select("*", "_t.*").drop("_t")
 
 
 def criteria_by_operation(targets: DataFrame, step: Sequence[str]) -> DataFrame:

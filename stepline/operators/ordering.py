@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepline.functions.hashing import unit
 
 ACCURACY = 100_000
+MAX_CUTS = 2048
 
 
 def range_count(df: DataFrame) -> int:
@@ -28,12 +30,19 @@ def hash_range(hexes: Column, ranges: int) -> Column:
 
 
 def value_range(df: DataFrame, column: str, ranges: int) -> DataFrame:
-    """Adds ``_range`` by equal-width cuts of a whole-number column between its ends."""
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
-    if lo is None:
+    """Adds ``_range`` by cuts of a whole-number column that hold about equally many rows.
+
+    The cuts come from a quantile sketch, so clustered values do not end up in one range.
+    """
+    n = min(ranges, MAX_CUTS)
+    points = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), points, 10 * n)).first()[0] if n > 1 else []
+    if not cuts:
         return df.withColumn("_range", F.lit(0))
-    width = (hi - lo + 1) / ranges
-    return df.withColumn("_range", F.floor((F.col(column) - lo) / width).cast("int"))
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    numbered = df.withColumn("_value", F.col(column).cast("double"))
+    placed = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket").transform(numbered)
+    return placed.withColumn("_range", F.col("_bucket").cast("int")).drop("_value", "_bucket")
 
 
 def add_totals_before(df: DataFrame, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:

@@ -34,16 +34,19 @@ def cut_fraction(df: DataFrame, hexes: Column, tie: str, fraction: float) -> Dat
 def stratified(df: DataFrame, group: str, hexes: Column, tie: str, n: int) -> DataFrame:
     """n rows spread over the groups, one per group and pass, groups in sorted order.
 
-    No group can give more than n rows, so each is first reduced to n survivors. With
-    ``_rn`` rows per pass counted, the pass in which n is reached is known, and only that
-    pass is cut by group order.
+    No group can give more than n rows, so each is first reduced to n survivors. The rows
+    per pass are counted, which tells the pass in which n is reached; only that pass is cut
+    by group order, all earlier ones are taken whole.
     """
     ranked = first_per_group(df, [group], [hexes, F.col(tie)], n)
     per_pass = ranked.groupBy("_rn").agg(F.count("*").alias("_c"))  # at most n rows
-    w = Window.orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_pass.select("_rn", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before")).filter(F.col("_before") < n)
-    placed = ranked.join(before, "_rn").withColumn("_in", F.row_number().over(Window.partitionBy("_rn").orderBy(group)))
-    return placed.filter(F.col("_before") + F.col("_in") <= n).drop("_before", "_in")
+    up_to = per_pass.withColumn("_upto", F.sum("_c").over(Window.orderBy("_rn")))
+    cut = up_to.filter(F.col("_upto") >= n).agg(F.min(F.struct("_rn", "_upto", "_c")).alias("x")).first()["x"]
+    if cut is None:
+        return ranked
+    whole = ranked.filter(F.col("_rn") < cut["_rn"])
+    last = ranked.filter(F.col("_rn") == cut["_rn"]).orderBy(group).limit(n - (cut["_upto"] - cut["_c"]))
+    return whole.unionByName(last)
 
 
 def keep_class_and_fill(df: DataFrame, is_rare: Column, hexes: Column, tie: str, cap: int) -> DataFrame:

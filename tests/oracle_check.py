@@ -15,6 +15,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -49,6 +51,10 @@ def compare(spark, folder: str, run, sql: str | None) -> tuple[bool, str]:
     if sql is None:
         return True, f"rows only: {len(got)} rows, {spent:.1f}s"
     con = connect(folder)
+    kinds = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    odd = [(c, t, kinds.get(c)) for c, t in df.dtypes if KINDS.get(t, t) != kinds.get(c)]
+    if odd:
+        return False, f"types (column, spark, sql): {odd}"
     cur = con.execute(sql)
     ocols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     con.close()
