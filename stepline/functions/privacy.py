@@ -6,6 +6,8 @@ with two control characters and cuts there, so places follow from the lengths of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,17 @@ POLICY = {
     "name": "typed: replace with a fixed placeholder name (e.g. Alex Doe) in recent_actions and element values",
     "*_from_goal": "keep: the value is part of the task's own goal",
 }
+# fixed values: a cheap sign without which a detector can not match at all
+SIGNS = {
+    EMAIL: r"@",
+    PHONE: r"\p{Nd}{3}[-.]\p{Nd}{4}|\+\p{Nd}",
+    CARD: r"\p{Nd}{4}[ -]?\p{Nd}{4}",
+    SSN: r"\p{Nd}-\p{Nd}{2}-\p{Nd}",
+    URL_SECRET: r"[?&#][A-Za-z_]+=",
+}
+SECRET_STARTS = ["AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "hf_", "xox", "AIza", "eyJ", "-----BEGIN"]
+NUMBER_SIGN = r"\p{Nd}{2}"
+SPAN_TYPE = "array<struct<start:int,end:int,text:string>>"
 MARK_OPEN, MARK_CLOSE = "\u0001", "\u0002"
 CONTEXT_WIDTH = 30
 
@@ -104,6 +117,38 @@ def spans(text: Column, pattern: str, replacement: str = MARK_OPEN + "$0" + MARK
     return let(pieces, places)
 
 
+def no_spans() -> Column:
+    return F.array().cast(SPAN_TYPE)
+
+
+def may_hold(text: Column, pattern: str) -> Column:
+    """Whether a text shows the sign of a detector: most texts do not, and skip the full pattern."""
+    if pattern == SECRET:
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in SECRET_STARTS])
+    sign = SIGNS[pattern]
+    return F.contains(text, F.lit(sign)) if sign == "@" else text.rlike(sign)
+
+
+def detect(text: Column, pattern: str, replacement: str = MARK_OPEN + "$0" + MARK_CLOSE) -> Column:
+    """``spans`` of a detector, behind its sign."""
+    return F.when(may_hold(text, pattern), spans(text, pattern, replacement)).otherwise(no_spans())
+
+
+def find_numbers(text: Column) -> Column:
+    """Card and social security numbers: array<struct<category,start,end,text>>."""
+    ssn = F.filter(detect(text, SSN), lambda s: ~before(text, s["start"], 30).rlike(NOT_SSN))
+    card = F.filter(detect(text, CARD), lambda s: is_card(text, s))
+    found = F.concat(_tagged("ssn", ssn), _tagged("card", card))
+    return F.when(text.rlike(NUMBER_SIGN), found).otherwise(_tagged("card", no_spans()))
+
+
+def _tagged(category: str, found: Column) -> Column:
+    return F.transform(
+        found,
+        lambda s: F.struct(F.lit(category).alias("category"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")),
+    )
+
+
 def before(text: Column, start: Column, width: int) -> Column:
     at = F.greatest(F.lit(0), start - width)
     return F.substring(text, at + 1, start - at)
@@ -126,20 +171,14 @@ def is_card(text: Column, span: Column) -> Column:
 def find(text: Column, in_url: Column | bool = False) -> Column:
     """All findings of a text: array<struct<category,start,end,text>>."""
     url = in_url if isinstance(in_url, Column) else F.lit(in_url)
-    tag = lambda name, arr: F.transform(
-        arr, lambda s: F.struct(F.lit(name).alias("category"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
-    )
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    ssn = F.filter(spans(text, SSN), lambda s: ~before(text, s["start"], 30).rlike(NOT_SSN))
-    card = F.when(~url, F.filter(spans(text, CARD), lambda s: is_card(text, s))).otherwise(none)
-    url_secret = F.when(url, spans(text, URL_SECRET, "$1" + MARK_OPEN + "$2" + MARK_CLOSE)).otherwise(none)
+    numbers = F.when(url, F.filter(find_numbers(text), lambda s: s["category"] != "card")).otherwise(find_numbers(text))
+    url_secret = F.when(url, detect(text, URL_SECRET, "$1" + MARK_OPEN + "$2" + MARK_CLOSE)).otherwise(no_spans())
     return F.concat(
-        tag("email", spans(text, EMAIL)),
-        tag("phone", spans(text, PHONE)),
-        tag("ssn", ssn),
-        tag("card", card),
-        tag("secret", spans(text, SECRET)),
-        tag("secret", url_secret),
+        _tagged("email", detect(text, EMAIL)),
+        _tagged("phone", F.when(text.rlike(NUMBER_SIGN), detect(text, PHONE)).otherwise(no_spans())),
+        numbers,
+        _tagged("secret", detect(text, SECRET)),
+        _tagged("secret", url_secret),
     )
 
 
@@ -151,14 +190,14 @@ def is_name(text: Column | str, first_names: list[str]) -> Column:
 
 def redact_free(text: Column, goal: Column) -> Column:
     """Secrets, URL credentials and e-mail addresses out of any text; addresses the goal names stay."""
-    t = F.regexp_replace(text, SECRET, REDACTED)
-    t = F.regexp_replace(t, URL_SECRET, "$1" + REDACTED)
+    t = F.when(may_hold(text, SECRET), F.regexp_replace(text, SECRET, REDACTED)).otherwise(text)
+    secret_free = lambda c: F.when(may_hold(c, URL_SECRET), F.regexp_replace(c, URL_SECRET, "$1" + REDACTED)).otherwise(c)
     kept = lambda s: F.contains(goal, F.lower(s["text"])) | (s["text"] == EMAIL_STAND_IN)
 
     def rebuilt(v: Column) -> Column:
         # pieces between the matches, with each match kept or replaced
         return let(
-            spans(v, EMAIL),
+            detect(v, EMAIL),
             lambda sp: F.when(F.size(sp) == 0, v).otherwise(
                 F.concat(
                     F.array_join(
@@ -179,7 +218,7 @@ def redact_free(text: Column, goal: Column) -> Column:
             ),
         )
 
-    return let(t, rebuilt)
+    return let(let(t, secret_free), rebuilt)
 
 
 def replace_all(text: Column, pairs: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from stepline.functions.actions import first_failure
 from stepline.functions.hashing import keyed, uniform, uniform_int
+from stepline.functions.text import norm_ws
 from stepline.operators.ordering import first_per_group
 from stepline.operators.pages import with_gold_operation
-from stepline.operators.sampling import weighted_sample
 
 # fixed values: what each operation is called in a question
 OPERATION_TEXT = {
@@ -35,23 +35,36 @@ P_SCROLL_DOWN, P_SCROLL_UP = 0.8, 0.3
 K_MIN, K_MAX = 8, 40
 
 
-def unique_labels(candidates: DataFrame, step: Sequence[str], gold_label: str = "gold_label") -> DataFrame:
-    """Negatives with a label of their own: the first of equal labels, and none like the gold's."""
-    label = F.lower("label")
-    rest = candidates.filter(label != F.lower(gold_label))
-    return first_per_group(rest, [*step, label], [F.col("pre")]).drop("_rn")
+def near_gold(nodes: DataFrame, steps: DataFrame) -> DataFrame:
+    """Per step: its gold node, and the candidates of its page that are no kin of it.
 
+    ``steps``: step columns, page_id, gold, gold_last, hit. Everything that follows works
+    per step, so the rows are laid out by step once.
+    """
+    pre = F.col("pre")
+    is_gold = F.coalesce(pre == F.col("gold"), F.lit(False))
+    kin = pre.between(F.col("gold"), F.col("gold_last")) | F.col("gold").between(pre, F.col("last")) | (pre == F.col("hit"))
+    near = nodes.join(steps, "page_id").withColumn("is_gold", is_gold)
+    return near.filter(F.col("is_gold") | (F.col("candidate") & ~F.coalesce(kin, F.lit(False))))
+
+
+def unique_labels(rows: DataFrame, step: Sequence[str]) -> DataFrame:
+    """Rows with a label of their own within the step: the gold's wins, else the first in page order."""
+    return first_per_group(rows, [*step, F.lower("label")], [F.desc("is_gold"), F.col("pre")]).drop("_rn")
 
-def offered(negatives: DataFrame, gold: DataFrame, step: Sequence[str], seed: int | str, k_min: int = K_MIN, k_max: int = K_MAX) -> DataFrame:
-    """Gold plus k - 1 negatives drawn by weight, in a keyed order, with a 1-based ``index``.
 
-    Both sides carry the step columns, pre, and ``weight``; k is drawn per step.
+def offered(rows: DataFrame, step: Sequence[str], seed: int | str, k_min: int = K_MIN, k_max: int = K_MAX) -> DataFrame:
+    """k elements per step, the gold among them, others drawn by weight; numbered by a keyed order.
+
+    Adds ``index`` (from 1) and ``n_negatives``, the candidates there were to draw from.
     """
     k = uniform_int(f"{seed}-k", k_min, k_max, *step)
-    drawn = weighted_sample(negatives, step, F.col("weight"), uniform(f"{seed}-draw", *step, "pre"), "pre", k - 1)
-    both = drawn.withColumn("is_gold", F.lit(False)).unionByName(gold.withColumn("is_gold", F.lit(True)), allowMissingColumns=True)
-    w = Window.partitionBy(*step).orderBy(keyed(f"{seed}-order", *step, "pre"), "pre")
-    return both.withColumn("index", F.row_number().over(w))
+    draw = F.pow(uniform(f"{seed}-draw", *step, "pre"), F.lit(1.0) / F.col("weight"))
+    drawn = Window.partitionBy(*step).orderBy(F.desc("is_gold"), draw.desc(), "pre")
+    every = Window.partitionBy(*step)
+    placed = rows.withColumn("_at", F.row_number().over(drawn)).withColumn("n_negatives", F.count_if(~F.col("is_gold")).over(every))
+    order = Window.partitionBy(*step).orderBy(keyed(f"{seed}-order", *step, "pre"), "pre")
+    return placed.filter(F.col("_at") <= k).drop("_at").withColumn("index", F.row_number().over(order))
 
 
 def capped_select_options(options: Column, is_gold: Column, wanted: Column, seed: str, *key: str) -> Column:
@@ -77,60 +90,53 @@ def shown_element(index: Column, label: Column) -> Column:
     return F.concat(F.lit("["), index.cast("string"), F.lit("] "), label)
 
 
-def target_entries(elements: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """One row per (element, operation[, option]) that can be a target: op, key, element text, is the gold.
+def element_targets(e: Column, wanted: Column, with_options: bool = True) -> Column:
+    """What an element can be the target of: array of entries, typing, clicking, then its options.
 
     A click on an editable field reads "Open <label>"; a dropdown offers its options as
-    ``index:j``.
+    ``index:j``, and the gold's wanted option is the gold target.
     """
-    can = lambda op: F.array_contains("operations", op)
-    text = lambda label: shown_element(F.col("index"), label)
-    have = lambda c, other: F.coalesce(F.col(c), F.lit("")) if c in elements.columns else F.lit(other)
-    one = lambda op, key, shown, gold: F.struct(
-        F.lit(op).alias("op"), key.alias("key"), shown.alias("element"), gold.alias("gold"), have("value", "").alias("current_value"), have("role", "").alias("target_role")
-    )
-    index = F.col("index").cast("string")
-    gold = F.col("is_gold")
-    click_label = F.when(can("TYPE_TEXT"), F.concat(F.lit("Open "), F.col("label"))).otherwise(F.col("label"))
+    can = lambda op: F.array_contains(e["operations"], op)
+    index = e["index"].cast("string")
+
+    def one(op: str, key: Column, label: Column, gold: Column) -> Column:
+        return F.struct(
+            F.lit(op).alias("op"), key.alias("key"), shown_element(e["index"], label).alias("element"), gold.alias("gold"),
+            F.coalesce(e["value"], F.lit("")).alias("current_value"), F.coalesce(e["role"], F.lit("")).alias("target_role"),
+        )
+
+    click_label = F.when(can("TYPE_TEXT"), F.concat(F.lit("Open "), e["label"])).otherwise(e["label"])
     plain = F.array_compact(
         F.array(
-            F.when(can("TYPE_TEXT"), one("TYPE_TEXT", index, text(F.col("label")), gold)),
-            F.when(can("CLICK"), one("CLICK", index, text(click_label), gold)),
+            F.when(can("TYPE_TEXT"), one("TYPE_TEXT", index, e["label"], e["is_gold"])),
+            F.when(can("CLICK"), one("CLICK", index, click_label, e["is_gold"])),
         )
     )
-    if "options" in elements.columns:
-        w = F.lower(F.trim(F.regexp_replace(F.coalesce(wanted, F.lit("")), r"(?U)\s+", " ")))
-        is_wanted = lambda o: gold & (w != "") & ((F.lower(o["label"]) == w) | (F.lower(F.coalesce(o["value"], F.lit(""))) == w))
-        options = F.transform(
-            F.when(can("SELECT"), F.col("options")).otherwise(F.expr("array()").cast(elements.schema["options"].dataType)),
-            lambda o: one(
-                "SELECT", F.concat(index, F.lit(":"), o["j"].cast("string")),
-                text(F.concat(F.col("label"), F.lit(" → "), o["label"])), is_wanted(o),
-            ),
-        )
-        plain = F.concat(plain, F.coalesce(options, F.expr("array()").cast(f"array<{ENTRY_TYPE}>")))
-    return elements.withColumn("_t", F.explode_outer(plain)).filter("_t is not null").drop("op").select("*", "_t.*").drop("_t")
-
-
-def criteria_by_operation(targets: DataFrame, step: Sequence[str]) -> DataFrame:
-    """Per step: operation → map of target key to its description, in index order, and the gold key per operation."""
-    j = F.coalesce(F.split_part("key", F.lit(":"), F.lit(2)).try_cast("int"), F.lit(0))
-    shown = F.struct("element", "current_value", F.col("target_role").alias("role"))
-    per = targets.groupBy(*step, "op").agg(
-        F.map_from_entries(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("index", j.alias("j"), "key", shown.alias("shown")))),
-                lambda x: F.struct(x["key"], x["shown"]),
-            )
-        ).alias("criteria"),
-        F.min_by(F.when(F.col("gold"), F.col("key")), F.when(F.col("gold"), F.struct("index", j))).alias("gold_key"),
-    )
-    golds = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("gold_key").isNotNull(), F.struct("op", "gold_key")))))
-    # the criteria maps have no order of their own: one map per operation column
-    ops = {f"criteria_{o.lower()}": F.max_by("criteria", F.when(F.col("op") == o, F.lit(1))) for o in TARGET_OPERATIONS}
-    return per.groupBy(*step).agg(
-        *[v.alias(k) for k, v in ops.items()], golds.alias("gold_keys"), F.array_sort(F.collect_set("op")).alias("present")
+    if not with_options:
+        return plain
+    w = F.lower(norm_ws(wanted))
+    options = F.transform(
+        e["options"],
+        lambda o: one(
+            "SELECT",
+            F.concat(index, F.lit(":"), o["j"].cast("string")),
+            F.concat(e["label"], F.lit(" → "), o["label"]),
+            e["is_gold"] & (w != "") & ((F.lower(norm_ws(o["label"])) == w) | (F.lower(norm_ws(o["value"])) == w)),
+        ),
     )
+    return F.when(can("SELECT"), F.concat(plain, options)).otherwise(plain)
+
+
+def criteria_of(entries: Column, op: str) -> Column:
+    """Map of target key to its description for one operation, in element order; null without targets."""
+    mine = F.filter(entries, lambda t: t["op"] == op)
+    described = lambda t: F.struct(t["element"].alias("element"), t["current_value"].alias("current_value"), t["target_role"].alias("role"))
+    return F.when(F.size(mine) > 0, F.map_from_entries(F.transform(mine, lambda t: F.struct(t["key"], described(t)))))
+
+
+def gold_target(entries: Column, op: Column) -> Column:
+    """Key of the first gold target of an operation."""
+    return F.try_element_at(F.filter(entries, lambda t: t["gold"] & (t["op"] == op)), F.lit(1))["key"]
 
 
 def operation_menu(present: Column, seed: str, key: Sequence[str], fixed_scroll: bool = False, scrolled: Column | None = None) -> Column:
@@ -156,13 +162,13 @@ def operation_criteria(menu: Column) -> Column:
 
 
 def assemble(step: DataFrame, op_rules: str = "", target_rules: str = "") -> DataFrame:
-    """request and labels as JSON of a step with goal, op, page, elements, history, menu, criteria and gold_keys.
+    """request and labels as JSON of a step with goal, op, page, elements, history, menu, criteria and gold_key.
 
     The wording of the rules that go with each question is the caller's.
     """
     op = F.col("op")
     qid = F.concat(F.lower(op), F.lit("_target"))
-    target = F.try_element_at("gold_keys", op)
+    target = F.col("gold_key")
     goal = F.col("goal").alias("goal")
     op_q = F.struct(
         F.lit("choice").alias("type"),
@@ -210,37 +216,37 @@ def convert_steps(
         ]
     )
     s = s.withColumn("skip_reason", reason)
-    live = s.filter("skip_reason is null")
-    wide = ["step_id", "page_id", "pre", "tag", "role", "label", "value", "operations", "options", "weight"]
-    key = live.select("step_id", "page_id", "gold", "gold_last", F.coalesce("gold_label", F.lit("\0")).alias("gold_label"), "hit")
-    near = nodes.filter("candidate").join(key, "page_id")
-    pre = F.col("pre")
-    own = F.coalesce(
-        pre.between(F.col("gold"), F.col("gold_last")) | F.col("gold").between(pre, F.col("last")) | (pre == F.col("hit")), F.lit(False)
-    )
-    negatives = unique_labels(near.filter(~own), ["step_id"]).select(*wide)
-    n_neg = negatives.groupBy("step_id").agg(F.count("*").alias("n_neg"))
-    gold_rows = nodes.join(key.select("step_id", "page_id", F.col("gold").alias("pre")), ["page_id", "pre"]).select(*wide)
-    off = offered(negatives, gold_rows, ["step_id"], seed, k_min, k_max)
-    act = live.select("step_id", F.col("op").alias("gold_op"), "wanted")
-    off = off.join(act, "step_id").withColumn("operations", with_gold_operation(F.col("operations"), F.when(F.col("is_gold"), F.col("gold_op"))))
-    off = off.withColumn("options", capped_select_options(F.col("options"), F.col("is_gold"), F.col("wanted"), seed, "step_id", "pre"))
-    targets = target_entries(off, F.col("wanted"))
-    criteria = criteria_by_operation(targets, ["step_id"])
-    shown_options = F.transform(
-        "options", lambda o: F.struct(F.concat_ws(":", "index", o["j"]).alias("index"), F.concat("label", F.lit(" → "), o["label"]).alias("label"), o["value"].alias("value"))
-    )
-    element = F.struct(
-        "role", "label", "value", F.col("index").cast("string").alias("index"), "operations",
-        F.when(F.array_contains("operations", "SELECT"), shown_options).alias("options"),
-    )
-    elements = off.groupBy("step_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("index").alias("at"), element.alias("e")))), lambda x: x["e"]).alias("elements"),
-        F.count("*").alias("k"),
+    key = s.filter("skip_reason is null").select("step_id", "page_id", "gold", "gold_last", "hit", F.col("op").alias("gold_op"), "wanted")
+    # gold, hit and the action travel with the candidates: the step meets its page once
+    near = near_gold(nodes, key).repartition("step_id")
+    off = offered(unique_labels(near, ["step_id"]), ["step_id"], seed, k_min, k_max)
+    operations = with_gold_operation(F.col("operations"), F.when(F.col("is_gold"), F.col("gold_op")))
+    options = capped_select_options(F.col("options"), F.col("is_gold"), F.col("wanted"), seed, "step_id", "pre")
+    item = F.struct("index", "role", "label", "value", operations.alias("operations"), options.alias("options"), "is_gold")
+    per = off.groupBy("step_id").agg(
+        F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("k"), F.max("n_negatives").alias("n_neg")
     )
-    j = s.join(n_neg, "step_id", "left").join(criteria, "step_id", "left").join(elements, "step_id", "left")
+    j = s.join(per, "step_id", "left")
+    j = j.withColumn("entries", F.flatten(F.transform("items", lambda e: element_targets(e, F.col("wanted")))))
+    j = j.withColumns({f"criteria_{o.lower()}": criteria_of(F.col("entries"), o) for o in TARGET_OPERATIONS})
+    present = F.array_compact(F.array(*[F.when(F.col(f"criteria_{o.lower()}").isNotNull(), F.lit(o)) for o in TARGET_OPERATIONS]))
+    j = j.withColumns({"gold_key": gold_target(F.col("entries"), F.col("op")), "present": present})
+
+    def shown(e: Column) -> Column:
+        listed = F.transform(
+            e["options"],
+            lambda o: F.struct(
+                F.concat_ws(":", e["index"], o["j"]).alias("index"), F.concat(e["label"], F.lit(" → "), o["label"]).alias("label"), o["value"].alias("value")
+            ),
+        )
+        return F.struct(
+            e["role"].alias("role"), e["label"].alias("label"), e["value"].alias("value"), e["index"].cast("string").alias("index"),
+            e["operations"].alias("operations"), F.when(F.array_contains(e["operations"], "SELECT"), listed).alias("options"),
+        )
+
+    j = j.withColumn("elements", F.transform("items", shown))
     scrolled = F.exists("history", lambda h: h["action"] == "Scroll down") | (F.col("op") == "SCROLL_UP")
-    menu = operation_menu(F.coalesce("present", F.array().cast("array<string>")), seed, ["step_id"], from_tree, F.coalesce(scrolled, F.lit(False)))
+    menu = operation_menu(F.col("present"), seed, ["step_id"], from_tree, F.coalesce(scrolled, F.lit(False)))
     j = j.withColumn("menu", menu)
     targeted = F.col("op").isin(*TARGET_OPERATIONS)
     late = first_failure(
@@ -248,7 +254,7 @@ def convert_steps(
             (F.col("skip_reason").isNotNull(), F.col("skip_reason")),
             (F.lit(need_candidates) & (F.coalesce("n_neg", F.lit(0)) < k_min - 1), "too_few_candidates"),
             (F.coalesce("k", F.lit(0)) == 0, "no_elements"),
-            (targeted & F.lit(need_candidates) & F.try_element_at("gold_keys", F.col("op")).isNull(), F.when(F.col("op") == "SELECT", "select_option_not_found").otherwise("no_target")),
+            (targeted & F.lit(need_candidates) & F.col("gold_key").isNull(), F.when(F.col("op") == "SELECT", "select_option_not_found").otherwise("no_target")),
             (~F.array_contains("menu", F.col("op")), F.concat(F.lit("op_not_offered:"), F.col("op"))),
         ]
     )

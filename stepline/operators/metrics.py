@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,26 +211,23 @@ def threshold_counts(rows: DataFrame, p: str, gold_done: str, thresholds: Sequen
     those few tallies, instead of every row meeting every threshold.
     """
     ts = sorted(thresholds)
-    passed = sum([(F.col(p) >= t).cast("int") for t in ts], F.lit(0))
-    tally = rows.groupBy(F.coalesce(passed, F.lit(0)).alias("_passed")).agg(
-        F.count_if(F.col(gold_done)).alias("_d"), F.count_if(~F.col(gold_done)).alias("_o")
+    splits = [float("-inf"), *ts, float("inf")]
+    passed = Bucketizer(splits=splits, inputCol=p, outputCol="_passed").transform(rows)
+    tally = passed.groupBy("_passed").agg(
+        F.count_if(F.col(gold_done)).alias("d"), F.count_if(~F.col(gold_done)).alias("o")
     )
-    totals = tally.agg(
-        F.sum("_d").alias("n_done"),
-        F.sum("_o").alias("n_other"),
-        *[F.sum(F.when(F.col("_passed") > i, F.col("_d")).otherwise(0)).alias(f"d{i}") for i in range(len(ts))],
-        *[F.sum(F.when(F.col("_passed") > i, F.col("_o")).otherwise(0)).alias(f"o{i}") for i in range(len(ts))],
+    totals = tally.agg(  # at most one entry per threshold and one below all
+        F.sum("d").alias("n_done"), F.sum("o").alias("n_other"), F.collect_list(F.struct("_passed", "d", "o")).alias("_t")
     )
-    curve = F.array(
-        *[
-            F.struct(F.lit(t).alias("threshold"), F.col(f"d{i}").alias("d"), F.col(f"o{i}").alias("o"))
-            for i, t in enumerate(ts)
-        ]
+    curve = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(i).alias("i")) for i, t in enumerate(ts)])
+    at = totals.select("n_done", "n_other", "_t", F.explode(curve).alias("c"))
+    over = lambda f: F.aggregate(
+        "_t", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["_passed"] > F.col("c.i"), x[f]).otherwise(0)
     )
-    return totals.select("n_done", "n_other", F.explode(curve).alias("c")).select(
+    return at.select(
         F.col("c.threshold").alias("threshold"),
-        r6(F.col("c.d") / F.greatest("n_done", F.lit(1))).alias("done_recall"),
-        r6(F.col("c.o") / F.greatest("n_other", F.lit(1))).alias("premature_rate"),
+        r6(over("d") / F.greatest("n_done", F.lit(1))).alias("done_recall"),
+        r6(over("o") / F.greatest("n_other", F.lit(1))).alias("premature_rate"),
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,99 +45,128 @@ NODE_SCHEMA = (
 )
 
 
-def _page_parser(void: Sequence[str], text_limit: int):
-    """Snapshot parser for ``mapInPandas``, self-contained so that workers need no package."""
+def _page_parser(void: Sequence[str], text_limit: int, rows_per_batch: int = 20_000):
+    """Snapshot parser for ``mapInArrow``, self-contained so that workers need no package."""
     # an open element of the second kind ends when one of the first kind starts
     ends = {
         "p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "div": {"p"}, "ul": {"p"}, "ol": {"p"}, "table": {"p"}, "h1": {"p"},
         "h2": {"p"}, "h3": {"p"}, "form": {"p"}, "nav": {"p"}, "article": {"p"}, "section": {"p"},
     }
+    raw_text = {"script", "style"}
 
     def parse(html: str) -> list[dict]:
-        from html.parser import HTMLParser
+        from html import unescape
 
         nodes: list[dict] = []
         stack: list[int] = []
         texts: list[str] = []  # every text run, in page order
-        after = {"comment": False}
+        behind_comment = False
 
         def close_to(depth: int) -> None:
             while len(stack) > depth:
                 nodes[stack.pop()].update(last=len(nodes) - 1, to=len(texts))
 
-        class Walk(HTMLParser):
-            def handle_starttag(self, tag, attrs):
-                after["comment"] = False
+        def add_text(data: str) -> None:
+            run = " ".join(data.split())
+            if run and stack:
+                owner = nodes[stack[-1]]
+                # text behind a comment belongs to its element but is not page text
+                if not behind_comment:
+                    owner["runs"].append({"seq": len(texts), "pos": owner["at"], "text": run})
+                texts.append(run)
+
+        at, size = 0, len(html)
+        while at < size:
+            m = token.match(html, at)
+            if m is None:  # a stray angle bracket
+                at += 1
+                continue
+            at = m.end()
+            if m["text"]:
+                add_text(unescape(m["text"]))
+            elif m["tag"] is None:
+                behind_comment = behind_comment or m["comment"] is not None
+            elif m["close"]:
+                behind_comment, tag = False, m["tag"].lower()
+                for depth in range(len(stack) - 1, -1, -1):
+                    if nodes[stack[depth]]["tag"] == tag:
+                        close_to(depth)
+                        break
+            else:
+                behind_comment, tag, inner = False, m["tag"].lower(), m["attrs"]
                 if stack and nodes[stack[-1]]["tag"] in ends.get(tag, ()):
                     close_to(len(stack) - 1)
                 pre = len(nodes)
                 if stack:
                     nodes[stack[-1]]["at"] = pre
+                attrs = {}
+                for name, value in attribute.findall(inner) if inner.strip(" /") else ():
+                    attrs.setdefault(name.lower(), unescape(value.strip("\"'")))
                 nodes.append(
                     {
                         "pre": pre, "last": pre, "parent": stack[-1] if stack else None, "depth": len(stack), "tag": tag,
-                        "attrs": {k: v or "" for k, v in attrs}, "runs": [], "at": pre, "from": len(texts), "to": len(texts),
+                        "attrs": list(attrs.items()), "runs": [], "at": pre, "from": len(texts), "to": len(texts),
                     }
                 )
-                if tag not in void:
+                if tag not in void and not inner.endswith("/"):
                     stack.append(pre)
-
-            def handle_startendtag(self, tag, attrs):
-                self.handle_starttag(tag, attrs)
-                if tag not in void:
-                    close_to(len(stack) - 1)
-
-            def handle_endtag(self, tag):
-                after["comment"] = False
-                for at in range(len(stack) - 1, -1, -1):
-                    if nodes[stack[at]]["tag"] == tag:
-                        close_to(at)
-                        break
-
-            def handle_comment(self, data):
-                after["comment"] = True
-
-            def handle_data(self, data):
-                run = " ".join(data.split())
-                if run and stack:
-                    owner = nodes[stack[-1]]
-                    # text behind a comment belongs to its element but is not page text
-                    if not after["comment"]:
-                        owner["runs"].append({"seq": len(texts), "pos": owner["at"], "text": run})
-                    texts.append(run)
-
-        walker = Walk(convert_charrefs=True)
-        walker.feed(html)
-        walker.close()
+                    if tag in raw_text:
+                        end = end_of(html, tag, at)
+                        add_text(html[at:end])
+                        at = end
         close_to(0)
         for n in nodes:
             # labels and values are clipped far below the limit: longer texts need not be carried
-            parts, size = [], 0
-            for text in texts[n["from"] : n["to"]]:
-                if size > text_limit:
+            parts, length = [], 0
+            for text in texts[n.pop("from") : n.pop("to")]:
+                if length > text_limit:
                     break
                 parts.append(text)
-                size += len(text) + 1
+                length += len(text) + 1
             n["text"] = " ".join(parts)
+            n.pop("at")
         return nodes
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "pre", "last", "parent", "depth", "tag", "attrs", "text", "runs"]
+    def end_of(html: str, tag: str, at: int) -> int:
+        m = re.compile(rf"</{tag}", re.I).search(html, at)
+        return m.start() if m else len(html)
+
+    import re
+
+    token = re.compile(
+        r"""<!--(?P<comment>.*?)-->|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>"""
+        r"""|<[!?][^>]*>|(?P<text>[^<]+)""",
+        re.S,
+    )
+    attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run_type = pa.list_(pa.struct([("seq", pa.int32()), ("pos", pa.int32()), ("text", pa.string())]))
+        schema = pa.schema(
+            [("page_id", pa.int64()), ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
+             ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("runs", run_type)]
+        )
+        rows: list[dict] = []
         for batch in batches:
-            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-                rows = [{**n, "page_id": page_id} for n in parse(html or "")]
-                out = pd.DataFrame(rows, columns=names)
-                out["parent"] = out["parent"].astype("Int32")
-                yield out
+            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.extend({**n, "page_id": page_id} for n in parse(html or ""))
+                if len(rows) >= rows_per_batch:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """Elements of HTML snapshots (page_id, html), one row each."""
+    """Elements of HTML snapshots (page_id, html), one row each.
+
+    A page is one input row, so it is parsed where it is read, without a shuffle.
+    """
     parser = _page_parser(VOID_TAGS, 2 * 101)
-    return pages.select("page_id", "html").mapInPandas(parser, NODE_SCHEMA)
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(parser, NODE_SCHEMA)
 
 
 def own_hidden() -> Column:

@@ -126,8 +126,8 @@ def _exact_replacements(state: Column, goal: Column, first_names: Sequence[str])
     def of_value(t: Column) -> Column:
         value = strip(t["value"])
         contacts = F.concat(
-            F.transform(F.filter(P.spans(t["value"], P.EMAIL), lambda s: ~dictated(s["text"])), lambda s: pair(s["text"], P.EMAIL_STAND_IN)),
-            F.transform(F.filter(P.spans(t["value"], P.PHONE), lambda s: ~dictated(s["text"])), lambda s: pair(s["text"], P.PHONE_STAND_IN)),
+            F.transform(F.filter(P.detect(t["value"], P.EMAIL), lambda s: ~dictated(s["text"])), lambda s: pair(s["text"], P.EMAIL_STAND_IN)),
+            F.transform(F.filter(P.detect(t["value"], P.PHONE), lambda s: ~dictated(s["text"])), lambda s: pair(s["text"], P.PHONE_STAND_IN)),
         )
         none = F.array().cast("array<struct<old:string,new:string>>")
         return (
@@ -146,7 +146,7 @@ def must_drop(texts: Column, goal: Column) -> Column:
     """A card or social security number the goal does not dictate."""
     return F.exists(
         texts,
-        lambda t: F.exists(P.find(t), lambda s: s["category"].isin("card", "ssn") & ~F.contains(goal, F.lower(s["text"]))),
+        lambda t: F.exists(P.find_numbers(t), lambda s: ~F.contains(goal, F.lower(s["text"]))),
     )
 
 

@@ -64,14 +64,17 @@ _NEG = """SELECT n.*, g.gold, g.gold_last, g.gold_label FROM nodes n JOIN gold g
   AND NOT EXISTS (SELECT 1 FROM cands c WHERE c.page_id=n.page_id AND c.cand=n.pre)"""
 
 
-def negatives(nodes, gold, positives):
-    """Nodes of a step's page that are neither related to its gold nor other positives."""
-    j = nodes.join(gold, "page_id").filter(~P.related("gold", "gold_last"))
-    return j.join(positives.select("page_id", F.explode("cands").alias("pre")), ["page_id", "pre"], "left_anti")
+def near_nodes(spark, folder):
+    """Gold and unrelated nodes per page; other positives are no negatives."""
+    n = V.flat_nodes(spark, folder).withColumn("candidate", F.lit(True)).withColumn("weight", F.when(F.col("tag") == "a", 3.0).otherwise(1.0))
+    near = C.near_gold(n, _gold(spark, folder).withColumn("hit", F.col("gold")))
+    positives = _positives(spark, folder).select("page_id", F.explode("cands").alias("pre"))
+    negative = near.filter(~F.col("is_gold")).join(positives, ["page_id", "pre"], "left_anti")
+    return near.filter("is_gold").unionByName(negative)
 
 
 def _negatives(spark, folder):
-    return negatives(V.flat_nodes(spark, folder), _gold(spark, folder), _positives(spark, folder))
+    return near_nodes(spark, folder).filter(~F.col("is_gold"))
 
 
 @query("exclude_related", O.sql("nodes", "SELECT page_id, pre FROM neg", **_G, neg=_NEG))
@@ -84,7 +87,7 @@ _UNIQ = "SELECT * FROM neg WHERE lower(label)<>lower(gold_label) QUALIFY row_num
 
 @query("keep_first_label", O.sql("nodes", "SELECT page_id, pre, label FROM uniq", **_G, neg=_NEG, uniq=_UNIQ))
 def keep_first_label(spark, folder):
-    return C.unique_labels(_negatives(spark, folder), ["page_id"]).select("page_id", "pre", "label")
+    return C.unique_labels(near_nodes(spark, folder), ["page_id"]).filter("not is_gold").select("page_id", "pre", "label")
 
 
 _W = "CASE WHEN tag='a' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END"
@@ -94,7 +97,7 @@ _DRAWN = f"""SELECT * FROM uniq QUALIFY row_number() OVER (PARTITION BY page_id
 
 @query("weighted_sample", O.sql("nodes", "SELECT page_id, pre FROM drawn", **_G, neg=_NEG, uniq=_UNIQ, drawn=_DRAWN))
 def weighted_sample_nodes(spark, folder):
-    n = C.unique_labels(_negatives(spark, folder), ["page_id"])
+    n = C.unique_labels(near_nodes(spark, folder), ["page_id"]).filter("not is_gold")
     weight = F.when(F.col("tag") == "a", 3.0).otherwise(1.0)
     k = uniform_int("0-k", C.K_MIN, C.K_MAX, "page_id") - 1
     return weighted_sample(n, ["page_id"], weight, uniform("0-draw", "page_id", "pre"), "pre", k).select("page_id", "pre")
@@ -107,12 +110,7 @@ _STEPS = dict(**_G, neg=_NEG, uniq=_UNIQ, drawn=_DRAWN, off=_OFFERED)
 
 
 def _offered(spark, folder):
-    nodes, gold = V.flat_nodes(spark, folder), _gold(spark, folder)
-    cols = ["page_id", "pre", "tag", "label", "weight"]
-    weighted = lambda d: d.withColumn("weight", F.when(F.col("tag") == "a", 3.0).otherwise(1.0)).select(*cols)
-    neg = weighted(C.unique_labels(negatives(nodes, gold, _positives(spark, folder)), ["page_id"]))
-    g = weighted(nodes.join(gold.select("page_id", F.col("gold").alias("pre")), ["page_id", "pre"], "left_semi"))
-    return C.offered(neg, g, ["page_id"], "0")
+    return C.offered(C.unique_labels(near_nodes(spark, folder), ["page_id"]), ["page_id"], "0")
 
 
 @query("element_index", O.sql("nodes", "SELECT page_id, pre, index, is_gold FROM off", **_STEPS))
@@ -143,7 +141,10 @@ _TARGETS = """SELECT page_id, 'CLICK' AS op, index::VARCHAR AS key, '['||index||
 
 @query("target_criteria", O.sql("nodes", "SELECT page_id, op, key, element, gold FROM t", **_STEPS, t=_TARGETS))
 def target_criteria(spark, folder):
-    return C.target_entries(_operable(_offered(spark, folder))).select("page_id", "op", "key", "element", "gold")
+    o = _operable(_offered(spark, folder)).withColumns({"value": F.lit(""), "role": F.col("tag")})
+    e = F.struct("index", "label", "value", "role", "operations", "is_gold")
+    t = F.explode_outer(C.element_targets(e, F.lit(""), with_options=False)).alias("t")
+    return o.select("page_id", t).select("page_id", "t.op", "t.key", "t.element", "t.gold")
 
 
 @query(
@@ -338,7 +339,8 @@ _SKIPS = dict(
 def _skips(spark, folder):
     nodes, pos = V.flat_nodes(spark, folder), _positives(spark, folder)
     gold = gold_of(pos, nodes)
-    n_neg = C.unique_labels(negatives(nodes, gold, pos), ["page_id"]).groupBy("page_id").agg(F.count("*").alias("n_neg"))
+    unique = C.unique_labels(near_nodes(spark, folder), ["page_id"]).filter("not is_gold")
+    n_neg = unique.groupBy("page_id").agg(F.count("*").alias("n_neg"))
     p = table(spark, folder, "pages").join(pos, "page_id").join(gold, "page_id", "left").join(n_neg, "page_id", "left")
     lang = F.lower(F.regexp_extract("html", '<html[^>]* lang="([^"]*)"', 1))
     reason = first_failure(

@@ -42,7 +42,7 @@ _MAILS = f"SELECT doc_id, source, generate_subscripts(e,1) AS i, unnest(e) AS em
 
 
 def _email_rows(spark, folder):
-    d = _docs(spark, folder).select("doc_id", "source", "text", F.posexplode_outer(P.spans(F.col("text"), P.EMAIL)).alias("i", "s"))
+    d = _docs(spark, folder).select("doc_id", "source", "text", F.posexplode_outer(P.detect(F.col("text"), P.EMAIL)).alias("i", "s"))
     return d.filter("s is not null").select("doc_id", "source", "text", (F.col("i") + 1).cast("long").alias("i"), F.col("s.text").alias("email"), "s.start", "s.end")
 
 
