@@ -18,7 +18,6 @@ from stepline.functions.text import strip
 from stepline.operators.ordering import first_per_group
 
 FIELD_TYPE = "array<struct<field:string,text:string,typed:boolean,label:string>>"
-FINDING_TYPE = "array<struct<field:string,category:string,context:string>>"
 
 
 def _text(c: Column) -> Column:
@@ -39,15 +38,15 @@ def is_typed_value(e: Column) -> Column:
 
 def scan_fields(goal: Column, reason: Column, state: Column) -> Column:
     """Every text of a step as array<struct<field,text,typed,label>>."""
-    actions = F.coalesce(state["recent_actions"], F.array().cast("array<struct<action:string,kind:string,text:string,page_changed:boolean>>"))
-    elements = F.coalesce(state["elements"], F.array().cast("array<struct<role:string,label:string,value:string,index:string,operations:array<string>>>"))
+    actions, elements = state["recent_actions"], state["elements"]
+    or_none = lambda fields: F.coalesce(fields, F.array().cast(FIELD_TYPE))
     typed_actions = F.transform(F.filter(actions, lambda a: _text(a["text"]) != ""), lambda a: _field("typed", a["text"], True, a["action"]))
     action_labels = F.transform(actions, lambda a: _field("labels", a["action"]))
     element_labels = F.transform(elements, lambda e: _field("labels", e["label"]))
     values = F.transform(F.filter(elements, is_typed_value), lambda e: _field("typed", e["value"], True, e["label"]))
     fixed = F.array(_field("url", state["page"]["url"]), _field("page_text", state["page"]["text"]))
     said = F.array_compact(F.array(_field("goal", goal), F.when(_text(reason) != "", _field("labels", reason))))
-    return F.concat(fixed, typed_actions, action_labels, element_labels, values, said)
+    return F.concat(fixed, *[or_none(x) for x in (typed_actions, action_labels, element_labels, values)], said)
 
 
 def findings(fields: Column, goal: Column, first_names: Sequence[str]) -> Column:
@@ -116,9 +115,10 @@ def policy_of(category: Column) -> Column:
 def _exact_replacements(state: Column, goal: Column, first_names: Sequence[str]) -> Column:
     """Typed values to replace everywhere, longest first: array<struct<old,new>>."""
     actions, elements = state["recent_actions"], state["elements"]
+    or_none = lambda values: F.coalesce(values, F.array().cast("array<struct<value:string,label:string>>"))
     typed = F.concat(
-        F.transform(F.filter(actions, lambda a: _text(a["text"]) != ""), lambda a: F.struct(a["text"].alias("value"), _text(a["action"]).alias("label"))),
-        F.transform(F.filter(elements, is_typed_value), lambda e: F.struct(e["value"].alias("value"), _text(e["label"]).alias("label"))),
+        or_none(F.transform(F.filter(actions, lambda a: _text(a["text"]) != ""), lambda a: F.struct(a["text"].alias("value"), _text(a["action"]).alias("label")))),
+        or_none(F.transform(F.filter(elements, is_typed_value), lambda e: F.struct(e["value"].alias("value"), _text(e["label"]).alias("label")))),
     )
     dictated = lambda text: F.contains(goal, F.lower(text))
     pair = lambda old, new: F.struct(old.alias("old"), F.lit(new).alias("new"))
