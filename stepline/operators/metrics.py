@@ -231,10 +231,14 @@ def threshold_counts(rows: DataFrame, p: str, gold_done: str, thresholds: Sequen
     )
 
 
+def _mean_nll(rows: DataFrame, z: str, gold: str, temperatures: Sequence[float]) -> DataFrame:
+    """One row with one mean per temperature, from one pass; ``z`` is shifted."""
+    return rows.agg(*[F.avg(prob.log_loss(z, gold, t)).alias(f"t{i}") for i, t in enumerate(temperatures)])
+
+
 def nll_at(rows: DataFrame, z: str, gold: str, temperatures: Sequence[float]) -> DataFrame:
     """Mean negative log-likelihood at several temperatures, all in one pass."""
-    rows = rows.select(prob.shifted(z).alias(z), gold)
-    means = rows.agg(*[F.avg(prob.log_loss(z, gold, t)).alias(f"t{i}") for i, t in enumerate(temperatures)])
+    means = _mean_nll(rows.select(prob.shifted(z).alias(z), gold), z, gold, temperatures)
     pairs = F.array(
         *[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("nll")) for i, t in enumerate(temperatures)]
     )
@@ -252,10 +256,14 @@ def fit_temperature(rows: DataFrame, z: str, gold: str, points: int = 9, rounds:
     the best point; ten passes narrow the bracket below the printed precision.
     """
     lo, hi = T_LOW, T_HIGH
+    kept = rows.select(prob.shifted(z).alias(z), gold).persist()
     for _ in range(rounds):
         step = (hi - lo) / (points - 1)
-        best = nll_at(rows, z, gold, [lo + i * step for i in range(points)]).orderBy("nll", "temperature").first()
-        lo, hi = max(lo, best["temperature"] - step), min(hi, best["temperature"] + step)
+        grid = [lo + i * step for i in range(points)]
+        means = _mean_nll(kept, z, gold, grid).first()  # one row of means
+        best = grid[min(range(points), key=lambda i: means[i])]
+        lo, hi = max(lo, best - step), min(hi, best + step)
+    kept.unpersist()
     return round((lo + hi) / 2, T_DIGITS)
 
 

@@ -76,7 +76,8 @@ def browser_steps(spark, folder):
     i = F.col("doc_id")
     mail = F.concat(F.lit("user"), i, F.lit("@mail.example.com"))
     element = lambda label, value, op: F.struct(
-        F.lit("textbox").alias("role"), F.lit(label).alias("label"), value.cast("string").alias("value"), F.lit("1").alias("index"), F.array(F.lit(op)).alias("operations")
+        F.lit("textbox").alias("role"), F.lit(label).alias("label"), value.cast("string").alias("value"), F.lit("1").alias("index"), F.array(F.lit(op)).alias("operations"),
+        F.lit(None).cast("array<struct<index:string,label:string,value:string>>").alias("options"),
     )
     elements = F.array_compact(
         F.array(
