@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepline.llm import decontam, lines, mixing, quality, simhash
+from stepline.llm import chat, decontam, langid, lines, mixing, quality, simhash, substrings, toxicity, warc
 from stepline.plans.oracle import key, unit
 from stepline.plans.registry import Query
 from stepline.sources.tables import table
@@ -61,12 +61,111 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lit(True).alias("contaminated"), "n_items", F.col("item").alias("item_id"), "from_token", "to_token", "equal_tokens")
 
 
+def fold(id_col: str, modulus: int, remainder: int):
+    """Whether the row is held out; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == remainder, F.lit(False))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A score per document, learned from the labels outside the held-out fold."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(~fold("doc_id", 4, 2)))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op4_simhash_near_duplicates")
 def op4_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _op5_sql() -> str:
+    t = chat.Template()
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    body = f"replace(text,{lit(t.escape)},{lit(t.escape * 2)})"
+    for c in t.controls:
+        body = f"replace({body},{lit(c)},{lit(c[0] + t.escape + c[1:])})"
+    role = body.replace("replace(text,", "replace(role,")
+    marks = len(t.start) + len(t.middle) + len(t.end)
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role='{t.learn}'),0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role='{t.learn}'),'')) AS loss_sha256,
+  sum({marks}+length({role})+length({body}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+@query("op5_chat_formatting", _op5_sql())
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every conversation and of one full of control strings, read back from the formatted text."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    done = chat.format_records(chat.records_of(rows.unionByName(own)), "record")
+    back = done.select("conv", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = """WITH p AS (SELECT page_id, coalesce(html,'') AS h FROM pages),
+f AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, upper(sha1(h)) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0,32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x'||substr(x, ((i//4)*5+1)::INT, 5))::BIGINT >> (15-5*(i%4))::INT) & 31)+1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id=first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id<>first THEN first END AS refers_to FROM f"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives with a dictionary in front and read back."""
+    read = warc.round_trip(table(spark, folder, "pages"))
+    return read.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """A language per document, learned from the documents outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(~fold("doc_id", 5, 0)))
+    told = langid.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
+
+
+OP8_SQL = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text,''))) AS h, strlen(coalesce(text,'')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2*i+1, {2 * substrings.LENGTH})) AS s FROM (SELECT doc_id, h, unnest(range(0, n-{substrings.LENGTH - 1})) AS i FROM d WHERE n>={substrings.LENGTH})),
+late AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i)>1),
+run AS (SELECT doc_id, min(i) AS a, max(i)+{substrings.LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+  SELECT *, CASE WHEN i<=lag(i) OVER (PARTITION BY doc_id ORDER BY i)+{substrings.LENGTH} THEN 0 ELSE 1 END AS new FROM late)) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a),0) AS x, a AS y FROM run
+  UNION ALL SELECT r.doc_id, r.b, d.n FROM (SELECT doc_id, max(b) AS b FROM run GROUP BY doc_id) r JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, (2*x+1)::BIGINT, (2*(y-x))::BIGINT), '' ORDER BY x) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b-a)::BIGINT AS gone, count(*)::BIGINT AS spans FROM run GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone,0)::BIGINT AS n_removed, coalesce(spans,0)::BIGINT AS n_spans, sha256(unhex(coalesce(k,h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op8_suffix_dedup", OP8_SQL)
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document when bytes of strings that start earlier are removed."""
+    out = substrings.remove_copies(table(spark, folder, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 OP9_SQL = f"""WITH RECURSIVE s AS (SELECT source, sum(coalesce(length(text),0))::DOUBLE AS size FROM documents GROUP BY source),
 t AS (SELECT sum(size) AS size, count(*) FILTER (WHERE size>0)::DOUBLE AS w FROM s),
 r AS (SELECT source, CASE WHEN s.size>0 THEN 1.0::DOUBLE/t.w*t.size/s.size ELSE 0.0 END AS mean FROM s, t),

@@ -30,6 +30,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GAP = struct.pack("<II", SKIP_MAGIC[0], 0)  # an empty skippable frame, the line separator of the text writer
 RECORDS_PER_FILE = 2_048  # frames of an archive, the dictionary counted
 SAMPLE_PAGES, DICT_BYTES = 1_000, 65_536
+PLAIN = b"<html><head><title></title></head><body></body></html>"  # the dictionary where there is no payload
 LEVEL = 3
 MIN_REVISIT_BYTES = 0
 
@@ -45,10 +46,11 @@ def train_dictionary(pages: DataFrame, html_col: str) -> bytes:
         try:
             made = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
         except zstandard.ZstdError:
-            made = b"".join(samples)[:DICT_BYTES] or b"<html><head><title></title></head><body></body></html>"
+            made = b"".join(samples)[:DICT_BYTES] or PLAIN
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["d"])
 
-    return rows.coalesce(1).mapInArrow(train, "d binary").first()["d"]
+    made = rows.coalesce(1).mapInArrow(train, "d binary").first()
+    return made["d"] if made else PLAIN
 
 
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
