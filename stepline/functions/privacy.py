@@ -103,16 +103,17 @@ def spans(text: Column, pattern: str, replacement: str = MARK_OPEN + "$0" + MARK
     marked = F.regexp_replace(F.translate(text, MARK_OPEN + MARK_CLOSE, "  "), pattern, replacement)
     pieces = F.split(marked, f"[{MARK_OPEN}{MARK_CLOSE}]", -1)
 
-    def places(p: Column) -> Column:
-        n = ((F.size(p) - 1) / 2).cast("int")
+    empty = F.array().cast(SPAN_TYPE)
 
-        def one(i: Column) -> Column:
-            start = F.aggregate(F.slice(p, 1, 2 * i - 1), F.lit(0), lambda acc, x: acc + F.length(x))
-            match = F.element_at(p, 2 * i)
-            return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("text"))
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x)
+        found = F.struct(a["at"].alias("start"), end.alias("end"), x.alias("text"))
+        return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"], F.concat(a["out"], F.array(found))).otherwise(a["out"]).alias("out"))
 
-        empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(empty)
+    def places(p: Column) -> Column:
+        # pieces alternate between what is around a match and a match; the place is carried along
+        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
+        return F.when(F.size(p) > 1, F.aggregate(p, start, step)["out"]).otherwise(empty)
 
     return let(pieces, places)
 
@@ -224,3 +225,52 @@ def redact_free(text: Column, goal: Column) -> Column:
 def replace_all(text: Column, pairs: Column) -> Column:
     """Literal replacements in the given order: array<struct<old,new>>."""
     return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["old"], p["new"]))
+
+
+# stand in for an escaped backslash and an escaped quote while JSON is cut at its quotes;
+# control characters can not occur in JSON text
+HELD_BACKSLASH, HELD_QUOTE = "\u0003", "\u0004"
+
+
+def _json_pieces(json_text: Column) -> Column:
+    """JSON cut at its quotes: pieces with an odd place (from 0) are strings, keys or values."""
+    held = F.replace(F.replace(json_text, F.lit("\\\\"), F.lit(HELD_BACKSLASH)), F.lit('\\"'), F.lit(HELD_QUOTE))
+    return F.split(held, '"', -1)
+
+
+def _released(piece: Column) -> Column:
+    return F.replace(F.replace(piece, F.lit(HELD_QUOTE), F.lit('\\"')), F.lit(HELD_BACKSLASH), F.lit("\\\\"))
+
+
+def _is_value(pieces: Column, i: Column) -> Column:
+    return (i % 2 == 1) & ~F.startswith(F.ltrim(F.coalesce(F.get(pieces, i + 1), F.lit(""))), F.lit(":"))
+
+
+def _string_of(piece: Column) -> Column:
+    """The text that a JSON string stands for."""
+    raw = _released(piece)
+    parsed = F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>")
+    return F.when(F.contains(raw, F.lit("\\")), F.get(parsed, 0)).otherwise(raw)
+
+
+def json_texts(json_text: Column) -> Column:
+    """Every string value of a JSON text at any depth, in order; keys are left out."""
+
+    def values(p: Column) -> Column:
+        placed = F.transform(p, lambda x, i: F.when(_is_value(p, i), _string_of(x)))
+        return F.filter(placed, lambda x: x.isNotNull())
+
+    return let(_json_pieces(json_text), values)
+
+
+def rewrite_json(json_text: Column, fix) -> Column:
+    """The JSON text with ``fix`` applied to every string value; keys, numbers and layout stay."""
+
+    def written(x: Column) -> Column:
+        j = F.to_json(F.struct(fix(_string_of(x)).alias("v")))
+        return F.substring(j, F.lit(7), F.length(j) - 8)
+
+    def whole(p: Column) -> Column:
+        return F.array_join(F.transform(p, lambda x, i: F.when(_is_value(p, i), written(x)).otherwise(_released(x))), '"')
+
+    return let(_json_pieces(json_text), whole)

@@ -54,7 +54,7 @@ def score_confidence(p: Column | str) -> Column:
     spread = F.aggregate(
         F.transform(col(p), lambda x, i: x * F.abs(i - mode)), F.lit(0.0), lambda acc, x: acc + x
     )
-    return F.lit(1.0) - spread / (F.size(col(p)) - 1)
+    return F.when(F.size(col(p)) > 1, F.lit(1.0) - spread / F.greatest(F.size(col(p)) - 1, F.lit(1))).otherwise(F.lit(1.0))
 
 
 def expected_level(p: Column | str) -> Column:

@@ -38,14 +38,16 @@ K_MIN, K_MAX = 8, 40
 def near_gold(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     """Per step: its gold node, and the candidates of its page that are no kin of it.
 
-    ``steps``: step columns, page_id, gold, gold_last, hit. Everything that follows works
-    per step, so the rows are laid out by step once.
+    ``steps``: step columns, page_id, gold, gold_last, hit, and positives, the places of all
+    recorded positives of the step or null: other positives are no negatives. Everything
+    that follows works per step, so the rows are laid out by step once.
     """
     pre = F.col("pre")
     is_gold = F.coalesce(pre == F.col("gold"), F.lit(False))
     kin = pre.between(F.col("gold"), F.col("gold_last")) | F.col("gold").between(pre, F.col("last")) | (pre == F.col("hit"))
+    kin = F.coalesce(kin, F.lit(False)) | F.coalesce(F.array_contains("positives", pre.cast("long")), F.lit(False))
     near = nodes.join(steps, "page_id").withColumn("is_gold", is_gold)
-    return near.filter(F.col("is_gold") | (F.col("candidate") & ~F.coalesce(kin, F.lit(False))))
+    return near.filter(F.col("is_gold") | (F.col("candidate") & ~kin))
 
 
 def unique_labels(rows: DataFrame, step: Sequence[str]) -> DataFrame:
@@ -204,7 +206,11 @@ def convert_steps(
     steps   step_id, page_id, gold (pre, null for an operation without target), hit (the node
             acted on), op, wanted, goal, url, title, page_text, history, skip_reason (set by
             earlier rules)
+
+    ``steps`` may have positives, an array of places.
     """
+    if "positives" not in steps.columns:
+        steps = steps.withColumn("positives", F.lit(None).cast("array<long>"))
     has_gold = F.col("gold").isNotNull()
     about = nodes.select("page_id", F.col("pre").alias("gold"), F.col("last").alias("gold_last"), F.col("label").alias("gold_label"), F.col("tag").alias("gold_tag"), F.col("hidden").alias("gold_hidden"))
     s = steps.join(about, ["page_id", "gold"], "left")
@@ -216,7 +222,7 @@ def convert_steps(
         ]
     )
     s = s.withColumn("skip_reason", reason)
-    key = s.filter("skip_reason is null").select("step_id", "page_id", "gold", "gold_last", "hit", F.col("op").alias("gold_op"), "wanted")
+    key = s.filter("skip_reason is null").select("step_id", "page_id", "gold", "gold_last", "hit", "positives", F.col("op").alias("gold_op"), "wanted")
     # gold, hit and the action travel with the candidates: the step meets its page once
     near = near_gold(nodes, key).repartition("step_id")
     off = offered(unique_labels(near, ["step_id"]), ["step_id"], seed, k_min, k_max)
@@ -261,6 +267,6 @@ def convert_steps(
     done = assemble(j.withColumn("skip_reason", late))
     keep = F.col("skip_reason").isNull()
     return done.select(
-        *[c for c in steps.columns if c not in ("skip_reason", "page_text", "history")], "gold_label", "skip_reason",
+        *[c for c in steps.columns if c not in ("skip_reason", "page_text", "history", "positives")], "gold_label", "skip_reason",
         *[F.when(keep, F.col(c)).alias(c) for c in ("request", "labels", "k", "has_target")],
     )

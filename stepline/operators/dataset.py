@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,6 @@ UNSAFE_GOAL = (
 )
 QUESTION_TYPES = ["choice", "noul", "score"]
 MAX_URL, MIN_LOADED_TEXT = 300, 200
-DEFAULT_EVAL_ROWS = 5000
 
 
 def valid_question(kind: Column, n_options: Column) -> Column:
@@ -114,7 +114,7 @@ def same_keys(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
 
-def train_and_eval(df: DataFrame, line: str, n_eval: int = DEFAULT_EVAL_ROWS) -> DataFrame:
+def train_and_eval(df: DataFrame, line: str, n_eval: int) -> DataFrame:
     """Rows of the train split as train; the others as eval, or the last train rows when there are no others.
 
     ``part`` is set per use, so a fallback row appears in both parts.
@@ -141,17 +141,19 @@ def decontaminate(df: DataFrame, state: str, held_out: DataFrame, held_state: st
 def leak_checked_splits(rows: DataFrame, teacher_configs: list[str]) -> DataFrame:
     """Held-out rows of the teacher configs become test only when neither task nor goal is in any train split.
 
-    Null task ids and empty goals match like any other value.
+    Null task ids and empty goals match like any other value; one flag each answers for them,
+    so that they are no join keys on which all such rows would meet.
     """
     pending = F.col("config").isin(*teacher_configs) & (F.col("split") == "dev")
     train = rows.filter("split = 'train'")
-    ids = train.select(F.col("task_id").alias("_id")).distinct().withColumn("_by_id", F.lit(True))
-    goals = train.select(norm_goal("goal").alias("_goal")).distinct().withColumn("_by_goal", F.lit(True))
-    open_rows = rows.filter(pending).withColumn("_g", norm_goal("goal"))
-    flagged = open_rows.join(ids, F.col("task_id").eqNullSafe(F.col("_id")), "left").join(
-        goals, F.col("_g") == F.col("_goal"), "left"
-    )
-    seen = F.coalesce("_by_id", F.lit(False)) | F.coalesce("_by_goal", F.lit(False))
+    blank = train.agg(F.max(F.col("task_id").isNull()).alias("id"), F.max(norm_goal("goal") == "").alias("goal")).first()
+    ids = train.select(F.col("task_id").alias("_id")).filter("_id is not null").distinct().withColumn("_by_id", F.lit(True))
+    goals = train.select(norm_goal("goal").alias("_goal")).filter("_goal <> ''").distinct().withColumn("_by_goal", F.lit(True))
+    open_rows = rows.filter(pending).withColumn("_g", F.nullif(norm_goal("goal"), F.lit("")))
+    flagged = open_rows.join(ids, F.col("task_id") == F.col("_id"), "left").join(goals, F.col("_g") == F.col("_goal"), "left")
+    by_id = F.when(F.col("task_id").isNull(), F.lit(bool(blank["id"]))).otherwise(F.coalesce("_by_id", F.lit(False)))
+    by_goal = F.when(F.col("_g").isNull(), F.lit(bool(blank["goal"]))).otherwise(F.coalesce("_by_goal", F.lit(False)))
+    seen = by_id | by_goal
     placed = flagged.withColumn("split", F.when(seen, "validation").otherwise("test")).select(*rows.columns)
     rest = rows.filter(~pending).withColumn("split", F.when(F.col("split") == "dev", "validation").otherwise(F.col("split")))
     return rest.unionByName(placed)
@@ -182,7 +184,7 @@ REQUEST_TYPE = (
 )
 
 
-def flatten_steps(rows: DataFrame) -> DataFrame:
+def flatten_steps(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The published columns of step rows (config, split, collection, request, labels, meta as JSON).
 
     Each JSON text is parsed once; which field names the task depends on the config.
@@ -215,7 +217,7 @@ def flatten_steps(rows: DataFrame) -> DataFrame:
         F.try_element_at("_l", F.lit("operation")).alias("operation"),
         "target_question", "target", element.alias("target_element"), m("source").alias("source"), "collection",
         hostname(site, empty(page["url"])).alias("website"), task.alias("task_id"), episode.alias("episode_id"),
-        m("actor").alias("actor"), m("teacher").alias("teacher"), m("reason").alias("reason"), "request", "labels", "meta",
+        m("actor").alias("actor"), m("teacher").alias("teacher"), m("reason").alias("reason"), "request", "labels", "meta", *keep,
     )
 
 

@@ -90,7 +90,7 @@ def relabel_on_policy(kept: DataFrame) -> DataFrame:
 
 def drop_repeats(decisions: DataFrame) -> DataFrame:
     """Repeats of (request, label) within a session; the first stays."""
-    sig = F.sha2(F.to_json(F.struct("request", "operation")), 256)
+    sig = F.sha2(F.to_json(F.struct("request", "operation"), {"ignoreNullFields": "false"}), 256)
     return first_per_group(decisions, ["session", sig], [F.col("ts"), F.col("step_id")]).drop("_rn")
 
 

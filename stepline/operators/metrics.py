@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stepline.functions import prob
 from stepline.functions.text import kind_of
-from stepline.operators.ordering import order_statistics
+from stepline.operators.ordering import line_position, order_statistics, running_sums
 
 ALL = "(all)"
 
@@ -283,3 +283,15 @@ def mcnemar_exact(gained: Column, lost: Column) -> Column:
         lambda acc: acc["s"],
     )
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def running_share(df: DataFrame, order: str, hit: str, every: int) -> DataFrame:
+    """seen, share: the share of hits among the first rows, after every so many rows in order.
+
+    Rows are counted by place, whatever the gaps between their numbers; a last part of fewer
+    rows is not reported. Blocks are summed first, and only their sums are ordered.
+    """
+    placed = line_position(df.select(order, hit), order, "_at")
+    blocks = placed.groupBy(F.floor((F.col("_at") - 1) / every).alias("_block")).agg(F.sum(hit).alias("_hits"), F.count("*").alias("_rows"))
+    run = running_sums(blocks, "_block", {"_hits_to": F.col("_hits")}).filter(F.col("_rows") == every)
+    return run.select(((F.col("_block") + 1) * every).alias("seen"), (F.col("_hits_to") / ((F.col("_block") + 1) * every)).alias("share"))

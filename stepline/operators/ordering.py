@@ -16,20 +16,6 @@ from pyspark.sql import functions as F
 from stepline.functions.hashing import unit
 
 ACCURACY = 100_000
-MAX_CUTS = 2048
-MAX_BROADCAST_ROWS = 10_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """A side of narrow group rows, marked for broadcast only once it is known to be small.
-
-    At most ``max_rows`` + 1 rows are looked at; a larger side stays as it is and joins by
-    shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def range_count(df: DataFrame) -> int:
@@ -47,7 +33,7 @@ def value_range(df: DataFrame, column: str, ranges: int) -> DataFrame:
 
     The cuts come from a quantile sketch, so clustered values do not end up in one range.
     """
-    n = min(ranges, MAX_CUTS)
+    n = ranges
     points = F.array(*[F.lit(i / n) for i in range(1, n)])
     cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), points, 10 * n)).first()[0] if n > 1 else []
     if not cuts:
@@ -143,8 +129,7 @@ def order_statistics(
     # a small group has fewer rows than the sketch resolves: keep all of it
     low = [F.when(F.col("_n") <= ACCURACY, F.lit(float("-inf"))).otherwise(F.col("_b")[2 * i]) for i in range(len(names))]
     high = [F.when(F.col("_n") <= ACCURACY, F.lit(float("inf"))).otherwise(F.col("_b")[2 * i + 1]) for i in range(len(names))]
-    # few groups: their brackets go to the rows; many: rows meet them by shuffle
-    brackets = checked_broadcast(marks.select(*keys, "_n", F.array(*low).alias("_lo"), F.array(*high).alias("_hi")))
+    brackets = marks.select(*keys, "_n", F.array(*low).alias("_lo"), F.array(*high).alias("_hi"))
     entries = F.array_compact(
         F.array(
             *[

@@ -45,7 +45,7 @@ NODE_SCHEMA = (
 )
 
 
-def _page_parser(void: Sequence[str], text_limit: int, rows_per_batch: int = 20_000):
+def _page_parser(void: Sequence[str], text_limit: int | None, rows_per_batch: int = 20_000):
     """Snapshot parser for ``mapInArrow``, self-contained so that workers need no package."""
     # an open element of the second kind ends when one of the first kind starts
     ends = {
@@ -117,14 +117,13 @@ def _page_parser(void: Sequence[str], text_limit: int, rows_per_batch: int = 20_
                         at = end
         close_to(0)
         for n in nodes:
-            # labels and values are clipped far below the limit: longer texts need not be carried
             parts, length = [], 0
             for text in texts[n.pop("from") : n.pop("to")]:
-                if length > text_limit:
+                if text_limit is not None and length > text_limit:
                     break
                 parts.append(text)
                 length += len(text) + 1
-            n["text"] = " ".join(parts)
+            n["text"] = " ".join(parts)[:text_limit]
             n.pop("at")
         return nodes
 
@@ -160,12 +159,14 @@ def _page_parser(void: Sequence[str], text_limit: int, rows_per_batch: int = 20_
     return run
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """Elements of HTML snapshots (page_id, html), one row each.
+def page_nodes(pages: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Elements of HTML snapshots (page_id, html), one row each, with the whole text inside.
 
-    A page is one input row, so it is parsed where it is read, without a shuffle.
+    A page is one input row, so it is parsed where it is read, without a shuffle. A caller
+    that only clips labels and values out of the texts may bound them by text_chars, so that
+    an outer element does not carry the page again.
     """
-    parser = _page_parser(VOID_TAGS, 2 * 101)
+    parser = _page_parser(VOID_TAGS, text_chars)
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(parser, NODE_SCHEMA)
 
 

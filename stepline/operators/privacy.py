@@ -150,20 +150,53 @@ def must_drop(texts: Column, goal: Column) -> Column:
     )
 
 
+def state_texts(state: Column) -> Column:
+    """Every string of a state, whatever field it is in."""
+    page = F.array(state["page"]["url"], state["page"]["title"], state["page"]["text"])
+    of_options = F.flatten(F.transform(state["elements"], lambda e: F.flatten(F.transform(F.coalesce(e["options"], F.array().cast(OPTIONS_TYPE)), lambda o: F.array(o["index"], o["label"], o["value"])))))
+    of_elements = F.flatten(F.transform(state["elements"], lambda e: F.concat(F.array(e["role"], e["label"], e["value"], e["index"]), F.coalesce(e["operations"], F.array().cast("array<string>")))))
+    of_actions = F.flatten(F.transform(state["recent_actions"], lambda a: F.array(a["action"], a["kind"], a["text"])))
+    none = F.array().cast("array<string>")
+    return F.array_compact(F.concat(page, *[F.coalesce(x, none) for x in (of_elements, of_options, of_actions)]))
+
+
+OPTIONS_TYPE = "array<struct<index:string,label:string,value:string>>"
+
+
 def redact(steps: DataFrame, first_names: Sequence[str]) -> DataFrame:
-    """Steps with sensitive values replaced in every text; keys and numbers stay, some rows go.
+    """Steps with sensitive values replaced in every text; option keys and numbers stay, some rows go.
 
-    Adds ``dropped``: true for rows that must not be published.
+    Adds ``dropped``: true for rows that must not be published, wherever the number stands.
     """
     goal = F.lower(_text(F.col("goal")))
-    texts = F.transform(scan_fields(F.col("goal"), F.col("reason"), F.col("state")), lambda f: f["text"])
+    texts = F.concat(state_texts(F.col("state")), F.array(_text(F.col("goal")), _text(F.col("reason"))))
     staged = steps.withColumn("_pairs", _exact_replacements(F.col("state"), goal, first_names)).withColumn("dropped", must_drop(texts, goal))
-    fix = lambda c: F.when(c.isNotNull(), P.redact_free(P.replace_all(c, F.col("_pairs")), goal))
+    fix = _fixer(F.col("_pairs"), goal)
     state = F.col("state")
     page = state["page"]
+    option = lambda o: o.withField("label", fix(o["label"])).withField("value", fix(o["value"]))
+    element = lambda e: e.withField("role", fix(e["role"])).withField("label", fix(e["label"])).withField("value", fix(e["value"])).withField("options", F.transform(e["options"], option))
+    action = lambda a: a.withField("action", fix(a["action"])).withField("kind", fix(a["kind"])).withField("text", fix(a["text"]))
     new_state = F.struct(
         F.struct(fix(page["url"]).alias("url"), fix(page["title"]).alias("title"), fix(page["text"]).alias("text")).alias("page"),
-        F.transform(state["elements"], lambda e: e.withField("label", fix(e["label"])).withField("value", fix(e["value"]))).alias("elements"),
-        F.transform(state["recent_actions"], lambda a: a.withField("action", fix(a["action"])).withField("text", fix(a["text"]))).alias("recent_actions"),
+        F.transform(state["elements"], element).alias("elements"),
+        F.transform(state["recent_actions"], action).alias("recent_actions"),
     )
     return staged.withColumns({"state": new_state, "goal": fix(F.col("goal")), "reason": fix(F.col("reason"))}).drop("_pairs")
+
+
+def _fixer(pairs: Column, goal: Column):
+    return lambda c: F.when(c.isNotNull(), P.redact_free(P.replace_all(c, pairs), goal))
+
+
+def redact_rows(rows: DataFrame, first_names: Sequence[str], state_type: str) -> DataFrame:
+    """Step rows (request and meta as JSON) with sensitive values replaced in every string of both.
+
+    Adds ``dropped``. Keys stay as they are; the goal and what was typed are read from the request.
+    """
+    goal = F.lower(_text(F.get_json_object("request", "$.questions.operation.instructions.goal")))
+    staged = rows.withColumn("_goal", goal).withColumn("_state", F.from_json("request", f"struct<state:{state_type}>")["state"])
+    staged = staged.withColumn("_pairs", _exact_replacements(F.col("_state"), F.col("_goal"), first_names))
+    staged = staged.withColumn("dropped", must_drop(P.json_texts(F.col("request")), F.col("_goal")))
+    fix = _fixer(F.col("_pairs"), F.col("_goal"))
+    return staged.withColumns({c: P.rewrite_json(F.col(c), fix) for c in ("request", "meta")}).drop("_goal", "_state", "_pairs")

@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from stepline.functions.hashing import keyed
 from stepline.operators.ordering import first_per_group, hash_position
 
-MAX_LIST = 1000
 WINDOW_ROWS = 4096  # fixed value: rows sorted by length together
 
 
@@ -74,22 +74,19 @@ def repeat_rows(df: DataFrame, times: Column, out: str = "copy") -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(1), times)))
 
 
-def bounded_list(df: DataFrame, column: str) -> list[str]:
-    """A short configuration list on the driver; refuses to grow into a data set."""
-    rows = df.select(column).distinct().orderBy(column).limit(MAX_LIST + 1).collect()
-    if len(rows) > MAX_LIST:
-        raise ValueError(f"{column}: more than {MAX_LIST} values is not a configuration list")
-    return [r[0] for r in rows]
+def ordered_pairs(df: DataFrame, column: str) -> DataFrame:
+    """All ordered pairs (a, b) of two different values of a column.
 
-
-def ordered_pairs(spark: SparkSession, names: list[str]) -> DataFrame:
-    """All ordered pairs of two different names, each computed from its own number."""
-    n = len(names)
-    arr = F.array(*[F.lit(x) for x in names])
-    a = F.floor(F.col("id") / (n - 1)).cast("int")
-    r = (F.col("id") % (n - 1)).cast("int")
-    b = F.when(r >= a, r + 1).otherwise(r)
-    return spark.range(n * (n - 1)).select(F.element_at(arr, a + 1).alias("a"), F.element_at(arr, b + 1).alias("b"))
+    Values are numbered in a keyed order and every pair is computed from its own number; the
+    names join by number, so no list of them passes through the driver.
+    """
+    names = hash_position(df.select(F.col(column).alias("name")).distinct(), keyed("pairs", "name"), "name", "at")
+    n = names.count()
+    a = F.floor(F.col("id") / F.lit(max(n - 1, 1)))
+    r = F.col("id") % F.lit(max(n - 1, 1))
+    numbers = df.sparkSession.range(n * (n - 1)).select((a + 1).alias("i"), (F.when(r >= a, r + 1).otherwise(r) + 1).alias("j"))
+    left = numbers.join(names.select(F.col("at").alias("i"), F.col("name").alias("a")), "i")
+    return left.join(names.select(F.col("at").alias("j"), F.col("name").alias("b")), "j").select("a", "b")
 
 
 def cut_by_budget(budget: int):

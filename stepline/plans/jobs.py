@@ -27,13 +27,16 @@ from stepline.sources import steps as IO
 from stepline.sources.tables import table
 
 
+LABEL_CHARS = 202  # the converters clip labels and values to 100 characters after trimming
+
+
 def _no_history():
     return F.array().cast(f"array<{A.ENTRY_TYPE}>")
 
 
 def described_pages(spark, folder):
     """Described elements of all pages, parsed once and kept as a table, with each page's text and title."""
-    nodes = materialize(P.page_nodes(table(spark, folder, "pages")), "nodes")
+    nodes = materialize(P.page_nodes(table(spark, folder, "pages"), text_chars=LABEL_CHARS), "nodes")
     d = P.describe(nodes)
     weight = F.when(F.col("tag").isin(*P.INTERACTIVE_TAGS) | F.col("role").isin(*P.INTERACTIVE_ROLES), 3.0).otherwise(1.0)
     candidate = F.col("acts") & ~F.col("hidden") & (F.col("tag") != "option") & ~F.col("in_select")
@@ -56,6 +59,7 @@ def page_steps(spark, folder, nodes, about):
         F.col("page_id").cast("string").alias("step_id"), "page_id", "gold", F.col("gold").alias("hit"), F.lit("CLICK").alias("op"),
         F.lit(None).cast("string").alias("wanted"), F.concat(F.lit("Open page "), F.col("page_id")).alias("goal"), F.lit("").alias("url"),
         T.hostname(F.lit(None).cast("string"), "url").alias("title"), F.coalesce("page_text", F.lit("")).alias("page_text"), _no_history().alias("history"), early.alias("skip_reason"),
+        F.col("cands").alias("positives"),
     )
 
 
@@ -148,8 +152,11 @@ def tree_prompts(spark, folder):
 
 
 @query("job_convert_trees")
-def job_convert_trees(spark, folder):
-    """Accessibility trees: prompt and reply → labelled steps, train capped by class, the rest split by task."""
+def job_convert_trees(spark, folder, train_rows=None):
+    """Accessibility trees: prompt and reply → labelled steps, the rest split by task.
+
+    With ``train_rows``, the train split keeps every step of the rare class and others up to so many rows.
+    """
     r = tree_prompts(spark, folder).withColumn("p", A.parse_prompt("prompt")).withColumn("a", A.parse_reply("output"))
     r = r.withColumn("op", A.reply_operation(F.col("a"))).withColumn("history", A.last_items(F.array_compact(F.transform("p.history", A.parse_history_line))))
     nodes = materialize(P.ax_tree_nodes(r.select("tree_id", F.col("p.tree").alias("tree"))), "tree-nodes")
@@ -177,7 +184,10 @@ def job_convert_trees(spark, folder):
     done = C.convert_steps(n, steps, need_candidates=False, from_tree=True)
     kept = materialize(done.filter("skip_reason is null"), "tree-steps")
     is_train = hex_mod(keyed("src", "step_id"), 4) != 0
-    train = S.keep_class_and_fill(kept.filter(is_train), F.col("op") == "SCROLL_UP", keyed(0, "step_id"), "step_id", 12_000).withColumn("split", F.lit("train"))
+    train = kept.filter(is_train)
+    if train_rows is not None:
+        train = S.keep_class_and_fill(train, F.col("op") == "SCROLL_UP", keyed(0, "step_id"), "step_id", train_rows)
+    train = train.withColumn("split", F.lit("train"))
     held = kept.filter(~is_train).withColumn("split", F.when(hex_mod(keyed(0, "task"), 2) == 0, "dev").otherwise("test"))
     rows = train.unionByName(held).unionByName(done.filter("skip_reason is not null").withColumn("split", F.lit(None).cast("string")))
     return rows.select("step_id", "split", "op", "gold_label", "k", "has_target", "skip_reason", "request", "labels")
@@ -259,39 +269,58 @@ def job_make_tasks(spark, folder):
 # ---- the published dataset
 
 
+_CARD, _MAIL = "4111 1111 1111 1111", "someone@mail.example.org"
+_OPERATION = '"operation":{"type":"choice",'
+_CRITERIA = '"criteria":{"CLICK":"go","DONE":"end","write to ' + _MAIL + '":"x"},'
+# some rows hold a card number in an action or a mail address in the title; some questions lack criteria
+_BUILD_ROWS = f"""SELECT * REPLACE (replace(CASE step_id%50 WHEN 7 THEN replace(request,'"action":"a"','"action":"paid by {_CARD}"') WHEN 8 THEN replace(request,'"title":"','"title":"{_MAIL} ') ELSE request END,
+  '{_OPERATION}', CASE WHEN step_id%50=9 THEN '{_OPERATION}' ELSE '{_OPERATION}{_CRITERIA}' END) AS request), step_id%50=7 AND step_id%3>0 AS dropped FROM sr"""
 _BUILD = f"""SELECT 'rows' AS part, config, split, operation AS item, count(*) AS n FROM pub GROUP BY ALL
-  UNION ALL SELECT 'removed', config, '', 'unloaded_done', count(*) FROM un GROUP BY ALL
-  UNION ALL SELECT 'bench', config, 'test', operation, count(*) FROM pub WHERE split='test' AND config<>'traces' GROUP BY ALL"""
+  UNION ALL SELECT 'removed', config, '', CASE WHEN dropped THEN 'pii' ELSE 'unloaded_done' END, count(*) FROM gone GROUP BY ALL
+  UNION ALL SELECT 'bench', config, 'test', operation, count(*) FROM pub WHERE split='test' AND config<>'traces' AND step_id%50<>9 GROUP BY ALL
+  UNION ALL SELECT 'overlap', config, split, CASE WHEN split='train' THEN 'train' ELSE 'other' END, count(DISTINCT session) FROM pub WHERE session%10=0 GROUP BY ALL"""
 _BUILD_VIEWS = dict(
     sr=RQ.STEP_ROWS_SQL,
-    fl=RQ.FLAT_SQL,
-    un="SELECT * FROM fl WHERE operation='DONE' AND n_elements=0",
-    okr="SELECT * FROM fl WHERE NOT (operation='DONE' AND n_elements=0)",
-    pub=f"""SELECT config, id, operation, CASE WHEN split<>'dev' THEN split WHEN config<>'teacher' THEN 'validation'
+    br=_BUILD_ROWS,
+    base="SELECT config, split, step_id, session, operation, dropped, 't'||session AS task_id, 'Goal '||session||'.' AS goal, step_id%4 AS n_elements FROM br",
+    gone="SELECT * FROM base WHERE dropped OR (operation='DONE' AND n_elements=0)",
+    okr="SELECT * FROM base WHERE NOT (dropped OR (operation='DONE' AND n_elements=0))",
+    pub=f"""SELECT config, step_id, session, operation, CASE WHEN split<>'dev' THEN split WHEN config<>'teacher' THEN 'validation'
       WHEN task_id IN (SELECT task_id FROM okr WHERE split='train') OR {O.norm_goal('goal')} IN (SELECT {O.norm_goal('goal')} FROM okr WHERE split='train') THEN 'validation' ELSE 'test' END AS split FROM okr""",
 )
 
 
+def build_rows(spark, folder):
+    """The derived step rows with personal data in places that no scan field names."""
+    at, request = F.col("step_id") % 50, F.col("request")
+    held = F.when(at == 7, F.replace(request, F.lit('"action":"a"'), F.lit(f'"action":"paid by {_CARD}"'))).when(at == 8, F.replace(request, F.lit('"title":"'), F.lit(f'"title":"{_MAIL} '))).otherwise(request)
+    criteria = F.when(at == 9, F.lit(_OPERATION)).otherwise(F.lit(_OPERATION + _CRITERIA))
+    return RQ.step_rows(spark, folder).withColumn("request", F.replace(held, F.lit(_OPERATION), criteria))
+
+
 @query("job_build_dataset", O.sql("steps", _BUILD, **_BUILD_VIEWS))
 def job_build_dataset(spark, folder):
-    """Redact → drop unloaded DONE → flatten → leak-checked splits → write → manifest, with the frozen bench."""
-    raw = RQ.step_rows(spark, folder)
-    flat = D.flatten_steps(raw)
+    """Redact → flatten → drop unloaded DONE → leak-checked splits → write → manifest, frozen bench and task overlap."""
+    safe = R.redact_rows(build_rows(spark, folder), PR.NAMES, D.STATE_TYPE)
+    flat = D.flatten_steps(safe, keep=("dropped",))
     text = F.coalesce(F.get_json_object("request", "$.state.page.text"), F.lit(""))
-    goal = F.lower("goal")
-    checked = flat.withColumn("_why", F.when(R.must_drop(F.array(text, "goal", "url"), goal), "pii").when(D.unloaded_done(F.col("operation"), F.col("n_elements"), text), "unloaded_done"))
-    clean = checked.withColumns({c: PV.redact_free(F.col(c), goal) for c in ("url", "title", "request", "meta")})
-    clean = materialize(clean, "clean-steps")
+    why = F.when(F.col("dropped"), "pii").when(D.unloaded_done(F.col("operation"), F.col("n_elements"), text), "unloaded_done")
+    clean = materialize(flat.withColumn("_why", why).drop("dropped"), "clean-steps")
     rows = D.leak_checked_splits(clean.filter("_why is null").drop("_why"), ["teacher"])
     path = scratch_path(spark, "dataset")
     IO.write_flat_steps(rows, path)
     out = spark.read.parquet(path)
-    by_op = out.groupBy("config", "split", F.col("operation").alias("item")).agg(F.count("*").alias("n"))
-    mix = by_op.select(F.lit("rows").alias("part"), "config", "split", "item", "n")
-    removed = clean.filter("_why is not null").groupBy("config", F.col("_why").alias("item")).agg(F.count("*").alias("n")).select(F.lit("removed").alias("part"), "config", F.lit("").alias("split"), "item", "n")
-    bench = out.filter((F.col("split") == "test") & (F.col("config") != "traces") & D.servable(D.n_options_of(F.col("request")), lenient=True))
-    frozen = bench.groupBy("config", "split", F.col("operation").alias("item")).agg(F.count("*").alias("n")).select(F.lit("bench").alias("part"), "config", "split", "item", "n")
-    return mix.unionByName(removed).unionByName(frozen)
+    part = lambda name: F.lit(name).alias("part")
+    by_op = out.groupBy("config", "split", "operation").agg(F.count("*").alias("n"), F.count_if(D.servable(D.n_options_of(F.col("request")))).alias("strict"))
+    by_op = materialize(by_op, "dataset-counts")
+    mix = by_op.select(part("rows"), "config", "split", F.col("operation").alias("item"), "n")
+    frozen = by_op.filter((F.col("split") == "test") & (F.col("config") != "traces") & (F.col("strict") > 0)).select(part("bench"), "config", "split", F.col("operation").alias("item"), F.col("strict").alias("n"))
+    removed = clean.filter("_why is not null").groupBy("config", F.col("_why").alias("item")).agg(F.count("*").alias("n")).select(part("removed"), "config", F.lit("").alias("split"), "item", "n")
+    tasks = V.steps(spark, folder).filter(F.col("session") % 10 == 0).select(F.concat(F.lit("t"), "session").alias("id"), F.concat(F.lit("Goal "), "session", F.lit(".")).alias("goal")).distinct()
+    met = D.task_overlap(out, tasks).groupBy("kind", "place").agg(F.count("*").alias("n"))
+    place = F.split("place", "/")
+    overlap = met.select(part("overlap"), place[0].alias("config"), place[1].alias("split"), F.col("kind").alias("item"), "n")
+    return mix.unionByName(removed).unionByName(frozen).unionByName(overlap)
 
 
 # ---- prompts and shrinking

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepline.functions import prob
 from stepline.operators import metrics as M
-from stepline.operators.ordering import order_statistics, running_sums
+from stepline.operators.ordering import order_statistics
 from stepline.plans import oracle as O
 from stepline.plans import views as V
 from stepline.plans.registry import query
@@ -524,19 +524,13 @@ def context_drop_correction(spark, folder):
     "running_success",
     O.sql(
         "qs",
-        """SELECT step_id+1 AS seen, round(avg(ok::INT::DOUBLE) OVER (ORDER BY step_id),6) AS step_success
-        FROM (SELECT step_id, bool_and(correct) AS ok FROM qs GROUP BY step_id) QUALIFY (step_id+1)%200=0""",
+        """SELECT seen, step_success FROM (SELECT row_number() OVER (ORDER BY step_id) AS seen, round(avg(ok::INT::DOUBLE) OVER (ORDER BY step_id),6) AS step_success
+        FROM (SELECT step_id, bool_and(correct) AS ok FROM qs GROUP BY step_id)) WHERE seen%200=0""",
     ),
 )
 def running_success(spark, folder):
     s = _scored(spark, folder).select("step_id", M.all_right("questions").cast("long").alias("ok"))
-    every = 200
-    # one row per block of 200 first: only the block ends are reported
-    blocks = s.groupBy(F.floor(F.col("step_id") / every).alias("block")).agg(F.sum("ok").alias("ok"), F.count("*").alias("n"))
-    run = running_sums(blocks, "block", {"ok_to": F.col("ok"), "n_to": F.col("n")})
-    return run.filter(F.col("n") == every).select(
-        ((F.col("block") + 1) * every).alias("seen"), M.r6(F.col("ok_to") / F.col("n_to")).alias("step_success")
-    )
+    return M.running_share(s, "step_id", "ok", 200).select("seen", M.r6("share").alias("step_success"))
 
 
 @query(

@@ -67,10 +67,8 @@ _NEG = """SELECT n.*, g.gold, g.gold_last, g.gold_label FROM nodes n JOIN gold g
 def near_nodes(spark, folder):
     """Gold and unrelated nodes per page; other positives are no negatives."""
     n = V.flat_nodes(spark, folder).withColumn("candidate", F.lit(True)).withColumn("weight", F.when(F.col("tag") == "a", 3.0).otherwise(1.0))
-    near = C.near_gold(n, _gold(spark, folder).withColumn("hit", F.col("gold")))
-    positives = _positives(spark, folder).select("page_id", F.explode("cands").alias("pre"))
-    negative = near.filter(~F.col("is_gold")).join(positives, ["page_id", "pre"], "left_anti")
-    return near.filter("is_gold").unionByName(negative)
+    steps = _gold(spark, folder).withColumn("hit", F.col("gold")).join(_positives(spark, folder).withColumnRenamed("cands", "positives"), "page_id")
+    return C.near_gold(n, steps).drop("positives")
 
 
 def _negatives(spark, folder):

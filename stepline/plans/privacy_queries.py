@@ -70,10 +70,19 @@ def match_context(spark, folder):
     return d.select("doc_id", P.context(F.col("t"), F.col("s.start"), F.col("s.end")).alias("context"))
 
 
+# the page of a step is its document with every digit replaced, so that phone and card numbers
+# and the like are exactly those put in front by rule, which the oracle can name
+PHONE_LINE, SSN_LINE, CARD_NUMBER = "Call 212-555-0187 today. ", "My number is 078-05-1121 and so on. ", "4111 1111 1111 1111"
+_PAGE_SQL = f"CASE WHEN doc_id%13=0 THEN '{PHONE_LINE}' ELSE '' END||CASE WHEN doc_id%23=0 THEN '{SSN_LINE}' ELSE '' END||translate(text,'0123456789','DDDDDDDDDD')"
+
+
 def browser_steps(spark, folder):
     """One step per document: its text as the page, form values typed from it."""
     d = _docs(spark, folder)
     i = F.col("doc_id")
+    page = F.concat(
+        F.when(i % 13 == 0, PHONE_LINE).otherwise(""), F.when(i % 23 == 0, SSN_LINE).otherwise(""), F.translate("text", "0123456789", "DDDDDDDDDD")
+    )
     mail = F.concat(F.lit("user"), i, F.lit("@mail.example.com"))
     element = lambda label, value, op: F.struct(
         F.lit("textbox").alias("role"), F.lit(label).alias("label"), value.cast("string").alias("value"), F.lit("1").alias("index"), F.array(F.lit(op)).alias("operations"),
@@ -84,6 +93,7 @@ def browser_steps(spark, folder):
             F.when(i % 3 == 0, element("E-mail", mail, "TYPE_TEXT")),
             F.when(i % 5 == 0, element("Password", F.concat(F.lit("hunter"), i), "TYPE_TEXT")),
             F.when(i % 4 == 0, element("Country", F.col("lang"), "SELECT")),
+            F.when(i % 19 == 0, element("Card number", F.lit(CARD_NUMBER), "TYPE_TEXT")),
         )
     )
     action = lambda a, k, t: F.struct(F.lit(a).alias("action"), F.lit(k).alias("kind"), t.cast("string").alias("text"), F.lit(None).cast("boolean").alias("page_changed"))
@@ -95,7 +105,7 @@ def browser_steps(spark, folder):
     )
     url = F.concat(F.lit("http://h.example.com/?d="), i, F.when(i % 6 == 0, F.concat(F.lit("&token=abcdefghijkl"), i)).otherwise(""))
     state = F.struct(
-        F.struct(url.alias("url"), F.col("source").alias("title"), F.col("text").alias("text")).alias("page"), elements.alias("elements"), actions.alias("recent_actions")
+        F.struct(url.alias("url"), F.col("source").alias("title"), page.alias("text")).alias("page"), elements.alias("elements"), actions.alias("recent_actions")
     )
     goal = F.when(i % 9 == 0, F.concat(F.lit("Write to "), F.upper(mail))).otherwise("Read the page")
     op = F.when(i % 10 == 0, "DONE").otherwise("CLICK")
@@ -105,7 +115,7 @@ def browser_steps(spark, folder):
     )
 
 
-STEPS_SQL = """SELECT doc_id AS id, source AS config, CASE WHEN doc_id%5=0 THEN 'validation' ELSE 'train' END AS split, text,
+STEPS_SQL = f"""SELECT doc_id AS id, source AS config, lang, CASE WHEN doc_id%5=0 THEN 'validation' ELSE 'train' END AS split, {_PAGE_SQL} AS text,
   'user'||doc_id||'@mail.example.com' AS mail, 'http://h.example.com/?d='||doc_id||CASE WHEN doc_id%6=0 THEN '&token=abcdefghijkl'||doc_id ELSE '' END AS url,
   CASE WHEN doc_id%9=0 THEN 'Write to '||upper('user'||doc_id||'@mail.example.com') ELSE 'Read the page' END AS goal,
   CASE WHEN doc_id%8=0 THEN 'because of the page' END AS reason FROM documents"""
@@ -113,6 +123,7 @@ _FIELDS = """SELECT id, 'url' AS field, url AS text, false AS typed, '' AS label
   UNION ALL SELECT id, 'typed', 'Mary Poppins', true, 'Your name' FROM st WHERE id%7=0 UNION ALL SELECT id, 'labels', 'Your name', false, '' FROM st WHERE id%7=0
   UNION ALL SELECT id, 'labels', 'Search', false, '' FROM st WHERE id%2=0 UNION ALL SELECT id, 'labels', 'E-mail', false, '' FROM st WHERE id%3=0
   UNION ALL SELECT id, 'labels', 'Password', false, '' FROM st WHERE id%5=0 UNION ALL SELECT id, 'labels', 'Country', false, '' FROM st WHERE id%4=0
+  UNION ALL SELECT id, 'labels', 'Card number', false, '' FROM st WHERE id%19=0 UNION ALL SELECT id, 'typed', '4111 1111 1111 1111', true, 'Card number' FROM st WHERE id%19=0
   UNION ALL SELECT id, 'typed', mail, true, 'E-mail' FROM st WHERE id%3=0 UNION ALL SELECT id, 'typed', 'hunter'||id, true, 'Password' FROM st WHERE id%5=0
   UNION ALL SELECT id, 'goal', goal, false, '' FROM st UNION ALL SELECT id, 'labels', reason, false, '' FROM st WHERE reason IS NOT NULL"""
 
@@ -124,8 +135,13 @@ def scan_fields(spark, folder):
     return s.select("id", f).select("id", "f.*")
 
 
-# personal data that only the typed values and addresses of the derived steps hold, plus the page's own e-mail addresses
+_SECRET_RE2 = P.SECRET.removeprefix("(?U)")
+# what the derived steps hold by rule, plus the page's own e-mail addresses and secrets
 _FOUND = f"""SELECT id, 'page_text' AS field, 'email' AS category FROM (SELECT id, unnest({_emails('text')}) FROM st)
+  UNION ALL SELECT id, 'page_text', 'secret' FROM (SELECT id, unnest(regexp_extract_all(text,'{_SECRET_RE2}')) FROM st)
+  UNION ALL SELECT id, 'page_text', 'phone' FROM st WHERE id%13=0
+  UNION ALL SELECT id, 'page_text', 'ssn' FROM st WHERE id%23=0
+  UNION ALL SELECT id, 'typed', 'card' FROM st WHERE id%19=0
   UNION ALL SELECT id, 'url', 'secret' FROM st WHERE id%6=0
   UNION ALL SELECT id, 'typed', 'name' FROM st WHERE id%7=0
   UNION ALL SELECT id, 'typed', CASE WHEN id%9=0 THEN 'email_from_goal' ELSE 'email' END FROM st WHERE id%3=0
@@ -139,9 +155,7 @@ def _found(spark, folder):
 
 @query("scan_row", O.sql("", "SELECT id, field, category, count(*) AS n FROM fo GROUP BY ALL", st=STEPS_SQL, fo=_FOUND))
 def scan_row(spark, folder):
-    """Phones and cards need look-around and a checksum, which the oracle lacks: ``pii_find`` and the tests cover them."""
-    f = _found(spark, folder).filter(~F.col("category").isin("phone", "card", "ssn") & ~((F.col("category") == "secret") & (F.col("field") == "page_text")))
-    return f.groupBy("id", "field", "category").agg(F.count("*").alias("n"))
+    return _found(spark, folder).groupBy("id", "field", "category").agg(F.count("*").alias("n"))
 
 
 @query("job_pii_scan")
@@ -167,12 +181,12 @@ def job_pii_scan(spark, folder):
     ),
 )
 def pii_report(spark, folder):
-    return R.report(_found(spark, folder).filter(~F.col("category").isin("phone", "card", "ssn")))
+    return R.report(_found(spark, folder))
 
 
 @query("pii_row_ids", O.sql("", "SELECT DISTINCT category, config||'/'||split||'/'||id AS row FROM fo JOIN st USING (id)", st=STEPS_SQL, fo=_FOUND))
 def pii_row_ids(spark, folder):
-    return R.flagged_rows(_found(spark, folder).filter(~F.col("category").isin("phone", "card", "ssn")))
+    return R.flagged_rows(_found(spark, folder))
 
 
 @query(
@@ -192,8 +206,7 @@ _RULES = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k,
     O.sql("", f"SELECT category, count(*) AS n, CASE CASE WHEN category LIKE '%!_from!_goal' ESCAPE '!' THEN '*_from_goal' ELSE category END {_RULES} END AS rule FROM fo GROUP BY category", st=STEPS_SQL, fo=_FOUND),
 )
 def redaction_policy(spark, folder):
-    f = _found(spark, folder).filter(~F.col("category").isin("phone", "card", "ssn"))
-    return f.groupBy("category").agg(F.count("*").alias("n")).withColumn("rule", R.policy_of(F.col("category")))
+    return _found(spark, folder).groupBy("category").agg(F.count("*").alias("n")).withColumn("rule", R.policy_of(F.col("category")))
 
 
 _LEAKY = "text||' '||source||'@x.org?token=0123456789abcdef'"
@@ -206,10 +219,18 @@ def redact_email(spark, folder):
     return _docs(spark, folder).select("doc_id", P.redact_free(t, F.lit("")).alias("text"))
 
 
-@query("redact_row")
+_URL_SECRET_RE2 = P.URL_SECRET.replace("'", "''")
+_SAFE = rf"regexp_replace(regexp_replace(text,'{_SECRET_RE2}','<redacted>','g'),'{_URL_SECRET_RE2}','\1<redacted>','g')"
+_REDACTED = rf"""SELECT id, config, split, goal, (id%23=0 OR id%19=0) AS dropped, CASE WHEN id%6=0 THEN 'http://h.example.com/?d='||id||'&token=<redacted>' ELSE url END AS url,
+  replace(regexp_replace({_MARKED.format(t=_SAFE)},'{_EMAIL_RE2}','\1<email>\3','g'),chr(3),'') AS text,
+  concat_ws('|', CASE WHEN id%3=0 THEN CASE WHEN id%9=0 THEN mail ELSE 'user@example.com' END END, CASE WHEN id%5=0 THEN '<redacted>' END, CASE WHEN id%4=0 THEN lang END,
+    CASE WHEN id%19=0 THEN '{CARD_NUMBER}' END, CASE WHEN id%7=0 THEN 'Alex Doe' END) AS typed FROM st"""
+
+
+@query("redact_row", O.sql("", _REDACTED, st=STEPS_SQL))
 def redact_row(spark, folder):
     r = R.redact(browser_steps(spark, folder), NAMES)
+    values, said = F.transform("state.elements", lambda e: e["value"]), F.transform("state.recent_actions", lambda a: a["text"])
     return r.select(
-        "id", "config", "split", "goal", "dropped", F.col("state.page.url").alias("url"), F.col("state.page.text").alias("text"),
-        F.to_json("state.elements").alias("elements"), F.to_json("state.recent_actions").alias("recent_actions"),
+        "id", "config", "split", "goal", "dropped", F.col("state.page.url").alias("url"), F.col("state.page.text").alias("text"), F.array_join(F.concat(values, said), "|").alias("typed"),
     )

@@ -158,7 +158,7 @@ _N_TRAIN, _N_EVAL = 150, 20
 
 def _placed_pairs(spark, folder):
     n = table(spark, folder, "nation").join(table(spark, folder, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    pairs = S.ordered_pairs(spark, S.bounded_list(n, "n_name"))
+    pairs = S.ordered_pairs(n, "n_name")
     return hash_position(pairs, keyed(0, "a", "b"), "a")
 
 

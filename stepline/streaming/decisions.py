@@ -36,7 +36,7 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 def drop_repeats(log: DataFrame, keys: Sequence[str | Column], delay: str = "1 day") -> DataFrame:
     """Repeats of (request, label) within a session; a state is forgotten once the watermark passes it."""
-    sig = F.sha2(F.concat_ws("|", *keys), 256)
+    sig = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
     marked = log.withColumn("sig", sig).withWatermark("ts", delay)
     return marked.dropDuplicatesWithinWatermark(["session", "sig"])
 

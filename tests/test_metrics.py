@@ -101,3 +101,10 @@ def test_choice_answers_sum_to_one_after_rounding(spark, k):
     assert abs(sum(a["probabilities"].values()) - 1) < 0.02
     assert a["probabilities"][a["choice"]] >= max(a["probabilities"].values()) - 1e-6
     assert 0 <= a["confidence"] <= 1
+
+
+def test_running_share_counts_rows_whatever_their_numbers(spark):
+    rows = [(i, int(i % 3 == 0)) for i in range(1000) if i % 7 != 3]
+    df = spark.createDataFrame(rows, "step_id long, ok long")
+    got = {r["seen"]: r["share"] for r in M.running_share(df, "step_id", "ok", 200).collect()}
+    assert got == {n: sum(ok for _, ok in rows[:n]) / n for n in range(200, len(rows) + 1, 200)}

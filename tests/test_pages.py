@@ -139,3 +139,22 @@ def test_accessibility_tree(spark):
     page = P.tree_page(n).first()
     assert (page["title"], page["root_url"]) == ("Sums", "https://sums.example/")
     assert page["lines"] == ["UPGRADE", "Enter a sum", "See", "more"]
+
+
+def test_the_text_of_an_element_is_whole(spark):
+    runs = [f"word{i} " * 3 for i in range(300)]
+    html = "<body>" + "".join(f"<p>{r}</p>" for r in runs) + "<div>" + "x" * 5000 + "</div></body>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    rows = {r["pre"]: r["text"] for r in P.page_nodes(pages).collect()}
+    assert rows[0] == " ".join([*(" ".join(r.split()) for r in runs), "x" * 5000])
+    assert all(len(r["text"]) <= 202 for r in P.page_nodes(pages, text_chars=202).collect())
+
+
+def test_other_positives_are_no_negatives(spark):
+    from stepline.operators import convert as C
+
+    nodes = spark.range(10).selectExpr("1 as page_id", "cast(id as int) as pre", "cast(id as int) as last", "true as candidate")
+    steps = spark.createDataFrame([(1, 2, 2, 2, [2, 4, 6]), (1, 3, 3, 3, None)], "page_id int, gold int, gold_last int, hit int, positives array<long>")
+    near = C.near_gold(nodes, steps).filter("not is_gold").select("gold", "pre").collect()
+    assert {r["pre"] for r in near if r["gold"] == 2} == {0, 1, 3, 5, 7, 8, 9}
+    assert {r["pre"] for r in near if r["gold"] == 3} == {0, 1, 2, 4, 5, 6, 7, 8, 9}
