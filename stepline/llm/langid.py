@@ -25,8 +25,8 @@ from stepline.llm.scratch import Scratch
 ORDERS, BITS = (1, 2, 3), 15
 SAMPLE_ROWS = 2_500  # texts of each language that the classifiers are fitted on, about
 SMOOTH = 0.5
-TEMPER = 40.0  # n-grams that a margin speaks for: longer texts are no more certain than so many
-AMBIGUOUS = 0.2  # least difference of weighted loss between the two nearest codewords
+TEMPER = 6.0  # the most that a mean ratio is multiplied by; it grows as the square root of the n-grams up to there
+AMBIGUOUS = 2.0  # a difference of weighted loss between the two nearest codewords below this is flagged
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -77,7 +77,7 @@ def margins(text: str | None, weights: np.ndarray) -> np.ndarray:
     for g in grams(text, ORDERS, BITS):
         total += weights[g].sum(axis=0, dtype=np.float64)
         n += len(g)
-    return total / max(n, 1) * min(n, TEMPER)
+    return total / max(n, 1) * min(n**0.5, TEMPER)
 
 
 def _wrong(batches: Iterator[pa.RecordBatch], weights: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
