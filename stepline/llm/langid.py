@@ -144,10 +144,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     Only the text is looked at, whole; repeated rows are decided alike, no rows give no rows, and
     a column named like out is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights, model.trust))
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([decode(t, shared.value) for t in texts], columns=["lang", "score", "ambiguous"])
+        here = Model(*shared.value)
+        return pd.DataFrame([decode(t, here) for t in texts], columns=["lang", "score", "ambiguous"])
 
     return docs.withColumn(out, of(F.col(text_col)))

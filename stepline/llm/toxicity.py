@@ -119,10 +119,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     A column named like out is replaced; repeated rows score alike; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.weight, model.bias))
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([probability(t, shared.value) for t in texts], dtype=float)
+        here = Model(*shared.value)
+        return pd.Series([probability(t, here) for t in texts], dtype=float)
 
     return docs.withColumn(out, of(F.col(text_col)))
