@@ -120,7 +120,7 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 OP6_SQL = """WITH p AS (SELECT page_id, coalesce(html,'') AS h FROM pages),
 f AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, upper(sha1(h)) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(0,32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x'||substr(x, ((i//4)*5+1)::INT, 5))::BIGINT >> (15-5*(i%4))::INT) & 31)+1)::INT, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0,32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x'||substr(x, ((i//4)*5+1)::INT, 5))::BIGINT >> (15-5*(i%4))::INT) & 31)+1)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id=first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id<>first THEN first END AS refers_to FROM f"""
 
 
