@@ -295,3 +295,19 @@ def running_share(df: DataFrame, order: str, hit: str, every: int) -> DataFrame:
     blocks = placed.groupBy(F.floor((F.col("_at") - 1) / every).alias("_block")).agg(F.sum(hit).alias("_hits"), F.count("*").alias("_rows"))
     run = running_sums(blocks, "_block", {"_hits_to": F.col("_hits")}).filter(F.col("_rows") == every)
     return run.select(((F.col("_block") + 1) * every).alias("seen"), (F.col("_hits_to") / ((F.col("_block") + 1) * every)).alias("share"))
+
+
+def agreement_rates(df: DataFrame, label: Column, judge: Column, said: Column, p: Column, thresholds: list[float]) -> DataFrame:
+    """DONE recall and premature rate by the raw labels and where label and judge agree.
+
+    A row per rule: ``choice`` (the answer given) and every threshold on its probability. Recall is
+    over steps that are done, the premature rate over steps that are not; each comes with the
+    number of its steps, and a rate without steps is null. One pass over the rows.
+    """
+    groups = {"recall_raw": label, "recall_agree": label & judge, "premature_raw": ~label, "premature_agree": ~label & ~judge}
+    rules = [("choice", said), *[(str(t), p >= t) for t in thresholds]]
+    rates = [share(F.when(g, hit)).alias(f"{name}_{i}") for i, (_, hit) in enumerate(rules) for name, g in groups.items()]
+    sizes = [F.count_if(g).alias(f"n_{name}") for name, g in groups.items()]
+    one = df.agg(*rates, *sizes)
+    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), *[F.col(f"{name}_{i}").alias(name) for name in groups]) for i, (rule, _) in enumerate(rules)])
+    return one.select(F.explode(rows).alias("r"), *[f"n_{name}" for name in groups]).select("r.*", *[f"n_{name}" for name in groups])

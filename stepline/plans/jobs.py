@@ -27,6 +27,11 @@ from stepline.sources import steps as IO
 from stepline.sources.tables import table
 
 
+def sql_text(text):
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 LABEL_CHARS = 202  # the converters clip labels and values to 100 characters after trimming
 
 
@@ -345,6 +350,27 @@ def judge_prompt(spark, folder):
     return c.select("conv_id", "turn", prompts.judge_prompt(F.col("role"), url, F.concat(F.lit("t"), F.col("turn")), F.col("text"), elements, actions).alias("prompt"))
 
 
+_TEACHER = f"""SELECT id, 'GOAL: '||goal||chr(10)||chr(10)||'URL: '||substring(url,1,300)||chr(10)||'TITLE: '||config||chr(10)||chr(10)||'VISIBLE PAGE TEXT:'||chr(10)||substring(text,1,6000)
+  ||chr(10)||chr(10)||'ELEMENTS:'||chr(10)||concat_ws(chr(10),
+    CASE WHEN id%3=0 THEN '[1] textbox ''E-mail'' value='''||mail||''' ops=TYPE_TEXT' END, CASE WHEN id%5=0 THEN '[1] textbox ''Password'' value=''hunter'||id||''' ops=TYPE_TEXT' END,
+    CASE WHEN id%4=0 THEN '[1] textbox ''Country'' value='''||lang||''' ops=SELECT' END, CASE WHEN id%19=0 THEN '[1] textbox ''Card number'' value=''{PR.CARD_NUMBER}'' ops=TYPE_TEXT' END)
+  ||chr(10)||chr(10)||'RECENT ACTIONS:'||chr(10)||coalesce(nullif(concat_ws(chr(10), CASE WHEN id%7=0 THEN '- fill: Your name = ''Mary Poppins''' END, CASE WHEN id%2=0 THEN '- click: Search' END),''),'- (none)')
+  ||chr(10)||chr(10)||'OPERATIONS:'||chr(10)||'- CLICK: go'||chr(10)||'- DONE: end'||chr(10)||chr(10)||'VALID TARGETS PER OPERATION:'||chr(10)
+  ||CASE WHEN id%400=0 THEN '- (none)' ELSE '- CLICK target keys: '||array_to_string(range(1,least(id%400,300)+1),', ') END
+  ||chr(10)||chr(10)||'RULES:'||chr(10)||'be brief'||chr(10)||chr(10)||{sql_text(prompts.SAFETY_RULES)}||chr(10)||chr(10)||{sql_text(prompts.REPLY_FORMAT)} AS prompt FROM st"""
+
+
+@query("teacher_prompt", O.sql("", _TEACHER, st=PR.STEPS_SQL))
+def teacher_prompt(spark, folder):
+    """What a teacher reads about each derived browser step, with up to 399 targets offered."""
+    s = PR.browser_steps(spark, folder)
+    n = (F.col("id") % 400).cast("int")
+    keys = F.transform(F.sequence(F.lit(1), n), lambda i: i.cast("string"))
+    targets = F.when(n > 0, F.array(F.struct(F.lit("CLICK").alias("operation"), keys.alias("keys")))).otherwise(F.array().cast("array<struct<operation:string,keys:array<string>>>"))
+    operations = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("CLICK", "go"), ("DONE", "end"))])
+    return s.select("id", prompts.teacher_prompt(F.col("goal"), F.lit("be brief"), F.col("state"), operations, targets).alias("prompt"))
+
+
 @query(
     "shrink_state",
     """WITH RECURSIVE r AS (SELECT page_id, length(html)::BIGINT AS n, 0 AS cuts FROM pages UNION ALL

@@ -332,6 +332,32 @@ def label_judge_agreement(spark, folder):
     ).agg(F.count("*").alias("n"), M.r6(M.share(F.col("n_chars") >= 800)).alias("said_done_rate"))
 
 
+_THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+_AGREE_RULES = "SELECT 'choice' AS rule, -1.0::DOUBLE AS t" + "".join(f" UNION ALL SELECT '{t}', {t}::DOUBLE" for t in _THRESHOLDS)
+_AGREE = [("recall_raw", "label"), ("recall_agree", "label AND judge"), ("premature_raw", "NOT label"), ("premature_agree", "NOT label AND NOT judge")]
+
+
+@query(
+    "agreement_analysis",
+    O.sql(
+        "qs steps verdicts",
+        f"""SELECT rule, {", ".join(f"round(avg(hit::INT::DOUBLE) FILTER (WHERE {g}),6) AS {n}" for n, g in _AGREE)},
+        {", ".join(f"count(*) FILTER (WHERE {g}) AS n_{n}" for n, g in _AGREE)}
+        FROM (SELECT rule, label, judge, CASE WHEN t<0 THEN said ELSE p_done>=t END AS hit FROM ops, rules) GROUP BY rule""",
+        rules=_AGREE_RULES,
+        ops="""SELECT q.gold='DONE' AS label, q.pred='DONE' AS said, q.p_done, CASE WHEN q.gold='DONE' THEN v.judged_done ELSE NOT v.judged_done AND s.k%4=0 END AS judge
+        FROM qs q JOIN steps s USING (step_id) JOIN verdicts v ON v.session=s.session WHERE q.qid='operation'""",
+    ),
+)
+def agreement_analysis(spark, folder):
+    """DONE metrics where the label and the episode's judge agree, beside those of the raw labels."""
+    rows = _ops(spark, folder).join(V.verdicts(spark, folder), "session")
+    label = F.col("gold") == "DONE"
+    judge = F.when(label, F.col("judged_done")).otherwise(~F.col("judged_done") & (F.col("k") % 4 == 0))
+    out = M.agreement_rates(rows, label, judge, F.col("pred") == "DONE", F.col("p_done"), _THRESHOLDS)
+    return out.withColumns({n: M.r6(F.col(n)) for n, _ in _AGREE})
+
+
 @query(
     "split_manifest",
     O.sql(
