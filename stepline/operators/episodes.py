@@ -120,12 +120,12 @@ def outcome_of_run(exit_code: Column, statuses: Column, stderr: Column, timed_ou
 def decision_sequence(decisions: DataFrame, episodes: DataFrame, width: int = 400, reason_width: int = 200) -> DataFrame:
     """``OP[target] → OP …`` per session, cut to a width, with its length and last reason.
 
-    An entry takes at least four characters with its arrow, so the first width / 4 entries
-    of a session already decide the whole text.
+    Decisions without an operation have no entry. An entry takes at least four characters with
+    its arrow, so the first width / 4 entries of a session already decide the whole text.
     """
     entry = F.concat("operation", F.when(F.col("target").isNotNull(), F.concat(F.lit("["), F.col("target"), F.lit("]"))).otherwise(""))
     head = first_per_group(
-        decisions.select("session", "ts", "step_id", entry.alias("entry")), ["session"], [F.col("ts"), F.col("step_id")], width // 4 + 1
+        decisions.select("session", "ts", "step_id", entry.alias("entry")).filter(F.length("entry") > 0), ["session"], [F.col("ts"), F.col("step_id")], width // 4 + 1
     )
     text = head.groupBy("session").agg(
         F.substring(
@@ -135,4 +135,4 @@ def decision_sequence(decisions: DataFrame, episodes: DataFrame, width: int = 40
     ends = decisions.groupBy("session").agg(
         F.count("*").alias("n_decisions"), F.substring(F.max_by("reason", moment()), 1, reason_width).alias("last_reason")
     )
-    return ends.join(text, "session").join(episodes.select("session", "outcome"), "session", "left")
+    return ends.join(text, "session", "left").join(episodes.select("session", "outcome"), "session", "left")

@@ -498,9 +498,20 @@ def paired_outcomes(spark, folder):
     )
 
 
-@query("paired_outcomes_p")
+@query(
+    "paired_outcomes_p",
+    O.sql(
+        "episodes",
+        """SELECT n, both_solved, gained, lost, CASE WHEN gained+lost=0 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, 2*(SELECT sum(exp(lgamma(gained+lost+1)-lgamma(i+1)-lgamma(gained+lost-i+1)-(gained+lost)*ln(2.0::DOUBLE)))
+          FROM range(0,100000) r(i) WHERE i<=least(gained,lost))),6) END AS p_value FROM po""",
+        r1="SELECT task, outcome='done' AS a FROM episodes",
+        r2="SELECT task, session%3=0 AS b FROM episodes",
+        po="""SELECT count(*) AS n, count(*) FILTER (WHERE a AND b) AS both_solved, count(*) FILTER (WHERE b AND NOT a) AS gained,
+          count(*) FILTER (WHERE a AND NOT b) AS lost FROM r1 JOIN r2 USING (task)""",
+    ),
+)
 def paired_outcomes_p(spark, folder):
-    return paired_outcomes(spark, folder).withColumn("p_value", M.mcnemar_exact(F.col("gained"), F.col("lost")))
+    return paired_outcomes(spark, folder).withColumn("p_value", M.r6(M.mcnemar_exact(F.col("gained"), F.col("lost"))))
 
 
 @query(

@@ -516,7 +516,17 @@ def overlap_report(spark, folder):
     return overlap(rows, eval_tasks(spark, folder))
 
 
-@query("scorer_backend")
+@query(
+    "scorer_backend",
+    O.sql(
+        "",
+        """SELECT question, (array_agg(k ORDER BY p DESC, k))[1] AS choice, round(CASE WHEN count(*)=1 THEN 1.0::DOUBLE ELSE (max(p)-1.0::DOUBLE/count(*))/(1-1.0::DOUBLE/count(*)) END,4) AS confidence,
+        string_agg(printf('%.4f', round(p,4)), ',' ORDER BY k) AS probabilities FROM (SELECT question, k, w/sum(w) OVER (PARTITION BY question) AS p FROM (
+        SELECT question, k, exp(z-max(z) OVER (PARTITION BY question)) AS w FROM (
+        SELECT a.vec_id AS question, b.vec_id AS k, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])/sqrt(len(a.embedding)) AS z
+        FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id+1 AND a.vec_id+4))) GROUP BY question""",
+    ),
+)
 def scorer_backend(spark, folder):
     """Questions answered by a pluggable scorer over their option vectors."""
     from stepline.operators.scoring import pointer_scorer, score_with
@@ -524,4 +534,5 @@ def scorer_backend(spark, folder):
     e = table(spark, folder, "embeddings")
     asks = e.select(F.col("vec_id").alias("question"), F.col("embedding").alias("q"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 4)).alias("vec_id"))
     options = asks.join(e.select("vec_id", F.col("embedding").alias("o")), "vec_id")
-    return score_with(options, pointer_scorer, "question", "vec_id")
+    told = score_with(options, pointer_scorer, "question", "vec_id")
+    return told.withColumn("probabilities", F.array_join(F.transform("probabilities", lambda p: F.format_string("%.4f", p)), ","))

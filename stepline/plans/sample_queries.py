@@ -399,7 +399,15 @@ def option_subset(spark, folder):
 # ---- batches
 
 
-@query("length_bucket_batches")
+@query(
+    "length_bucket_batches",
+    f"""WITH RECURSIVE o AS (SELECT n_chars AS length, row_number() OVER (ORDER BY {O.key('batches', 'doc_id')}, doc_id) AS position FROM documents),
+    s AS (SELECT (position-1)//{S.WINDOW_ROWS} AS win, length, row_number() OVER (PARTITION BY (position-1)//{S.WINDOW_ROWS} ORDER BY length, position) AS i FROM o),
+    b AS (SELECT win, i, length, 0 AS batch, 1 AS held FROM s WHERE i=1
+      UNION ALL SELECT s.win, s.i, s.length, CASE WHEN s.length*(b.held+1)>100000 THEN b.batch+1 ELSE b.batch END, CASE WHEN s.length*(b.held+1)>100000 THEN 1 ELSE b.held+1 END
+      FROM b JOIN s ON s.win=b.win AND s.i=b.i+1)
+    SELECT win::BIGINT AS "window", batch::BIGINT AS batch, count(*) AS n, max(length) AS longest, max(length)*count(*) AS padded FROM b GROUP BY win, batch""",
+)
 def length_bucket_batches(spark, folder):
     d = table(spark, folder, "documents")
     b = S.length_batches(d, "doc_id", "n_chars", keyed("batches", "doc_id"), 100_000)
