@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from stepline.plans import catalog  # noqa: E402
-from stepline.session import local_session  # noqa: E402
+from stepline.session import clear_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "job_bench_report",
@@ -68,6 +68,7 @@ def main() -> None:
         catalog.QUERIES[key](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[key] = round(time.perf_counter() - start, 3)
         spark.catalog.clearCache()
+        clear_scratch(spark)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(
         json.dumps(

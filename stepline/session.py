@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_made: list[str] = []  # folders of this process's jobs that are still there
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "stepline") -> SparkSession:
     """A session for tests and for the bench; on a cluster the caller brings its own."""
@@ -34,7 +36,7 @@ def scratch_root(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="stepline-")
         spark.conf.set(CHECKPOINT_KEY, folder)
@@ -43,7 +45,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, not yet existing path below the shared scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the intermediate tables of all jobs so far; call it when their results are written or collected.
+
+    A result is lazy and may read such tables, so no job can remove them by itself.
+    """
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = paths(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -11,11 +11,12 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from stepline.session import local_session
+    from stepline.session import clear_scratch, local_session
 
     s = local_session(app="tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_scratch(s)
     s.stop()
 
 

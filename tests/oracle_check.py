@@ -71,7 +71,7 @@ def compare(spark, folder: str, run, sql: str | None) -> tuple[bool, str]:
 def main() -> int:
     sys.path.insert(0, __file__.rsplit("/", 2)[0])
     import __spark_entry__ as entry
-    from stepline.session import local_session
+    from stepline.session import clear_scratch, local_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     q, o = entry.queries(), entry.oracle_sql()
@@ -88,6 +88,7 @@ def main() -> int:
             ok, note = False, f"{type(e).__name__}: {str(e)[:600]}"
         if not ok:
             bad.append(k)
+        clear_scratch(spark)
         print(f"{'ok  ' if ok else 'FAIL'} {k}: {note}", flush=True)
     print(f"{len(keys) - len(bad)}/{len(keys)} ok; failing: {bad}")
     return bool(bad)

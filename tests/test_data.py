@@ -116,3 +116,13 @@ def test_uneven_hash_cut(spark):
     df = spark.range(1003)
     got = S.cut_fraction(df, keyed(0, "id"), "id", 0.8).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in got} == {"train": math.floor(0.8 * 1003), "dev": 1003 - math.floor(0.8 * 1003)}
+
+
+def test_intermediate_tables_are_gone_when_the_job_is_over(spark):
+    from pathlib import Path
+
+    from stepline.session import clear_scratch, materialize, scratch_root
+
+    materialize(spark.range(10), "left-over")
+    clear_scratch(spark)
+    assert not [p for p in Path(scratch_root(spark)).iterdir() if p.name.startswith("left-over")]
