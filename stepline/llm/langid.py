@@ -93,7 +93,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     Rows with a null or empty text, or a null language, are passed over. One language is always
     predicted; with none every text is undetermined. The counts that reach the driver are at most
-    languages x 2**BITS.
+    languages x 2**BITS, and the broadcast table of shares has a row per language.
     """
     scratch = Scratch(docs.sparkSession, "langid")
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         return Model([], code, np.zeros((1 << BITS, 1), np.float32), np.ones(1))
     table = docs.sparkSession.createDataFrame([(k, name, min(1.0, sample_rows / sizes[name])) for k, name in enumerate(names)], "k int, name string, share double")
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    part = known.join(table, F.col("lang") == F.col("name")).where(draw < F.col("share")).select("k", "text")
+    part = known.join(F.broadcast(table), F.col("lang") == F.col("name")).where(draw < F.col("share")).select("k", "text")
     sample = scratch.keep(part, "sample")
     counted = sample.mapInArrow(partial(_counts, n=len(names)), "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(names), 1 << BITS))
