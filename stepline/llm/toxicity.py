@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepline.llm.ngrams import grams
-from stepline.llm.scratch import Scratch
+from stepline.llm.scratch import Scratch, some_rows
 
 ORDERS, BITS = (3, 4, 5), 20
 SAMPLE_ROWS = 10_000  # labelled texts that the classifier is fitted on
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
-    chosen = scratch.keep(known.orderBy(F.xxhash64("__id"), "__id", "label").limit(sample_rows), "chosen")
+    chosen = scratch.keep(some_rows(known, sample_rows, "__id", "label"), "chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("__id"))
     on = scratch.keep(texts.select("label", "text").mapInArrow(_present, "label int, on array<int>"), "on")
     size = on.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepline.llm.scratch import Scratch
+from stepline.llm.scratch import Scratch, some_rows
 
 # Fixed values of the format.
 DICT_MAGIC = 0x184D2A5D
@@ -39,7 +39,7 @@ SCHEMA = "page string, record_type string, refers_to string, url string, payload
 
 def train_dictionary(pages: DataFrame, html_col: str) -> bytes:
     """A dictionary from at most SAMPLE_PAGES payloads, by hash; where too few to train on, their plain beginning."""
-    rows = pages.where(F.length(html_col) > 0).select(F.col(html_col).cast("binary").alias("h")).orderBy(F.xxhash64("h")).limit(SAMPLE_PAGES)
+    rows = pages.where(F.length(html_col) > 0).select(F.col(html_col).cast("binary").alias("h"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = [h for b in batches for h in b.column(0).to_pylist()]
@@ -49,7 +49,7 @@ def train_dictionary(pages: DataFrame, html_col: str) -> bytes:
             made = b"".join(samples)[:DICT_BYTES] or PLAIN
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["d"])
 
-    made = rows.coalesce(1).mapInArrow(train, "d binary").first()
+    made = some_rows(rows, SAMPLE_PAGES, "h").coalesce(1).mapInArrow(train, "d binary").first()
     return made["d"] if made else PLAIN
 
 
