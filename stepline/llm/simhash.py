@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepline.llm.components import connected_components
-from stepline.llm.scratch import Scratch
+from stepline.llm.scratch import Scratch, some_rows
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-QUARTERS, QUARTER_RADIUS = 4, 1
-SAMPLE = 16_384  # fingerprints that shape the trees; every fingerprint is indexed
-LEAF = 1_024  # fingerprints a shard should hold
-CHUNK = 8_192  # members of a shard that are compared at once; larger shards are split
+QUARTERS, QUARTER_RADIUS = 4, 1  # radius times quarters must reach RADIUS; the ball of radius one is spelled out in Tree
+SAMPLE = 65_536  # fingerprints that shape the trees; every fingerprint is indexed
+LEAF = 16  # fingerprints of the sample in a leaf; visits per fingerprint do not grow with the table
+CHUNK = 32_768  # members of a shard that are compared at once; larger shards are split
+UNIT = 50_000  # members of the shards that one call looks at, about
 BLOCK = 65_536  # shingles whose bits are counted at once
 
 
@@ -60,8 +61,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Tree:
     """A vantage-point tree over the 65,536 values of a quarter, shaped by a sample."""
 
-    def __init__(self, sample: np.ndarray, leaf: float, radius: int = QUARTER_RADIUS, seed: int = 7):
-        self.radius, self.leaf = radius, leaf
+    def __init__(self, sample: np.ndarray, leaf: int, seed: int = 7):
+        radius = QUARTER_RADIUS
         rng = np.random.default_rng(seed)
         values = np.arange(65_536, dtype=np.uint16)
         self.homes = np.zeros(65_536, np.int64)
@@ -85,6 +86,9 @@ class Tree:
             todo.append((have[d_have > split], home[d_home > split], near[d_near + radius > split]))
         value, shard = (np.concatenate(x) for x in zip(*visits, strict=True))
         lower = shard < self.homes[value]  # of two shards that overlap, the higher one's members visit the lower
+        value, shard = value[lower].astype(np.int64), shard[lower]
+        ball = (values[:, None].astype(np.int64) ^ (1 << np.arange(16))[None, :]).ravel()
+        lower = np.isin(value * self.leaves + shard, np.repeat(values.astype(np.int64), 16) * self.leaves + self.homes[ball])  # bounds are not sharp: the ball must reach in
         order = np.argsort(value[lower], kind="stable")
         self.visits = shard[lower][order]
         self.ends = np.searchsorted(value[lower][order], np.arange(65_537))
@@ -153,9 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    total = distinct.count()
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint16).reshape(-1, QUARTERS)
-    trees = [Tree(sample[:, q], LEAF * len(sample) / max(total, 1)) for q in range(QUARTERS)]
+    sample = np.array([r.fp for r in some_rows(distinct, SAMPLE, "fp").collect()], np.int64).view(np.uint16).reshape(-1, QUARTERS)
+    trees = [Tree(sample[:, q], LEAF) for q in range(QUARTERS)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,15 +177,20 @@ def _links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     placed = scratch.keep(distinct.mapInArrow(place, "tree int, shard int, home boolean, fp long"), "placed")
     sizes = placed.groupBy("tree", "shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     cut = placed.join(sizes, ["tree", "shard"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
-    units = cut.select("tree", "shard", "home", "fp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    units = units.select("tree", "shard", "home", "fp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    each = cut.select("tree", "shard", "home", "fp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    keyed = each.select("home", "fp", "chunk", F.xxhash64("tree", "shard", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("part"))
+    units = keyed.withColumn("unit", F.pmod("part", F.lit(-(-placed.count() // UNIT) + 1)))
 
     def compare(table: pa.Table) -> pa.Table:
-        fp, home, chunk = (table.column(c).to_numpy() for c in ("fp", "home", "chunk"))
-        a, b = shard_links(fp.view(np.uint64), home, chunk)
+        part, fp, home, chunk = (table.column(c).to_numpy() for c in ("part", "fp", "home", "chunk"))
+        order = np.argsort(part, kind="stable")
+        part, fp, home, chunk = part[order], fp.view(np.uint64)[order], home[order], chunk[order]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        found = [shard_links(fp[i:j], home[i:j], chunk[i:j]) for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True) if j - i > 1]
+        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]) for k in (0, 1))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return units.groupBy("tree", "shard", "i", "j").applyInArrow(compare, "a long, b long")
+    return units.groupBy("unit").applyInArrow(compare, "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
