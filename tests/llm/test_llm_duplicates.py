@@ -144,6 +144,35 @@ def test_bands_find_nearly_all_similar_lines(spark):
     assert share >= 0.97
 
 
+def family_lines(n, seed=12):
+    """Lines of one template whose tails are drawn so that some pairs, but few hubs, are similar."""
+    rng = random.Random(seed)
+    head = sentence(rng, 18)
+    tails = [sentence(rng, 5) for _ in range(n // 3)]
+    made = set()
+    while len(made) < n:
+        words = rng.choice(tails).split()
+        words[rng.randrange(5)] = sentence(rng, 1)
+        made.add(head + " " + " ".join(words))
+    return sorted(made)
+
+
+def test_lines_of_one_template_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 7)  # shingles of many lines are joined in pieces
+    texts = family_lines(600)
+    ids = {np.uint64(xxhash.xxh64(x.encode(), seed=42).intdigest()).astype(np.int64).item(): x for x in texts}
+    sets = {h: line_shingles(x) for h, x in ids.items()}
+    order = sorted(sets)
+    links = [(a, b) for k, a in enumerate(order) for b in order[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    _, found = lines.line_classes(docs(spark, list(enumerate(texts))), Scratch(spark, "t"))
+    got = {r.node: r.component for r in found.collect()}
+    want = classes({x for e in links for x in e}, links)
+    assert len(links) > 100 and len(set(want.values())) > 50
+    unlinked = [e for e in links if e[0] not in got or e[1] not in got or got[e[0]] != got[e[1]]]
+    assert len(unlinked) <= 0.005 * len(links), (len(unlinked), len(links))
+    assert all(want.get(n) == want.get(c) for n, c in got.items())
+
+
 def removed_by_hand(rows):
     """Per row: the spans of bytes that a LENGTH-byte string starting earlier covers."""
     first = {}
