@@ -26,8 +26,8 @@ from stepline.llm.scratch import Scratch
 MASKS = ("11101001101", "11011010011", "10111100101", "11110110100")
 SPAN = len(MASKS[0])
 MIN_OVERLAP = 13  # tokens of a stretch that counts; a shorter item counts when the stretch covers MIN_AGREE of it
-MIN_AGREE = 0.8  # of the tokens of a stretch
-MISMATCH = 3  # a differing token costs as much as this many equal ones gain
+AGREE = (4, 1)  # at least this many equal tokens of a stretch for so many differing ones
+MIN_AGREE = AGREE[0] / sum(AGREE)  # of the tokens of a stretch
 BLOOM_BITS, BLOOM_PROBES = 1 << 24, 3
 CACHE = 500_000  # distinct tokens whose hashes a worker remembers at once
 
@@ -57,14 +57,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def seeds(tokens: np.ndarray) -> list[np.ndarray]:
-    """For each mask, the hash of every window of SPAN tokens; the mask is part of the hash."""
-    n = len(tokens) - SPAN + 1
-    if n <= 0:
-        return [np.zeros(0, np.uint64) for _ in MASKS]
+def least(n: int) -> int:
+    """Tokens that a stretch needs to count for an item of n tokens."""
+    return min(MIN_OVERLAP, -(-n * AGREE[0] // (AGREE[0] + AGREE[1])))
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of n tokens.
+
+    A stretch that counts for a short item may not hold a window of SPAN tokens. With e
+    differing tokens among its own it has a run of a share of 1 / (e + 1) of the equal ones at
+    least; the shortest of these runs is the mask, so that no stretch is missed.
+    """
+    if least(n) >= SPAN:
+        return MASKS
+    runs = []
+    for length in range(least(n), n + 1):
+        differ = length * AGREE[1] // (AGREE[0] + AGREE[1])
+        runs.append(-(-(length - differ) // (differ + 1)))
+    return ("1" * min(runs),) if n else ()
+
+
+def seeds(tokens: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[np.ndarray]:
+    """For each mask, the hash of every window of its length; the mask is part of the hash."""
     out = []
-    for m, mask in enumerate(MASKS):
-        h = np.full(n, m + 1, np.uint64)
+    for mask in masks:
+        n = len(tokens) - len(mask) + 1
+        if n <= 0:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        h = np.full(n, int(mask, 2), np.uint64)
         for at, bit in enumerate(mask):
             if bit == "1":
                 h = h * np.uint64(0x100000001B3) + tokens[at : at + n]
@@ -87,7 +109,8 @@ def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for item, tokens in zip(b.column(0), b.column(1), strict=True):
-            found = seeds(np.array(tokens.as_py(), np.int64).view(np.uint64))
+            tokens = np.array(tokens.as_py(), np.int64).view(np.uint64)
+            found = seeds(tokens, masks_of(len(tokens)))
             for h in found:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([item.as_py()] * len(h), b.schema.field(0).type), pa.array(np.arange(len(h), dtype=np.int32))], names=["hash", "item", "item_at"])
 
@@ -104,7 +127,7 @@ def _bloom(windows: DataFrame, bits: int) -> np.ndarray:
     return filled.view(np.uint64)
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], filter_of, bits: int, around: int) -> Iterator[pa.RecordBatch]:
+def _suspects(batches: Iterator[pa.RecordBatch], filter_of, bits: int, around: int, masks: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Stretches of texts around the windows that the filter lets through."""
     hasher, table = Hasher(), filter_of.value
     for b in batches:
@@ -112,7 +135,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], filter_of, bits: int, around: i
         for i, text in enumerate(b.column(2).to_pylist()):
             tokens = hasher(text)
             ats, hashes = [], []
-            for h in seeds(tokens):
+            for h in seeds(tokens, masks):
                 on = np.arange(len(h))
                 for p in _probes(h, bits):
                     p = p[on]
@@ -142,19 +165,31 @@ def _suspects(batches: Iterator[pa.RecordBatch], filter_of, bits: int, around: i
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(from, to, equal tokens) of the best stretch of doc that item, laid at shift, agrees with; zeros if none counts."""
+    """(from, to, equal tokens) of the stretch of doc with most equal tokens that counts for item, laid at shift; zeros if none does.
+
+    A stretch counts when it is long enough and at least MIN_AGREE of it agrees: the sum of
+    AGREE[1] for an equal and -AGREE[0] for a differing token is not negative. The longest
+    such stretch from each place is found by the last place where the sum is as high again.
+    """
     lo, hi = max(0, shift), min(len(doc), shift + len(item))
     if lo >= hi:
         return 0, 0, 0
     same = doc[lo:hi] == item[lo - shift : hi - shift]
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    gain = total - np.minimum.accumulate(total)
-    end = int(gain.argmax())
-    start = int(total[: end + 1].argmin())
-    length, equal = end - start, int(same[start:end].sum())
-    if equal < MIN_AGREE * length or length < min(MIN_OVERLAP, np.ceil(MIN_AGREE * len(item))):
+    total = np.concatenate([[0], np.cumsum(np.where(same, AGREE[1], -AGREE[0]))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    later = np.maximum.accumulate(total[::-1])[::-1]  # falls from left to right
+    ends = np.searchsorted(-later, -total, side="right") - 1
+    starts = np.arange(len(total))
+    long = ends - starts >= least(len(item))
+    if not long.any():
         return 0, 0, 0
-    return lo + start, lo + end, equal
+    best = int(np.where(long, equal[ends] - equal[starts], -1).argmax())
+    start, end = best, int(ends[best])
+    while end - start > least(len(item)) and not same[end - 1]:
+        end -= 1
+    while end - start > least(len(item)) and not same[start]:
+        start += 1
+    return lo + start, lo + end, int(equal[end] - equal[start])
 
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,8 +206,8 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     A passage is a stretch of at least MIN_OVERLAP tokens (or MIN_AGREE of a shorter item) of
     which MIN_AGREE agree with an item, token by token; tokens are lower-cased runs of letters
     and digits. The longest passage is given (ties: smallest item), n_items counts items. Null
-    and empty texts hold none; an item of fewer tokens than a seed spans finds nothing; items
-    without id count as one; repeated rows (equal id and text) give one row. Empty docs or tests
+    and empty texts hold none; items of up to 12 tokens are found wherever they are, longer ones
+    where a mask fits between the differing tokens; items without id count as one; repeated rows (equal id and text) give one row. Empty docs or tests
     give no rows.
     """
     spark = docs.sparkSession
@@ -181,10 +216,12 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     items = scratch.keep(tests.select(F.col(item_col).alias("item"), F.col(test_col).alias("text")).mapInArrow(_tests, f"item {item_kind}, tokens array<long>"), "items")
     windows = scratch.keep(items.mapInArrow(_windows, f"hash long, item {item_kind}, item_at int"), "windows")
     around = items.agg(F.max(F.size("tokens"))).first()[0] or 0
+    short = items.where((F.size("tokens") > 0) & (F.size("tokens") <= MIN_OVERLAP)).select(F.size("tokens").alias("n")).distinct().collect()
+    masks = tuple(dict.fromkeys([*MASKS, *(m for r in sorted(short) for m in masks_of(r.n))]))
     shared = spark.sparkContext.broadcast(_bloom(windows, bloom_bits))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    look = partial(_suspects, filter_of=shared, bits=bloom_bits, around=int(around))
+    look = partial(_suspects, filter_of=shared, bits=bloom_bits, around=int(around), masks=masks)
     suspects = scratch.keep(source.mapInArrow(look, f"id {kind}, text_hash long, start long, tokens array<long>, ats array<long>, hashes array<long>"), "suspects")
     hits = suspects.select("id", "text_hash", "start", F.explode(F.arrays_zip("ats", "hashes")).alias("h")).select("id", "text_hash", "start", F.col("h.ats").alias("at"), F.col("h.hashes").alias("hash"))
     laid = hits.join(windows, "hash").select("id", "text_hash", "start", "item", (F.col("at") - F.col("item_at")).cast("int").alias("shift")).distinct()

@@ -88,6 +88,34 @@ def test_decontamination_matches_brute_force(spark):
     assert 3 not in got and len(got) > 40
 
 
+def counts(doc, item):
+    """Whether a stretch of doc holds enough of item, by the words of the contract alone."""
+    need = min(13, -(-4 * len(item) // 5))
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [doc[k] == item[k - shift] for k in range(max(0, shift), min(len(doc), shift + len(item)))]
+        for a in range(len(same)):
+            if any(5 * sum(same[a:b]) >= 4 * (b - a) for b in range(a + need, len(same) + 1)):
+                return True
+    return False
+
+
+def test_any_stretch_that_counts_is_found(spark):
+    rng = random.Random(11)
+    items, rows = [], []
+    for k, n in enumerate([1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12] * 4 + [13, 16, 20, 25, 30] * 12):
+        words = [f"i{k}w{x}" for x in range(n)]
+        items.append((k, " ".join(words)))
+        wrong = set(rng.sample(range(n), n // 5 + (n < 13 and k % 4 == 3)))
+        cut = [f"x{x}" if x in wrong else w for x, w in enumerate(words)]
+        rows.append((k, " ".join(["left"] * 5 + cut + ["right"] * 5)))
+    want = {k for (k, item), (_, text) in zip(items, rows, strict=True) if counts(text.split(), item.split())}
+    assert all(bool(decontam.overlap(h(text), h(item), 5)[2]) == (k in want) for h in [decontam.Hasher()] for (k, item), (_, text) in zip(items, rows, strict=True))
+    got = {r.id for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    short = set(range(44))
+    assert got & short == want & short and len(want & short) > 25
+    assert got <= want and len(got - short) >= 0.8 * len(want - short), sorted(want - got)
+
+
 def test_decontamination_of_odd_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     d = docs(spark, [(1, "a b c"), (None, None)])
