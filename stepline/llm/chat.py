@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stepline.llm.quality import bind
 
 TURN = "struct<role:string,text:string>"
+LARGE = 16_000_000  # bytes of a record from which it is read without a variant
 
 
 @dataclass(frozen=True)
@@ -75,15 +76,49 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(paths(record))
 
 
-def _turns(m: Mapping, record: Column) -> Column:
+def skeleton(json: Column) -> Column:
+    """The record with empty strings for values and equal neighbours in a list taken as one.
+
+    It has the field paths of the record and is small enough for a variant. Escapes become one
+    sign, so that a name with an escape is no known name.
+    """
+    plain = F.regexp_replace(json, r"\\.", "\ue000")
+    names = F.regexp_replace(plain, r'"(?:([^"]*+)"\s*+(:)|[^"]*+")', r'"$1"$2')
+    return F.regexp_replace(F.regexp_replace(names, r"\s++", ""), r"(\{[^{}\[\]]*+\},)\1++", "$1")
+
+
+def _typed(m: Mapping) -> str:
+    """The type of the layout's records, texts as strings."""
+    if m.turns is not None:
+        return f"struct<{m.turns}:array<struct<{m.role}:string,{m.text}:string>>>"
+    tree: dict = {}
+    for path, _ in m.fields:
+        at = tree
+        for name in path.split("."):
+            at = at.setdefault(name, {})
+    kind = lambda t: "struct<" + ",".join(f"{k}:{kind(v)}" for k, v in t.items()) + ">" if t else "string"
+    return kind(tree)
+
+
+def _turns(m: Mapping, record: Column, typed: bool = False) -> Column:
+    """The turns of a variant, or of a value of the layout's own type."""
+
+    def get(path: str, kind: str) -> Column:
+        if not typed:
+            return F.try_variant_get(record, f"$.{path}", kind)
+        value = record
+        for name in path.split("."):
+            value = value[name]
+        return value
+
     if m.turns is None:
-        turns = [F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(record, f"$.{path}", "string"), F.lit("")).alias("text")) for path, role in m.fields]
+        turns = [F.struct(F.lit(role).alias("role"), F.coalesce(get(path, "string"), F.lit("")).alias("text")) for path, role in m.fields]
         if not m.optional:
             return F.array(*turns)
         keep = [(path not in m.optional) for path, _ in m.fields]
         marked = F.array(*[F.struct(t.alias("t"), F.lit(k).alias("k")) for t, k in zip(turns, keep, strict=True)])
         return F.transform(F.filter(marked, lambda x: x["k"] | (F.length(x["t"]["text"]) > 0)), lambda x: x["t"])
-    named = F.try_variant_get(record, f"$.{m.turns}", f"array<struct<{m.role}:string,{m.text}:string>>")
+    named = get(m.turns, f"array<struct<{m.role}:string,{m.text}:string>>")
     renamed = F.create_map(*[F.lit(x) for pair in m.roles for x in pair]) if m.roles else None
 
     def canonical(t: Column) -> Column:
@@ -98,16 +133,21 @@ def canonical_turns(records: DataFrame, json_col: str, mappings: tuple[Mapping,
 
     Paths decide, not types: null and number fields fit like strings, and null roles and texts
     become empty. A record with a further or a missing field, an unparsable one, a null and
-    an empty list of turns have no layout; their turns are null and the caller decides.
+    an empty list of turns have no layout; their turns are null and the caller decides. A
+    variant holds no string above 20,000,000 characters and 128 MiB in all: longer records are
+    told by the variant of their skeleton and read with the type of their layout.
     """
     one = records.sparkSession.range(1)
     known = one.select(*[fingerprint(F.parse_json(F.lit(m.example))).alias(m.name) for m in mappings]).first()
-    parsed = records.withColumn("__v", F.try_parse_json(json_col)).withColumn("__fp", fingerprint(F.col("__v")))
+    parsed = records.withColumn("__v", F.when(F.octet_length(json_col) <= LARGE, F.try_parse_json(json_col))).withColumn("__fp", fingerprint(F.col("__v")))
+    parsed = parsed.withColumn("__fl", F.when(F.octet_length(json_col) > LARGE, fingerprint(F.try_parse_json(skeleton(F.col(json_col))))))
     turns, layout = F.when(F.lit(False), F.lit(None).cast(f"array<{TURN}>")), F.when(F.lit(False), F.lit(""))
     for m in mappings:
         here = F.col("__v").isNotNull() & (F.col("__fp") == known[m.name])
         turns, layout = turns.when(here, _turns(m, F.col("__v"))), layout.when(here, F.lit(m.name))
-    return parsed.withColumn(out, turns).withColumn(f"{out}_layout", layout).drop("__v", "__fp")
+        large = F.col("__fl") == known[m.name]
+        turns, layout = turns.when(large, _turns(m, F.from_json(F.col(json_col), _typed(m), {"maxStringLen": str(2**31 - 1)}), typed=True)), layout.when(large, F.lit(m.name))
+    return parsed.withColumn(out, turns).withColumn(f"{out}_layout", layout).drop("__v", "__fp", "__fl")
 
 
 def escaped(text: Column, template: Template = Template()) -> Column:

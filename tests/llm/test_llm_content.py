@@ -137,6 +137,34 @@ def test_layouts_are_found_by_their_paths(spark):
     assert chat.format_records(df.limit(0), "record").count() == 0
 
 
+def test_records_beyond_a_variant_are_formatted(spark):
+    rows = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "user"), (2, 1, "tool")], "conv_id long, turn long, role string")
+    rows = rows.withColumn("text", F.when(F.col("turn") == 1, F.repeat(F.lit('x"\\: '), 4_200_000)).otherwise("q"))
+    done = chat.format_records(chat.records_of(rows), "record")
+    back = done.select("conv", "turns_layout", chat.read_back(F.col("formatted")).alias("t"))
+    got = back.select("conv", "turns_layout", F.size("t").alias("n"), F.length(F.get("t", F.lit(1))["text"]).alias("chars")).collect()
+    assert {tuple(r) for r in got} == {(1, "prompt", 2, 21_000_000), (2, "messages", 2, 21_000_000)}
+
+
+def test_large_records_are_told_apart_like_small_ones(spark, monkeypatch):
+    records = [
+        {"messages": [{"content": 'a "x": \\', "role": "user"}] * 5 + [{"role": "assistant", "content": None}]},
+        {"conversations": [{"from": "human", "value": "{\"a\": []}"}, {"from": "gpt", "value": "yo"}]},
+        {"prompt": "p\n", "completion": 3},
+        {"data": {"question": "q", "answer": "a"}},
+        {"instruction": "i", "input": "", "output": "o"},
+        {"prompt": "p", "completion": "c", "more": 1},
+        {"prompt": "p", "completion": ["c"]},
+        {"messages": []},
+        {"messages": [{"role": "user", "content": "x"}, {"role": "user", "content": "x", "more": 1}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, "{broken"), (91, '{"prompt": "p", "completion": "c"} x'), (92, None)], "n int, record string")
+    small = sorted(chat.canonical_turns(df, "record").collect(), key=lambda r: r.n)
+    monkeypatch.setattr(chat, "LARGE", 0)
+    assert sorted(chat.canonical_turns(df, "record").collect(), key=lambda r: r.n) == small
+    assert [r.turns_layout for r in small[:5]] == ["messages", "conversations", "prompt", "question", "instruction_input"]
+
+
 PAGES = [(1, "http://a", "<html>x</html>"), (2, None, "<html>x</html>"), (3, "http://a\r\nInjected: 1", None), (4, "u", ""), (5, "u", "é" * 70_000), (5, "u", "é" * 70_000), (None, "u", "<html>x</html>"), (7, "u%0A", "only here")]
 
 
