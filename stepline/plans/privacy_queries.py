@@ -76,12 +76,12 @@ PHONE_LINE, SSN_LINE, CARD_NUMBER = "Call 212-555-0187 today. ", "My number is 0
 _PAGE_SQL = f"CASE WHEN doc_id%13=0 THEN '{PHONE_LINE}' ELSE '' END||CASE WHEN doc_id%23=0 THEN '{SSN_LINE}' ELSE '' END||translate(text,'0123456789','DDDDDDDDDD')"
 
 
-def browser_steps(spark, folder):
-    """One step per document: its text as the page, form values typed from it."""
+def browser_steps(spark, folder, raw=False):
+    """One step per document: its text as the page, form values typed from it; raw keeps the text's digits."""
     d = _docs(spark, folder)
     i = F.col("doc_id")
     page = F.concat(
-        F.when(i % 13 == 0, PHONE_LINE).otherwise(""), F.when(i % 23 == 0, SSN_LINE).otherwise(""), F.translate("text", "0123456789", "DDDDDDDDDD")
+        F.when(i % 13 == 0, PHONE_LINE).otherwise(""), F.when(i % 23 == 0, SSN_LINE).otherwise(""), F.col("text") if raw else F.translate("text", "0123456789", "DDDDDDDDDD")
     )
     mail = F.concat(F.lit("user"), i, F.lit("@mail.example.com"))
     element = lambda label, value, op: F.struct(
@@ -149,8 +149,8 @@ _FOUND = f"""SELECT id, 'page_text' AS field, 'email' AS category FROM (SELECT i
   UNION ALL SELECT id, 'goal', 'email' FROM st WHERE id%9=0"""
 
 
-def _found(spark, folder):
-    return R.scan(browser_steps(spark, folder), NAMES)
+def _found(spark, folder, raw=False):
+    return R.scan(browser_steps(spark, folder, raw), NAMES)
 
 
 @query("scan_row", O.sql("", "SELECT id, field, category, count(*) AS n FROM fo GROUP BY ALL", st=STEPS_SQL, fo=_FOUND))
@@ -161,8 +161,8 @@ def scan_row(spark, folder):
 @query("job_pii_scan")
 def job_pii_scan(spark, folder):
     """The whole report in long form: matches, flagged rows, rows scanned, examples with the proposed rule."""
-    s = browser_steps(spark, folder)
-    found = _found(spark, folder)
+    s = browser_steps(spark, folder, raw=True)
+    found = _found(spark, folder, raw=True)
     counts = R.report(found).select("part", "config", "item", "n", F.lit(None).cast("string").alias("note"))
     scanned = s.groupBy("config").agg(F.count("*").alias("n")).select(F.lit("rows_scanned").alias("part"), "config", F.lit("").alias("item"), "n", F.lit(None).cast("string").alias("note"))
     ex = R.examples(found).select(F.lit("example").alias("part"), "config", F.concat_ws(":", "field", "category").alias("item"), F.col("_rn").cast("long").alias("n"), F.col("context").alias("note"))
