@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepline.llm import chat, decontam, langid, lines, mixing, quality, simhash, substrings, toxicity, warc
+from stepline.llm import chat, decontam, divergence, langid, lines, maxscore, mixing, prefix_trie, quality, simhash, substrings, toxicity, warc
 from stepline.plans.oracle import key, unit
 from stepline.plans.registry import Query
 from stepline.sources.tables import table
@@ -191,6 +191,79 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
+OP11_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024*x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE)))=0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.c, v.c), lambda z: z[1]*z[2]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id<>v.vec_id WHERE q.vec_id%100=0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)<=10"""
+
+
+@query("op11_maxscore_search", OP11_SQL)
+def op11_maxscore_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+OP12_SQL = f"""WITH d AS (SELECT doc_id, coalesce(lang,'') AS lang, coalesce(source,'') AS source, coalesce(text,'') AS text FROM documents),
+w AS (SELECT doc_id, lang, source, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS x FROM d)),
+k AS (SELECT lang, t, count(*) AS ln FROM w GROUP BY lang, t HAVING count(DISTINCT doc_id)>={divergence.MIN_DOCS}),
+c AS (SELECT lang, source, t, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM k GROUP BY lang),
+m AS (SELECT g.lang, g.source, k.t, k.ln, l.v, l.total, coalesce(c.n,0) AS n FROM g JOIN k ON k.lang=g.lang JOIN l ON l.lang=g.lang LEFT JOIN c ON c.lang=g.lang AND c.source=g.source AND c.t=k.t),
+s AS (SELECT lang, source, sum(n) AS own FROM m GROUP BY lang, source),
+p AS (SELECT m.lang, m.source, t, n, 1+(1000000000::HUGEINT*(n+2)//(s.own+2*v)::HUGEINT) AS p, 1+(1000000000::HUGEINT*(ln+2)//(total+2*v)::HUGEINT) AS q FROM m JOIN s ON s.lang=m.lang AND s.source=m.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p-b.p)*(a.p-b.p)//(a.p+b.p)) AS value FROM p AS a JOIN p AS b ON a.lang=b.lang AND a.t=b.t AND a.source<>b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value,0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang=b.lang AND a.source<>b.source
+  LEFT JOIN pairs ON pairs.lang=a.lang AND pairs.source=a.source AND pairs.item=b.source),
+terms AS (SELECT lang, source, t AS item, ((p-q)*(p-q)//(p+q))::BIGINT AS value FROM p WHERE n>0 AND p>q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM every
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank<={divergence.TOP_TERMS}"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms that each uses more than its language."""
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
+def _op13_sql() -> str:
+    crc = [i for i in range(256)]
+    for _ in range(8):
+        crc = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in crc]
+    return f"""WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), md5(coalesce(text,''))) AS i,
+  coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations WHERE conv_id IS NOT NULL),
+tab AS (SELECT {crc} AS b),
+x AS (SELECT DISTINCT c, c::VARCHAR AS s, 0 AS k, 4294967295::BIGINT AS v FROM t
+  UNION ALL SELECT c, s, k+1, xor(v >> 8, b[(xor(v & 255, ascii(substr(s, k+1, 1))::BIGINT) + 1)::BIGINT]::BIGINT) FROM x, tab WHERE k<length(s)),
+h AS (SELECT c, c-c%100 AS base, xor(v, 4294967295::BIGINT)%6 AS h FROM x WHERE k=length(s)),
+r AS (SELECT h.c, t.i, t.role, t.text FROM h JOIN t ON t.c=h.base AND t.i<=h.h UNION ALL SELECT h.c, t.i, t.role, t.text FROM h JOIN t ON t.c=h.c AND t.i>h.h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, sha256(length(role)||':'||role||text) AS e, length(text) AS size FROM r),
+z AS (SELECT c, 0 AS d, '' AS e, 0 AS size FROM h UNION ALL SELECT * FROM o),
+p AS (SELECT a.c, a.d, max(a.size) AS size, string_agg(b.e, '' ORDER BY b.d) AS k FROM z AS a JOIN z AS b ON a.c=b.c AND b.d<=a.d GROUP BY a.c, a.d),
+e AS (SELECT c, max(d) AS d FROM z GROUP BY c),
+n AS (SELECT d, k, min(c) AS c, count(*) AS n, max(size) AS size FROM p GROUP BY d, k),
+kids AS (SELECT d, left(k, greatest(0, length(k)-64)) AS k, count(*) AS n FROM n WHERE d>0 GROUP BY ALL),
+f AS (SELECT n.d, n.k, n.c, n.n, coalesce(kids.n,0) AS kids, (n.n-1)*n.size AS saved FROM n LEFT JOIN kids ON kids.d=n.d+1 AND kids.k=n.k),
+sub AS (SELECT DISTINCT a.d, a.k, b.d AS d2, b.k AS k2 FROM p AS a JOIN p AS b ON a.c=b.c AND a.d<=b.d),
+sums AS (SELECT sub.d, sub.k, sum(CASE WHEN f.kids=0 THEN 1 ELSE 0 END) AS leaves, sum(f.saved) AS saved FROM sub JOIN f ON f.d=sub.d2 AND f.k=sub.k2 GROUP BY sub.d, sub.k),
+ends AS (SELECT p.d, p.k, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM p JOIN e ON e.c=p.c AND e.d=p.d GROUP BY p.d, p.k)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, up.c AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children, sums.leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ends.ids,'')) AS ends_sha256
+FROM f JOIN sums ON sums.d=f.d AND sums.k=f.k LEFT JOIN ends ON ends.d=f.d AND ends.k=f.k LEFT JOIN n AS up ON f.d>0 AND up.d=f.d-1 AND up.k=left(f.k, greatest(0, length(f.k)-64))"""
+
+
+@query("op13_prefix_trie", _op13_sql())
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of conversations that start with up to five turns of the first of their hundred."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    conv = F.col("conv")
+    return prefix_trie.prefix_trie(rows, base=conv - conv % 100, take=F.crc32(conv.cast("string").cast("binary")) % 6, most=5)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
