@@ -130,16 +130,18 @@ def term_ranks(kept: DataFrame, sizes: DataFrame, top: int) -> DataFrame:
 def compare_tile(rows: pd.DataFrame) -> pd.DataFrame:
     """(lang, a, b, value, many): f over the terms of one bucket that either source of a pair has.
 
-    Sources are numbers. many counts those terms; the others have one value, that of two zero counts.
+    Sources are numbers; a row without a term names a source of the two tiles. many counts the
+    terms; the others have one value, that of two zero counts.
     """
     lang, first, second = rows["lang"].iat[0], int(rows["tile_a"].iat[0]), int(rows["tile_b"].iat[0])
-    term, _ = pd.factorize(rows["term"])
     numbers, at = np.unique(rows["number"].to_numpy(), return_inverse=True)
     zero = np.zeros(len(numbers), dtype=np.int64)
     zero[at] = rows["zero"].to_numpy()
-    p = np.repeat(zero[:, None], term.max() + 1, axis=1)
+    used = rows["term"].notna().to_numpy()
+    term, names = pd.factorize(rows["term"][used])
+    p = np.repeat(zero[:, None], len(names), axis=1)
     has = np.zeros(p.shape, dtype=bool)
-    p[at, term], has[at, term] = rows["p"].to_numpy(), True
+    p[at[used], term], has[at[used], term] = rows["p"][used].to_numpy(), True
     cells = [np.unique(line, return_inverse=True) for line in p]
     out = []
     for i, a in enumerate(numbers):
@@ -161,9 +163,12 @@ def pair_ranks(kept: DataFrame, sizes: DataFrame, buckets: int) -> DataFrame:
     last_tile = F.col("last").cast("int")
     tiles = numbered.groupBy("lang").agg(F.floor(F.max("number") / TILE).alias("last"))
     placed = numbered.join(tiles, "lang").withColumn("tile", F.floor(F.col("number") / TILE).cast("int"))
-    rows = kept.join(placed, ["lang", "source"]).withColumn("p", share("n", "total", "terms"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last_tile)))
-    met = met.select("lang", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), F.col("number").cast("long").alias("number"), "zero", "term", "p")
+    counts = kept.join(placed, ["lang", "source"]).withColumn("p", share("n", "total", "terms")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    # every tile knows all its sources, also those without a term in a bucket
+    named = placed.where("terms > 0").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumns({"term": F.lit(None).cast("string"), "p": F.col("zero")})
+    cols = ["lang", "tile", "last", "bucket", F.col("number").cast("long").alias("number"), "zero", "term", "p"]
+    met = counts.select(cols).union(named.select(cols)).withColumn("other", F.explode(F.sequence(F.lit(0), last_tile)))
+    met = met.select("lang", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "bucket", "number", "zero", "term", "p")
     sums = met.groupBy("lang", "tile_a", "tile_b", "bucket").applyInPandas(compare_tile, "lang string, a long, b long, value long, many long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("many").alias("many"))
     one = numbered.select("lang", "source", F.col("number").cast("long").alias("x"), F.col("zero").alias("zx"), "terms")

@@ -55,6 +55,12 @@ def _as_integers(m: np.ndarray) -> np.ndarray:
     return np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
 
 
+def _within_long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype != object:
+        return scores
+    return np.array([min(max(s, -LONG), LONG - 1) for s in scores.tolist()], dtype=object)
+
+
 class Shard:
     """The posting lists of some vectors, with their bounds."""
 
@@ -68,12 +74,13 @@ class Shard:
         """(ids, scores, copies) that hold the k best rows of the shard that reach the threshold (None: no threshold)."""
         others = np.flatnonzero(self.ids != query_id)
         opening, rest = others[:OPENING], others[OPENING:]
-        rows, scores = self._leading(opening, self.lists[opening] @ q, k)
+        rows, scores = self._leading(opening, _within_long(self.lists[opening] @ q), k)
         if len(rest):
-            if self.copies[rows].sum() >= k:
+            # a score that stopped at the lower end bounds nothing
+            if self.copies[rows].sum() >= k and scores[-1] > -LONG:
                 threshold = scores[-1] if threshold is None else max(threshold, scores[-1])
             more = self._compete(rest, q, threshold)
-            rows, scores = self._leading(np.concatenate([rows, more[0]]), np.concatenate([scores, more[1]]), k)
+            rows, scores = self._leading(np.concatenate([rows, more[0]]), np.concatenate([scores, _within_long(more[1])]), k)
         if threshold is not None:
             reach = scores >= threshold
             rows, scores = rows[reach], scores[reach]
@@ -129,12 +136,10 @@ def best_of_unit(k: int, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         for i, (name, mark) in enumerate(zip(queries["id"].to_pylist(), queries["mark"].to_pylist(), strict=True)):
             ids, scores, copies = shard.best(name, asked[i], k, limits[i])
             times = np.minimum(copies, k)
-            # scores beyond a long stop at its ends
-            whole = [min(max(int(s), -LONG), LONG - 1) for s in scores]
             found[0] += [name] * int(times.sum())
             found[1] += [mark] * int(times.sum())
             found[2] += np.repeat(ids, times).tolist()
-            found[3] += np.repeat(np.array(whole, dtype=np.int64), times).tolist()
+            found[3] += np.repeat(scores.astype(np.int64), times).tolist()
     return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "query_mark", "vec_id", "score"), found, strict=True)})
 
 
@@ -160,7 +165,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     null id, a null vector or a null or non-finite component take no part. Vectors may differ in
     length: missing components count as zero, so an empty vector scores zero. Rows equal in id
     and vector each compete; a query asked twice is answered once, and two vectors under one
-    query id are both answered. Scores are exact; those beyond a long stop at its ends. Other
+    query id are both answered. Scores are exact; those beyond a long stop at its ends and
+    count as equal there. Other
     columns are not read. No queries or no vectors give no rows.
     """
     scratch = Scratch(vectors.sparkSession, "maxscore")
