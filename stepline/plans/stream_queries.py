@@ -10,6 +10,7 @@ from stepline.plans import views as V
 from stepline.plans.registry import query
 from stepline.session import scratch_path
 from stepline.streaming import decisions as S
+from stepline.streaming.sessions import closed_sessions
 
 
 def _events(spark, folder):
@@ -30,11 +31,14 @@ def decision_log_stream(spark, folder):
     return S.drain(flat, "decision-log")
 
 
-@query("stream_drop_repeats", O.sql("decisions", "SELECT session, request, operation, count(DISTINCT 1) AS kept FROM decisions GROUP BY ALL"))
+@query(
+    "stream_drop_repeats",
+    O.sql("decisions", "SELECT min(step_id) AS step_id, session, request, operation FROM decisions GROUP BY session, request, operation"),
+)
 def stream_drop_repeats(spark, folder):
+    """The first step of each state of a session survives; the log comes in order, some days a batch."""
     d = V.decisions_of(V.steps_of(_events(spark, folder)))
-    kept = S.drain(S.drop_repeats(d, ["request", "operation"]).select("session", "request", "operation"), "first-states")
-    return kept.groupBy("session", "request", "operation").agg(F.count("*").alias("kept"))
+    return S.drain(S.drop_repeats(d, ["request", "operation"]).select("step_id", "session", "request", "operation"), "first-states")
 
 
 @query(
@@ -44,7 +48,7 @@ def stream_drop_repeats(spark, folder):
 def stream_outcome_counts(spark, folder):
     outcome = F.element_at(F.array(*[F.lit(x) for x in V.OUTCOMES]), (F.col("user_id") % 4 + 1).cast("int"))
     log = _events(spark, folder).withColumn("outcome", outcome)
-    return S.drain(S.running_counts(log, ["outcome", "event_type"]), "outcomes", "complete")
+    return S.drain(S.running_counts(log, ["outcome", "event_type"]), "outcomes", ["outcome", "event_type"])
 
 
 @query(
@@ -54,28 +58,34 @@ def stream_outcome_counts(spark, folder):
 def stream_running_success(spark, folder):
     s = V.with_questions(V.steps_of(_events(spark, folder)))
     run = S.running_rate(s.select("subset", all_right("questions").alias("ok")), "subset", F.col("ok"))
-    return S.drain(run, "success", "complete").select("subset", "n", r6(F.col("rate")).alias("rate"))
+    return S.drain(run, "success", ["subset"]).select("subset", "n", r6(F.col("rate")).alias("rate"))
 
 
 _GAP = 1800
-_SESSIONS = f"""SELECT session, s, count(*) AS n_decisions, min(step_id) AS first_step, arg_max(operation, (ts, step_id)) AS last_operation, max(ts) + INTERVAL {_GAP} SECOND AS closed FROM (
-  SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, step_id) AS s FROM (
-  SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY session ORDER BY ts, step_id) + INTERVAL {_GAP} SECOND THEN 1 ELSE 0 END AS new FROM steps)) GROUP BY ALL"""
+_RUNS = f"""SELECT session, r, count(*) AS n_decisions, min(ts) AS opened, max(ts) AS ended, arg_max(operation, (ts, step_id)) AS last, string_agg(step_id::VARCHAR, ',' ORDER BY ts, step_id) AS step_ids,
+  string_agg(operation||':'||reason, '|' ORDER BY ts, step_id) AS said FROM (
+  SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, step_id) AS r FROM (
+  SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY session ORDER BY ts, step_id) + INTERVAL {_GAP} SECOND
+    OR lag(operation) OVER (PARTITION BY session ORDER BY ts, step_id) IN ('DONE','BLOCKED') THEN 1 ELSE 0 END AS new FROM decisions)) GROUP BY ALL"""
 
 
 @query(
     "stream_session_close",
     O.sql(
-        "steps",
-        """SELECT session, n_decisions, first_step, last_operation FROM ss WHERE closed <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 3600 SECOND FROM steps)""",
-        ss=_SESSIONS,
+        "decisions",
+        f"""SELECT session, CASE WHEN last IN ('DONE','BLOCKED') THEN last ELSE 'silence' END AS closed_by, n_decisions, step_ids, said, (epoch_us(ended)-epoch_us(opened))::BIGINT AS lasted_us FROM runs
+        WHERE date_trunc('millisecond', ended) + CASE WHEN last IN ('DONE','BLOCKED') THEN INTERVAL 0 SECOND ELSE INTERVAL {_GAP} SECOND END
+          < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 3600 SECOND FROM decisions)""",
+        runs=_RUNS,
     ),
 )
 def stream_session_close(spark, folder):
-    """Only sessions that are over: the open ones stay in the state."""
-    s = V.steps_of(_events(spark, folder))
-    closed = S.drain(S.closed_sessions(s, f"{_GAP} seconds", "1 hour"), "sessions")
-    return closed.select("session", "n_decisions", "first_step", "last_operation")
+    """Only runs that are over, each with its decisions in order: the open ones stay in the state."""
+    log = V.decisions_of(V.steps_of(_events(spark, folder)))
+    closed = S.drain(closed_sessions(log, _GAP, "1 hour"), "sessions", own_state=True)
+    said = F.array_join(F.transform("decisions", lambda d: F.concat_ws(":", d["operation"], d["reason"])), "|")
+    lasted = F.unix_micros("ended") - F.unix_micros("opened")
+    return closed.select("session", "closed_by", "n_decisions", F.array_join(F.col("decisions.step_id").cast("array<string>"), ",").alias("step_ids"), said.alias("said"), lasted.alias("lasted_us"))
 
 
 @query(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepline.session import scratch_path
+from stepline.streaming.versions import VersionedTable
 
 LOG_SCHEMA = (
     "session long, step_id long, ts timestamp, request string, operation string, reason string, latency_ms long, "
@@ -51,38 +52,37 @@ def running_rate(log: DataFrame, key: str, hit: Column) -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("rate"))
 
 
-def closed_sessions(log: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Sessions emitted once: when no decision came for the gap and the watermark has passed it."""
-    w = F.session_window("ts", gap)
-    return (
-        log.withWatermark("ts", delay)
-        .groupBy("session", w.alias("w"))
-        .agg(
-            F.count("*").alias("n_decisions"),
-            F.min("step_id").alias("first_step"),
-            F.max_by("operation", F.struct("ts", "step_id")).alias("last_operation"),
-        )
-        .select("session", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n_decisions", "first_step", "last_operation")
-    )
-
-
 def enrich(log: DataFrame, static: DataFrame, key: str) -> DataFrame:
     """Live decisions joined to a table that does not change during the run."""
     return log.join(static, key, "left")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drain(stream: DataFrame, name: str, keys: Sequence[str] = (), own_state: bool = False) -> DataFrame:
     """Runs a stream over all available input; returns what it wrote.
 
-    Append goes to a parquet sink, whose log makes it exactly-once. Complete mode rewrites
-    the whole result per batch, so a batch that is run again leaves the same table.
+    Without keys rows are appended to a parquet sink, whose log makes it exactly-once. With keys
+    each batch hands its changed rows to a versioned table: a batch that is run again changes
+    nothing, and a reader always meets one whole version. ``own_state`` is for streams with a state processor,
+    which need the RocksDB state store.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", out)
+    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    table = VersionedTable(spark, out, keys, stream.schema) if keys else None
+    if table:
+        writer = writer.outputMode("update").foreachBatch(lambda batch, number: table.update(batch, number))
     else:
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-    writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+        writer = writer.outputMode("append").format("parquet").option("path", out)
+    before = spark.conf.get(STATE_STORE, None)
+    try:
+        if own_state:
+            spark.conf.set(STATE_STORE, ROCKS)
+        writer.start().awaitTermination()
+    finally:
+        if own_state:
+            spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    return table.read() if table else spark.read.schema(stream.schema).parquet(out)
