@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepline.functions.hashing import unit
+from stepline.session import materialize
 
 ACCURACY = 100_000
 
@@ -77,6 +78,19 @@ def line_position(df: DataFrame, column: str, out: str = "position") -> DataFram
     return with_position(value_range(df, column, range_count(df)), [column], out)
 
 
+PARTITION_BITS = 33  # of monotonically_increasing_id: places of the rows of a partition stand below
+
+
+def ordered_position(df: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:
+    """1-based position in the order of any columns; the rows, cut into ranges of that order, are written once."""
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    cut = ranged.withColumn("_range", F.shiftrightunsigned("_at", PARTITION_BITS))
+    per = cut.groupBy("_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per.select("_range", (before + 1 - F.col("_first")).alias("_shift"))
+    return cut.join(starts, "_range").withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
 def running_sums(df: DataFrame, column: str, sums: dict[str, Column]) -> DataFrame:
     """Running totals in the order of a whole-number column, itself included."""
     ranged = add_totals_before(value_range(df, column, range_count(df)), sums)

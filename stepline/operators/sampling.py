@@ -6,15 +6,18 @@ sort in one task; a sample of any size therefore stays distributed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stepline.functions.hashing import keyed
-from stepline.operators.ordering import first_per_group, hash_position
+from stepline.functions.hashing import keyed, uniform_int, unit
+from stepline.operators.ordering import first_per_group, hash_position, ordered_position
+from stepline.session import materialize
 
 WINDOW_ROWS = 4096  # fixed value: rows sorted by length together
 
@@ -31,22 +34,53 @@ def cut_fraction(df: DataFrame, hexes: Column, tie: str, fraction: float) -> Dat
     return placed.withColumn("split", F.when(F.col("_at") <= n_train, "train").otherwise("dev")).drop("_at")
 
 
+LEVELS = 64  # heights tried at once
+
+
+def water_level(counts: DataFrame, size: str, n: int) -> tuple[int, int]:
+    """The largest t for which groups cut at t rows give no more than n rows in all, and how many they give.
+
+    Each pass sums the groups under LEVELS heights in one aggregate row, so the number of passes
+    grows with the logarithm of n and no list of groups is ordered.
+    """
+    lo, hi = 0, n + 1  # under lo rows a group all fit, under hi they may not
+    given = 0
+    while hi - lo > 1:
+        step = -(-(hi - lo) // LEVELS)
+        heights = list(range(lo + step, hi, step)) or [lo + 1]
+        row = counts.agg(*[F.coalesce(F.sum(F.least(F.col(size), F.lit(h))), F.lit(0)).alias(f"h{h}") for h in heights]).first()
+        fit = [h for h in heights if row[f"h{h}"] <= n]
+        if fit:
+            lo, given = fit[-1], row[f"h{fit[-1]}"]
+        hi = min([h for h in heights if h > lo], default=hi)
+    return lo, given
+
+
 def stratified(df: DataFrame, group: str, hexes: Column, tie: str, n: int) -> DataFrame:
-    """n rows spread over the groups, one per group and pass, groups in sorted order.
+    """n rows spread over the groups, one per group and pass, groups in sorted order; all rows if there are fewer.
 
-    No group can give more than n rows, so each is first reduced to n survivors. The rows
-    per pass are counted, which tells the pass in which n is reached; only that pass is cut
-    by group order, all earlier ones are taken whole.
+    The group counts alone tell the quotas: every group gives up to the water level, and what is
+    left of n goes, a row each, to the first groups that have more. A group's rows are then taken
+    by hash: whole hash ranges up to its quota, ordered only in the one range where the quota
+    falls, so a group that holds most of the table stays spread. A null group is a group (first).
     """
-    ranked = first_per_group(df, [group], [hexes, F.col(tie)], n)
-    per_pass = ranked.groupBy("_rn").agg(F.count("*").alias("_c"))  # at most n rows
-    up_to = per_pass.withColumn("_upto", F.sum("_c").over(Window.orderBy("_rn")))
-    cut = up_to.filter(F.col("_upto") >= n).agg(F.min(F.struct("_rn", "_upto", "_c")).alias("x")).first()["x"]
-    if cut is None:
-        return ranked
-    whole = ranked.filter(F.col("_rn") < cut["_rn"])
-    last = ranked.filter(F.col("_rn") == cut["_rn"]).orderBy(group).limit(n - (cut["_upto"] - cut["_c"]))
-    return whole.unionByName(last)
+    data = df.withColumns({"_hex": hexes, "_group": F.col(group)})
+    counts = materialize(data.groupBy("_group").agg(F.count("*").alias("_size")), "group-sizes")
+    level, given = water_level(counts, "_size", n)
+    more = ordered_position(counts.where(F.col("_size") > level), ["_group"], "_place").select("_group", (F.col("_place") <= n - given).cast("long").alias("_extra"))
+    asked = counts.join(more, counts["_group"].eqNullSafe(more["_group"]), "left").select(counts["_group"], "_size", (F.least("_size", F.lit(level)) + F.coalesce("_extra", F.lit(0))).alias("_quota"))
+    # as many ranges as rows per range, so neither grows with the group itself
+    asked = materialize(asked.where("_quota > 0").withColumn("_ranges", F.ceil(F.sqrt("_size"))).withColumnRenamed("_group", "_of"), "quotas")
+    placed = data.join(asked, data["_group"].eqNullSafe(asked["_of"])).drop("_of")
+    placed = placed.withColumn("_range", F.floor(unit(F.col("_hex")) * F.col("_ranges")))
+    tally = placed.where("_quota < _size").groupBy("_group", "_quota", "_range").agg(F.count("*").alias("_n"))
+    upto = tally.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_group").orderBy("_range")))
+    last = upto.where("_upto >= _quota and _upto - _n < _quota").select(F.col("_group").alias("_of"), F.col("_range").alias("_last"), (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
+    marked = placed.join(last, placed["_group"].eqNullSafe(last["_of"]), "left")
+    whole = marked.where("_last is null or _range < _last").select(*df.columns)
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hex", tie))
+    cut = marked.where("_range = _last").withColumn("_rank", rank).where("_rank <= _need").select(*df.columns)
+    return whole.unionByName(cut)
 
 
 def keep_class_and_fill(df: DataFrame, is_rare: Column, hexes: Column, tie: str, cap: int) -> DataFrame:
@@ -74,19 +108,56 @@ def repeat_rows(df: DataFrame, times: Column, out: str = "copy") -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(1), times)))
 
 
-def ordered_pairs(df: DataFrame, column: str) -> DataFrame:
-    """All ordered pairs (a, b) of two different values of a column.
+ROUNDS = 4  # of the permutation
+
 
-    Values are numbered in a keyed order and every pair is computed from its own number; the
-    names join by number, so no list of them passes through the driver.
+def permuted(x: Column, side: int, seed: int | str) -> Column:
+    """A permutation of the numbers below side * side: a Feistel network over two digits of base side.
+
+    Each round swaps the digits and adds a keyed hash of one to the other, which any hash leaves
+    reversible.
+    """
+    left, right = F.floor(x / F.lit(side)).cast("long"), x % F.lit(side)
+    for k in range(ROUNDS):
+        drawn = uniform_int(seed, 0, side - 1, F.lit(k), right)
+        left, right = right, (left + drawn) % F.lit(side)
+    return left * F.lit(side) + right
+
+
+def shuffled_numbers(spark: SparkSession, n: int, first: int, seed: int | str) -> DataFrame:
+    """(position, number): the first ``first`` positions (from 1) of a keyed permutation of the numbers below n.
+
+    Only the rows asked for are made. The permutation is one of the next square; a number beyond
+    n goes through it again until it is below (cycle walking), which few do: a square exceeds n
+    by at most two sides.
+    """
+    side = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    now = spark.range(min(first, n)).select((F.col("id") + 1).alias("position"), F.col("id").alias("number"))
+    parts = []
+    while True:
+        now = materialize(now.withColumn("number", permuted(F.col("number"), side, seed)), "walk")
+        parts.append(now.where(F.col("number") < n))
+        now = now.where(F.col("number") >= n)
+        if now.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shuffled_pairs(df: DataFrame, column: str, first: int | None = None, seed: int | str = "pairs") -> DataFrame:
+    """(position, a, b): ordered pairs of two different values of a column, in a keyed order, the first ones.
+
+    Values are numbered in a keyed order; a pair is computed from its number and the names join
+    by number, so neither the names nor pairs that nobody asked for are made.
     """
-    names = hash_position(df.select(F.col(column).alias("name")).distinct(), keyed("pairs", "name"), "name", "at")
+    names = materialize(hash_position(df.select(F.col(column).alias("name")).distinct(), keyed(seed, "name"), "name", "at"), "names")
     n = names.count()
-    a = F.floor(F.col("id") / F.lit(max(n - 1, 1)))
-    r = F.col("id") % F.lit(max(n - 1, 1))
-    numbers = df.sparkSession.range(n * (n - 1)).select((a + 1).alias("i"), (F.when(r >= a, r + 1).otherwise(r) + 1).alias("j"))
-    left = numbers.join(names.select(F.col("at").alias("i"), F.col("name").alias("a")), "i")
-    return left.join(names.select(F.col("at").alias("j"), F.col("name").alias("b")), "j").select("a", "b")
+    every = n * (n - 1)
+    numbers = shuffled_numbers(df.sparkSession, every, every if first is None else first, f"{seed}-order")
+    a = F.floor(F.col("number") / F.lit(max(n - 1, 1))).cast("long")
+    r = F.col("number") % F.lit(max(n - 1, 1))
+    told = numbers.select("position", (a + 1).alias("i"), (F.when(r >= a, r + 1).otherwise(r) + 1).alias("j"))
+    left = told.join(names.select(F.col("at").alias("i"), F.col("name").alias("a")), "i")
+    return left.join(names.select(F.col("at").alias("j"), F.col("name").alias("b")), "j").select("position", "a", "b")
 
 
 def cut_by_budget(budget: int):

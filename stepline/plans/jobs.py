@@ -245,14 +245,14 @@ _TASK_ROWS = f"""SELECT source, split, goal, url, row_number() OVER (ORDER BY pa
 
 @query(
     "job_make_tasks",
-    O.sql("", "SELECT 'task-'||lpad(n::VARCHAR,5,'0') AS id, source, split, goal, url FROM tr", cities=SQ._CITIES, pairs=SQ._PAIRS, placed=SQ._PLACED, goals=SQ._GOALS, topics=SQ._TOPICS, first=RQ._FIRST, tr=_TASK_ROWS),
+    SQ.pairs_sql("SELECT 'task-'||lpad(n::VARCHAR,5,'0') AS id, source, split, goal, url FROM tr", goals=SQ._GOALS, topics=SQ._TOPICS, first=RQ._FIRST, tr=_TASK_ROWS),
 )
 def job_make_tasks(spark, folder):
     """All task sources in order, numbered: first steps, city pairs, topics."""
     walks = RQ.conversation_tasks(spark, folder).select(
         F.lit(0).alias("part"), F.col("id").alias("place"), F.lit("walks").alias("source"), F.when(F.col("id") % 2 == 0, "train").otherwise("eval").alias("split"), "goal", "url"
     )
-    pairs = SQ._placed_pairs(spark, folder).filter("position <= 170")
+    pairs = SQ._placed_pairs(spark, folder, 170)
     flights = pairs.select(
         F.lit(1).alias("part"), F.col("position").alias("place"), F.lit("flights").alias("source"), F.when(F.col("position") <= 150, "train").otherwise("eval").alias("split"),
         SQ.flight_goal("a", "b").alias("goal"), F.lit("https://www.google.com/travel/flights?hl=en").alias("url"),

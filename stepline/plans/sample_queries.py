@@ -151,41 +151,53 @@ def mixed_policy_draw(spark, folder):
 
 
 _CITIES = "SELECT DISTINCT n_name AS name FROM nation JOIN customer ON c_nationkey=n_nationkey"
-_PAIRS = "SELECT x.name AS a, y.name AS b FROM cities x, cities y WHERE x.name<>y.name"
-_PLACED = f"SELECT a, b, row_number() OVER (ORDER BY {O.key(0, 'a', 'b')}, a) AS position FROM pairs"
+def _sql_rounds() -> str:
+    """The keyed permutation of the numbers below side * side, as nested selects."""
+    out = "SELECT position, n, side, step, number//side AS l, number%side AS r FROM walk WHERE step=0 OR number>=n"
+    for k in range(S.ROUNDS):
+        drawn = f"floor({O.unit(O.key('pairs-order', str(k), 'r'))}*side)::BIGINT"
+        out = f"SELECT position, n, side, step, r AS l, (l+{drawn})%side AS r FROM ({out})"
+    return out
+
+
+_NAMED = f"SELECT name, row_number() OVER (ORDER BY {O.key('pairs', 'name')}, name)-1 AS at FROM cities"
+_SIDE = "SELECT n, ceil(sqrt(n::DOUBLE))::BIGINT AS side FROM (SELECT (count(*)*(count(*)-1))::BIGINT AS n FROM cities)"
+# a pair number walks the permutation of the next square until it is a pair's
+_WALK = f"""SELECT i+1 AS position, n, side, i AS number, 0 AS step FROM (SELECT n, side, unnest(range(0, n)) AS i FROM sides)
+  UNION ALL SELECT position, n, side, l*side+r, step+1 FROM ({_sql_rounds()})"""
+_PAIRS = """SELECT position, x.name AS a, y.name AS b FROM (
+  SELECT position, number//(m-1) AS i, CASE WHEN number%(m-1)>=number//(m-1) THEN number%(m-1)+1 ELSE number%(m-1) END AS j
+  FROM (SELECT * FROM walk WHERE step>0 AND number<n), (SELECT count(*) AS m FROM named)) p JOIN named x ON x.at=p.i JOIN named y ON y.at=p.j"""
+_PLACED = "SELECT a, b, position FROM pairs"
 _N_TRAIN, _N_EVAL = 150, 20
 
 
-def _placed_pairs(spark, folder):
+# what the pairs of a query are made of
+PLACED = dict(cities=_CITIES, named=_NAMED, sides=_SIDE, walk=_WALK, pairs=_PAIRS, placed=_PLACED)
+
+
+def pairs_sql(body: str, **extra: str) -> str:
+    """A query over ``placed`` (position, a, b)."""
+    return O.sql("", body, **PLACED, **extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _placed_pairs(spark, folder, first=None):
     n = table(spark, folder, "nation").join(table(spark, folder, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    pairs = S.ordered_pairs(n, "n_name")
-    return hash_position(pairs, keyed(0, "a", "b"), "a")
+    return S.shuffled_pairs(n, "n_name", first)
 
 
 @query(
     "city_pairs",
-    O.sql(
-        "",
-        f"""SELECT a, b, CASE WHEN position<={_N_TRAIN} THEN 'train' ELSE 'eval' END AS split FROM placed WHERE position<={_N_TRAIN + _N_EVAL}""",
-        cities=_CITIES,
-        pairs=_PAIRS,
-        placed=_PLACED,
-    ),
+    pairs_sql(f"""SELECT a, b, CASE WHEN position<={_N_TRAIN} THEN 'train' ELSE 'eval' END AS split FROM placed WHERE position<={_N_TRAIN + _N_EVAL}"""),
 )
 def city_pairs(spark, folder):
-    p = _placed_pairs(spark, folder).filter(F.col("position") <= _N_TRAIN + _N_EVAL)
+    p = _placed_pairs(spark, folder, _N_TRAIN + _N_EVAL)
     return p.select("a", "b", F.when(F.col("position") <= _N_TRAIN, "train").otherwise("eval").alias("split"))
 
 
 @query(
     "disjoint_slices",
-    O.sql(
-        "",
-        """SELECT 'task-'||lpad((position-1)::VARCHAR,5,'0') AS id, a, b, CASE WHEN position<=100 THEN 'train' WHEN position<=150 THEN 'eval' ELSE 'spare' END AS split FROM placed""",
-        cities=_CITIES,
-        pairs=_PAIRS,
-        placed=_PLACED,
-    ),
+    pairs_sql("""SELECT 'task-'||lpad((position-1)::VARCHAR,5,'0') AS id, a, b, CASE WHEN position<=100 THEN 'train' WHEN position<=150 THEN 'eval' ELSE 'spare' END AS split FROM placed"""),
 )
 def disjoint_slices(spark, folder):
     at = F.col("position")
@@ -239,7 +251,7 @@ _GOALS = f"""SELECT position, a, b, CASE WHEN {O.unit(O.key('flights-way', 'a',
     {_sql_int('flights-stay', 2, 10)} AS stay FROM placed))"""
 
 
-@query("task_goal_text", O.sql("", "SELECT a, b, goal FROM goals", cities=_CITIES, pairs=_PAIRS, placed=_PLACED, goals=_GOALS))
+@query("task_goal_text", pairs_sql("SELECT a, b, goal FROM goals", goals=_GOALS))
 def task_goal_text(spark, folder):
     return _placed_pairs(spark, folder).select("a", "b", flight_goal("a", "b").alias("goal"))
 
@@ -249,14 +261,10 @@ _TOPICS = """SELECT t, row_number() OVER (ORDER BY sha256('topics:'||t), t) AS p
 
 @query(
     "tasks_union",
-    O.sql(
-        "",
+    pairs_sql(
         f"""SELECT 'flights' AS source, split, goal FROM (SELECT goal, CASE WHEN position<={_N_TRAIN} THEN 'train' ELSE 'eval' END AS split FROM goals WHERE position<={_N_TRAIN + _N_EVAL})
         UNION ALL SELECT 'wikipedia', CASE WHEN position<=30 THEN 'train' ELSE 'eval' END, 'Find and open the Wikipedia article about '||t||'.' FROM topics
         UNION ALL SELECT 'walks', CASE WHEN conv_id%2=0 THEN 'train' ELSE 'eval' END, {O.norm('text')} FROM conversations WHERE turn=0""",
-        cities=_CITIES,
-        pairs=_PAIRS,
-        placed=_PLACED,
         goals=_GOALS,
         topics=_TOPICS,
     ),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepline.sources.lines import parsed, rejected_lines
+
 # request and _meta stay JSON text: their inner shape differs per source
 STEP_SCHEMA = T.StructType(
     [
@@ -29,9 +31,17 @@ SPLIT_ALIASES = {"dev": ["validation"], "validation": ["dev"]}
 
 
 def read_steps_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One step per line; blank lines do not count. Mixed-type labels arrive as text."""
+    """One step per line; blank lines do not count. Mixed-type labels arrive as text.
+
+    Lines that are no JSON object are left out here; ``rejected_steps`` has them.
+    """
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.from_json("value", STEP_SCHEMA).alias("s")).select("s.*")
+    return parsed(lines, STEP_SCHEMA).where("not broken").select("row.*")
+
+
+def rejected_steps(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines that ``read_steps_jsonl`` leaves out."""
+    return rejected_lines(spark, path, STEP_SCHEMA)
 
 
 def read_steps_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -61,17 +71,27 @@ def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     return read_steps_parquet(spark, path) if path.endswith(".parquet") else read_steps_jsonl(spark, path)
 
 
+BENCH_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "bench_subset", "source", "request", "labels")])
+
+
+def rejected_bench(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the JSON lines that ``read_bench`` leaves out."""
+    return rejected_lines(spark, path, BENCH_SCHEMA)
+
+
 def read_bench(spark: SparkSession, path: str) -> DataFrame:
-    """Bench rows from parquet or JSON lines; the request may be an object or JSON text."""
-    wanted = ["id", "bench_subset", "source", "request", "labels"]
+    """Bench rows from parquet or JSON lines; the request may be an object or JSON text.
+
+    Lines that are no JSON object are left out here; ``rejected_bench`` has them.
+    """
+    wanted = BENCH_SCHEMA.fieldNames()
     if path.endswith(".parquet"):
         raw = spark.read.parquet(path)
         present = [c for c in wanted if c in raw.columns]
         raw = raw.select(*present)
     else:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
         lines = spark.read.text(path).filter(F.trim("value") != "")
-        raw = lines.select(F.from_json("value", schema).alias("s")).select("s.*")
+        raw = parsed(lines, BENCH_SCHEMA).where("not broken").select("row.*")
     have = set(raw.columns)
     names = [F.nullif(F.col(c), F.lit("")) for c in ("bench_subset", "source") if c in have]
     return raw.select(

@@ -35,18 +35,39 @@ def test_shards_are_disjoint_and_equal(spark):
     assert counts == {None: 10 + 93 % 4, 0: 23, 1: 23, 2: 23, 3: 23}
 
 
-def test_ordered_pairs_are_all_pairs_once(spark):
+def test_shuffled_pairs_are_all_pairs_once(spark):
     names = list("abcde")
     df = spark.createDataFrame([(n,) for n in names + names], "n string")
-    got = [(r["a"], r["b"]) for r in S.ordered_pairs(df, "n").collect()]
-    assert sorted(got) == sorted((a, b) for a in names for b in names if a != b)
-    assert S.ordered_pairs(df.limit(0), "n").count() == 0 and S.ordered_pairs(df.limit(1), "n").count() == 0
+    got = {r["position"]: (r["a"], r["b"]) for r in S.shuffled_pairs(df, "n").collect()}
+    assert sorted(got) == list(range(1, 21)) and sorted(got.values()) == sorted((a, b) for a in names for b in names if a != b)
+    assert {r["position"]: (r["a"], r["b"]) for r in S.shuffled_pairs(df, "n", 7).collect()} == {p: got[p] for p in range(1, 8)}
+    assert S.shuffled_pairs(df.limit(0), "n").count() == 0 and S.shuffled_pairs(df.limit(1), "n").count() == 0
 
 
-def test_pairs_of_many_names(spark):
-    df = spark.range(1500).select(F.col("id").cast("string").alias("n"))
-    pairs = S.ordered_pairs(df, "n")
-    assert pairs.filter("a = b").count() == 0 and pairs.distinct().count() == 1500 * 1499
+def test_permutation_walks_back_below_n(spark):
+    for n in (1, 2, 3, 10, 99, 100, 101, 5000):
+        got = sorted(r["number"] for r in S.shuffled_numbers(spark, n, n, "t").collect())
+        assert got == list(range(n)), n
+
+
+def test_pairs_of_many_names_are_made_only_as_asked(spark):
+    df = spark.range(200_000).select(F.col("id").cast("string").alias("n"))
+    pairs = S.shuffled_pairs(df, "n", 1000)  # of 4 * 10**10
+    assert pairs.filter("a = b").count() == 0 and pairs.distinct().count() == 1000
+    assert pairs.select("a").distinct().count() > 950
+
+
+def test_round_robin_with_a_hot_group_is_exact(spark):
+    rows = [(i, None if i % 50 == 7 else f"g{i % 20}" if i % 10 == 0 else "hot") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    order = {r["id"]: r["h"] for r in df.select("id", keyed(0, "id").alias("h")).collect()}
+    for n in (0, 1, 3, 57, 400, 3999, 4000, 9000):
+        groups = {}
+        for i, g in sorted(rows, key=lambda r: (order[r[0]], r[0])):
+            groups.setdefault(g, []).append(i)
+        turns = sorted((k, g or "", i) for g, ids in groups.items() for k, i in enumerate(ids))
+        want = {i for *_, i in turns[:n]}
+        assert {r["id"] for r in S.stratified(df, "g", keyed(0, "id"), "id", n).collect()} == want, n
 
 
 def test_recast_rows(spark):
