@@ -29,6 +29,17 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until it is none of the columns (in any letter case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def some_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """n rows (all if there are fewer), the first by a hash of their keys.
 

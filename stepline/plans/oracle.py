@@ -74,11 +74,11 @@ VIEWS = {
     "verdicts": """SELECT DISTINCT user_id AS session, user_id%5<>0 AS judged_done FROM events""",
     "states": """SELECT 'd'||doc_id AS id, text AS state, source FROM documents UNION ALL
         SELECT 'b'||item_id, translate(replace(text,' ','  '),'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'benchmark-copy' FROM benchmark""",
-    "nodes": r"""SELECT *, pre+size-1 AS last, CASE WHEN pre%2=1 THEN pre-1 WHEN pre%4=2 THEN pre-2 WHEN pre%8=4 THEN pre-4 END AS parent,
+    "nodes": r"""SELECT * REPLACE (CASE tag WHEN 'p' THEN 'span' WHEN 'li' THEN 'em' ELSE tag END AS tag), least(pre+size, n_nodes)-1 AS last, CASE WHEN pre%2=1 THEN pre-1 WHEN pre%4=2 THEN pre-2 WHEN pre%8=4 THEN pre-4 END AS parent,
         """
     + clip("raw")
     + r""" AS label FROM (SELECT *, CASE WHEN pre%8=0 THEN 8 WHEN pre%4=0 THEN 4 WHEN pre%2=0 THEN 2 ELSE 1 END AS size FROM (
-        SELECT page_id, url, unnest(range(0,len(m))) AS pre, unnest(m) AS tag, unnest(x) AS raw FROM (
+        SELECT page_id, url, len(m)::BIGINT AS n_nodes, unnest(range(0,len(m))) AS pre, unnest(m) AS tag, unnest(x) AS raw FROM (
         SELECT page_id, url, regexp_extract_all(html,'<(a|p|li|h1)(?:\s[^>]*)?>([^<]*)',1) AS m,
           regexp_extract_all(html,'<(a|p|li|h1)(?:\s[^>]*)?>([^<]*)',2) AS x FROM pages)))""",
 }

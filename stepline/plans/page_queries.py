@@ -13,6 +13,7 @@ from stepline.operators import convert as C
 from stepline.operators import pages as P
 from stepline.operators.ordering import first_per_group
 from stepline.operators.sampling import weighted_sample
+from stepline.operators.selectors import resolve_unique as resolve
 from stepline.plans import oracle as O
 from stepline.plans import views as V
 from stepline.plans.registry import query
@@ -117,24 +118,24 @@ def element_index(spark, folder):
 
 
 # links are clicked, paragraphs typed into, the gold is always clickable
-_OPS = "CASE WHEN tag='p' THEN ['TYPE_TEXT','CLICK'] ELSE ['CLICK'] END"
+_OPS = "CASE WHEN tag='span' THEN ['TYPE_TEXT','CLICK'] ELSE ['CLICK'] END"
 
 
-@query("element_operations", O.sql("nodes", f"SELECT page_id, pre, array_to_string(CASE WHEN is_gold AND page_id%4=0 AND tag<>'p' THEN list_concat(['TYPE_TEXT'],{_OPS}) ELSE {_OPS} END,'|') AS operations FROM off", **_STEPS))
+@query("element_operations", O.sql("nodes", f"SELECT page_id, pre, array_to_string(CASE WHEN is_gold AND page_id%4=0 AND tag<>'span' THEN list_concat(['TYPE_TEXT'],{_OPS}) ELSE {_OPS} END,'|') AS operations FROM off", **_STEPS))
 def element_operations(spark, folder):
     o = _operable(_offered(spark, folder))
     return o.select("page_id", "pre", F.array_join("operations", "|").alias("operations"))
 
 
 def _operable(off):
-    kind = F.when(F.col("tag") == "p", "textarea").otherwise(F.col("tag"))
+    kind = F.when(F.col("tag") == "span", "textarea").otherwise(F.col("tag"))
     ops = P.operations_of(kind, F.lit(None).cast("string"), F.lit("generic"), F.lit(None).cast("string"))
     op = F.when(F.col("page_id") % 4 == 0, "TYPE_TEXT").otherwise("CLICK")
     return off.withColumn("operations", P.with_gold_operation(ops, F.when(F.col("is_gold"), op))).withColumn("op", op)
 
 
-_TARGETS = """SELECT page_id, 'CLICK' AS op, index::VARCHAR AS key, '['||index||'] '||CASE WHEN tag='p' OR (is_gold AND page_id%4=0) THEN 'Open ' ELSE '' END||label AS element, is_gold AS gold FROM off
-  UNION ALL SELECT page_id, 'TYPE_TEXT', index::VARCHAR, '['||index||'] '||label, is_gold FROM off WHERE tag='p' OR (is_gold AND page_id%4=0)"""
+_TARGETS = """SELECT page_id, 'CLICK' AS op, index::VARCHAR AS key, '['||index||'] '||CASE WHEN tag='span' OR (is_gold AND page_id%4=0) THEN 'Open ' ELSE '' END||label AS element, is_gold AS gold FROM off
+  UNION ALL SELECT page_id, 'TYPE_TEXT', index::VARCHAR, '['||index||'] '||label, is_gold FROM off WHERE tag='span' OR (is_gold AND page_id%4=0)"""
 
 
 @query("target_criteria", O.sql("nodes", "SELECT page_id, op, key, element, gold FROM t", **_STEPS, t=_TARGETS))
@@ -160,11 +161,11 @@ def operation_menu(spark, folder):
 
 @query(
     "hidden_node",
-    O.sql("nodes", """SELECT n.page_id, n.pre, EXISTS (SELECT 1 FROM nodes h WHERE h.page_id=n.page_id AND h.tag='p' AND h.pre%3=0 AND n.pre BETWEEN h.pre AND h.last) AS hidden FROM nodes n"""),
+    O.sql("nodes", """SELECT n.page_id, n.pre, EXISTS (SELECT 1 FROM nodes h WHERE h.page_id=n.page_id AND h.tag='span' AND h.pre%3=0 AND n.pre BETWEEN h.pre AND h.last) AS hidden FROM nodes n"""),
 )
 def hidden_node(spark, folder):
     n = V.flat_nodes(spark, folder)
-    return n.select("page_id", "pre", P.inside((F.col("tag") == "p") & (F.col("pre") % 3 == 0)).alias("hidden"))
+    return n.select("page_id", "pre", P.inside((F.col("tag") == "span") & (F.col("pre") % 3 == 0)).alias("hidden"))
 
 
 @query(
@@ -182,11 +183,11 @@ def interactive_node(spark, folder):
 
 @query(
     "preceding_text",
-    O.sql("nodes", """SELECT n.page_id, n.pre, (SELECT arg_max(t.label, t.pre) FROM nodes t WHERE t.page_id=n.page_id AND t.tag='p' AND t.label<>'' AND t.pre<n.pre) AS preceding FROM nodes n"""),
+    O.sql("nodes", """SELECT n.page_id, n.pre, (SELECT arg_max(t.label, t.pre) FROM nodes t WHERE t.page_id=n.page_id AND t.tag='span' AND t.label<>'' AND t.pre<n.pre) AS preceding FROM nodes n"""),
 )
 def preceding_text(spark, folder):
     n = V.flat_nodes(spark, folder)
-    runs = n.filter((F.col("tag") == "p") & (F.col("label") != "")).select("page_id", F.col("pre").alias("pos"), F.col("label").alias("text"), F.col("pre").alias("seq"))
+    runs = n.filter((F.col("tag") == "span") & (F.col("label") != "")).select("page_id", F.col("pre").alias("pos"), F.col("label").alias("text"), F.col("pre").alias("seq"))
     return P.preceding_text(n, runs).select("page_id", "pre", "preceding")
 
 
@@ -225,22 +226,35 @@ def climb_interactive(spark, folder):
     return P.climb(n, steps).select("page_id", "hit", "gold")
 
 
+# fixed values: a selector for each remainder of the page number, and the elements it means
+_SELECTORS = {
+    "h1": "n.tag='h1'",
+    "a": "n.tag='a'",
+    "#f3": "n.pre=3",
+    "span.c1.k2": "n.tag='span' AND n.pre%3=1 AND n.pre%4=2",
+    "a .c2": "n.pre%3=2 AND EXISTS (SELECT 1 FROM nodes u WHERE u.page_id=n.page_id AND u.tag='a' AND u.pre<n.pre AND n.pre<=u.last)",
+    "#f8 > .k2 > *": "EXISTS (SELECT 1 FROM nodes u WHERE u.page_id=n.page_id AND u.pre=n.parent AND u.parent=8 AND u.pre%4=2)",
+    "em#f5.c2": "n.tag='em' AND n.pre=5 AND n.pre%3=2",
+    "#f0 span a.k3": "n.tag='a' AND n.pre%4=3 AND EXISTS (SELECT 1 FROM nodes u JOIN nodes o ON o.page_id=u.page_id AND o.pre=0 AND u.pre>0 AND u.pre<=o.last WHERE u.page_id=n.page_id AND u.tag='span' AND u.pre<n.pre AND n.pre<=u.last)",
+    "a[href]": "false",
+}
+_CASES = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(_SELECTORS.values()))
+_NAMES = " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_SELECTORS))
+
+
 @query(
     "resolve_unique",
     O.sql(
         "nodes",
-        """SELECT page_id, selector, max(pre) AS pre FROM (SELECT p.page_id, p.selector, n.pre FROM (
-          SELECT page_id, CASE page_id%3 WHEN 0 THEN 'h1' WHEN 1 THEN 'a' ELSE '#f3' END AS selector FROM pages) p
-        JOIN nodes n ON n.page_id=p.page_id AND (n.tag=p.selector OR '#f'||n.pre=p.selector)) GROUP BY ALL HAVING count(*)=1""",
+        f"""SELECT page_id, selector, max(pre) AS pre FROM (SELECT n.page_id, n.pre, CASE n.page_id%{len(_SELECTORS)} {_NAMES} END AS selector FROM nodes n
+        WHERE CASE n.page_id%{len(_SELECTORS)} {_CASES} END) GROUP BY ALL HAVING count(*)=1""",
     ),
 )
 def resolve_unique(spark, folder):
-    n = V.flat_nodes(spark, folder)
-    keys = n.select("page_id", "pre", F.explode(F.array("tag", F.concat(F.lit("#f"), F.col("pre")))).alias("selector"))
-    pid = F.col("page_id") % 3
-    wanted = table(spark, folder, "pages").select("page_id", F.when(pid == 0, "h1").when(pid == 1, "a").otherwise("#f3").alias("selector"))
-    hits = wanted.join(keys, ["page_id", "selector"]).groupBy("page_id", "selector").agg(F.count("*").alias("n"), F.max("pre").alias("pre"))
-    return hits.filter("n = 1").drop("n")
+    """Tags, ids, classes, compounds, descendants and children; only what means one element counts."""
+    place = (F.col("page_id") % len(_SELECTORS) + 1).cast("int")
+    wanted = table(spark, folder, "pages").select("page_id", F.element_at(F.array(*[F.lit(x) for x in _SELECTORS]), place).alias("selector"))
+    return resolve(V.flat_nodes(spark, folder), wanted)
 
 
 @query(

@@ -196,17 +196,45 @@ def states(spark: SparkSession, folder: str) -> DataFrame:
 FLAT_TAGS = r"<(a|p|li|h1)(?:\s[^>]*)?>([^<]*)"
 
 
+# fixed values: what the flat tags are called in the pages built from them, where they nest freely
+NESTED_TAGS = {"p": "span", "li": "em"}
+
+
+def built_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """HTML of a known tree: the flat tags and texts of each page, in blocks of eight, four and two by their place.
+
+    Every element has an id (f and its place) and two classes (c and its place modulo 3, k and modulo 4).
+    """
+    p = table(spark, folder, "pages")
+    tags = F.regexp_extract_all("html", F.lit(FLAT_TAGS), F.lit(1))
+    texts = F.regexp_extract_all("html", F.lit(FLAT_TAGS), F.lit(2))
+    renamed = F.transform(tags, lambda t: F.coalesce(lookup(NESTED_TAGS, t), t))
+    found = p.select("page_id", "url", renamed.alias("tags"), texts.alias("texts")).where(F.size("tags") > 0)
+
+    def close(i: Column) -> Column:
+        return F.concat(F.lit("</"), F.get("tags", i), F.lit(">"))
+
+    def element(i: Column) -> Column:
+        place = i.cast("string")
+        named = F.concat(F.lit('<'), F.get("tags", i), F.lit(' id="f'), place, F.lit('" class="c'), (i % 3).cast("string"), F.lit(" k"), (i % 4).cast("string"), F.lit('">'))
+        ends = F.concat(
+            F.when(i % 2 == 1, close(i)).otherwise(""),
+            F.when(i % 4 == 3, close(i - 1)).otherwise(""),
+            F.when(i % 8 == 7, F.concat(close(i - 3), close(i - 7))).otherwise(""),
+        )
+        return F.concat(named, F.replace(F.get("texts", i), F.lit("&"), F.lit("&amp;")), ends)
+
+    html = F.array_join(F.transform(F.sequence(F.lit(0), F.size("tags") - 1), element), "")
+    return found.select("page_id", "url", html.alias("html"))
+
+
 def flat_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """The flat tags of each page with their text, and a nested interval derived from their place."""
+    """The elements of the built pages, as the page parser finds them, with their own first text."""
     from stepline.functions.text import clip
+    from stepline.operators.pages import page_nodes
 
-    p = table(spark, folder, "pages")
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(FLAT_TAGS), F.lit(1)).alias("tag"),
-        F.regexp_extract_all("html", F.lit(FLAT_TAGS), F.lit(2)).alias("raw"),
-    )
-    n = p.select("page_id", "url", F.posexplode(found).alias("pre", "t")).select("page_id", "url", F.col("pre").cast("long").alias("pre"), "t.tag", "t.raw")
-    pre = F.col("pre")
-    size = F.when(pre % 8 == 0, 8).when(pre % 4 == 0, 4).when(pre % 2 == 0, 2).otherwise(1)
-    parent = F.when(pre % 2 == 1, pre - 1).when(pre % 4 == 2, pre - 2).when(pre % 8 == 4, pre - 4)
-    return n.withColumns({"last": pre + size - 1, "parent": parent, "label": clip("raw")})
+    pages = built_pages(spark, folder)
+    own = F.coalesce(F.get("runs", F.lit(0))["text"], F.lit(""))
+    long = {c: F.col(c).cast("long") for c in ("pre", "last", "parent")}
+    n = page_nodes(pages.select("page_id", "html"), text_chars=1000).withColumns(long).withColumn("raw", own)
+    return n.select("page_id", "pre", "last", "parent", "tag", "attrs", "raw", clip("raw").alias("label"))
