@@ -1,7 +1,7 @@
 """CSS selectors over element relations, resolved through a posting index.
 
-Every element is filed under its tag, its id and each of its classes, with its preorder interval.
-A compound (``a#x.y``) is the elements that stand under all of its words; a descendant or child
+Every element is filed under its tag, its id, each of its classes and its place among its siblings.
+A compound (``a#x.y:nth-child(2)``) is the elements that stand under all of its words; a descendant or child
 step asks whether one of the elements found so far holds the next one, which its interval or its
 parent tells. Nothing is compared element by element.
 """
@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from stepline.session import materialize
 
 NAME = r"(?:[A-Za-z_]|[^\x00-\x7F])(?:[\w-]|[^\x00-\x7F])*"
-COMPOUND = rf"(?:\*|{NAME})?(?:[#.]{NAME})*"
+PLACE = r":nth-(?:child|of-type)\([0-9]+\)"
+COMPOUND = rf"(?:\*|{NAME})?(?:[#.]{NAME}|{PLACE})*"
 # compounds with spaces or > between them; an empty one matches the pattern, but is none
 SELECTOR = rf"^{COMPOUND}(?:(?: ?> ?| ){COMPOUND})*$"
-WORD = rf"[#.]?{NAME}|\*"
+WORD = rf"[#.]?{NAME}|\*|{PLACE}"
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """(page_id, word, pre): ``tag``, ``#id``, ``.class`` and ``*`` of every element."""
+    """(page_id, word, pre): ``tag``, ``*``, ``#id``, ``.class``, ``:nth-child(n)`` and ``:nth-of-type(n)`` of every element."""
+    siblings, alike = (Window.partitionBy("page_id", "parent", *more).orderBy("pre") for more in ([], ["tag"]))
+    places = [F.format_string(f":nth-{kind}(%d)", F.row_number().over(w)) for kind, w in (("child", siblings), ("of-type", alike))]
     attr = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit(""))
     classes = F.transform(F.filter(F.split(attr("class"), "[ \t\n\f\r]+"), lambda c: c != ""), lambda c: F.concat(F.lit("."), c))
-    words = F.concat(F.array("tag", F.lit("*")), F.when(attr("id") != "", F.array(F.concat(F.lit("#"), attr("id")))).otherwise(F.array().cast("array<string>")), F.array_distinct(classes))
-    return nodes.select("page_id", F.explode(words).alias("word"), "pre")
+    words = F.concat(F.array("tag", F.lit("*"), "_child", "_alike"), F.when(attr("id") != "", F.array(F.concat(F.lit("#"), attr("id")))).otherwise(F.array().cast("array<string>")), F.array_distinct(classes))
+    placed = nodes.withColumns({"_child": places[0], "_alike": places[1]})
+    return placed.select("page_id", F.explode(words).alias("word"), "pre")
 
 
 def steps_of(selector: Column) -> Column:
@@ -42,7 +46,8 @@ def matches(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(page_id, selector, pre) of all elements that a selector of ``wanted`` (page_id, selector) means.
 
     ``nodes``: page_id, pre, last, parent, tag, attrs. Tags are compared as they are written in
-    the nodes. Selectors of other forms (attributes, pseudo-classes, lists) mean nothing.
+    the nodes. Selectors of other forms (attributes, other pseudo-classes, lists) mean
+    nothing.
     """
     asked = wanted.select("page_id", "selector").distinct().withColumn("steps", steps_of(F.col("selector"))).where("steps is not null")
     asked = materialize(asked, "selectors")

@@ -7,18 +7,18 @@ from stepline.functions import actions as A
 from stepline.operators import convert as C
 from stepline.operators import pages as P
 
-LINKS = "".join(f'<a href="/p{i}">Item {i}</a>' for i in range(12))
-SHOP = f"""<!DOCTYPE html><html lang="en"><head><title>The Shop</title><style>b{{}}</style></head><body>
-<div id="top"><label for="q">Search goods</label><input id="q" type="search" value="old">
-<button class="go"><span id="s">Find <b>it</b> now</span></button> after button
-<p>Size</p><select id="size"><option value="s" selected>Small</option><option value="l">Large</option></select>
-<div style="display: none"><button>Secret</button>hidden text</div><!-- note -->tail of note
-<ul><li>One<li>Two</ul>{LINKS}</div></body></html>"""
+ROOMS = "".join(f'<button name="r{i}">Room {i}</button>' for i in range(14))
+MUSEUM = f"""<!DOCTYPE html><html lang="en"><head><title>Museum hours</title><style>i{{}}</style></head><body>
+<form id="booking"><fieldset><label for="mail">Your address</label><input type="email" id="mail" value="a@b.example"></fieldset>
+<p>Guests</p><select id="guests"><option value="1">One</option><option value="2" selected>Two</option><option value="9">A group</option></select>
+<summary id="more"><i id="word">Show <u>all</u> rooms</i></summary> beside it
+<section style="visibility: hidden"><button>Staff only</button>unseen words</section><!-- remark -->words behind it
+<ol><li>East wing<li>West wing</ol>{ROOMS}</form></body></html>"""
 
 
 @pytest.fixture(scope="module")
 def nodes(spark):
-    return P.page_nodes(spark.createDataFrame([(1, SHOP)], "page_id long, html string")).persist()
+    return P.page_nodes(spark.createDataFrame([(1, MUSEUM)], "page_id long, html string")).persist()
 
 
 @pytest.fixture(scope="module")
@@ -39,29 +39,30 @@ def test_tree_shape(nodes):
     tags = [rows[i]["tag"] for i in sorted(rows)]
     assert tags[:4] == ["html", "head", "title", "style"] and tags.count("li") == 2
     items = [r for r in rows.values() if r["tag"] == "li"]
-    assert [r["text"] for r in items] == ["One", "Two"] and items[0]["depth"] == items[1]["depth"]
+    assert [r["text"] for r in items] == ["East wing", "West wing"] and items[0]["depth"] == items[1]["depth"]
 
 
 def test_labels_values_and_operations(described):
     rows = {r["attrs"].get("id"): r for r in described.collect()}
-    assert rows["q"]["label"] == "Search goods" and rows["q"]["value"] == "old" and rows["q"]["role"] == "searchbox"
-    assert rows["q"]["operations"] == ["TYPE_TEXT", "CLICK"]
-    assert rows["size"]["label"] == "Size" and rows["size"]["value"] == "Small" and rows["size"]["operations"] == ["SELECT"]
-    assert [(o["label"], o["value"]) for o in rows["size"]["options"]] == [("Small", "s"), ("Large", "l")]
-    assert rows["s"]["label"] == "Find it now"
+    assert (rows["mail"]["label"], rows["mail"]["value"], rows["mail"]["role"]) == ("Your address", "a@b.example", "textbox")
+    assert rows["mail"]["operations"] == ["TYPE_TEXT", "CLICK"]
+    assert (rows["guests"]["label"], rows["guests"]["value"], rows["guests"]["operations"]) == ("Guests", "Two", ["SELECT"])
+    assert [(o["label"], o["value"]) for o in rows["guests"]["options"]] == [("One", "1"), ("Two", "2"), ("A group", "9")]
+    assert rows["word"]["label"] == "Show all rooms"
 
 
 def test_hidden_is_inherited_and_not_page_text(nodes, described):
     hidden = {r["label"] for r in described.filter("hidden and tag = 'button'").collect()}
-    assert hidden == {"Secret"}
+    assert hidden == {"Staff only"}
     text = P.page_text(P.page_texts(nodes)).first()["page_text"].split("\n")
-    assert "hidden text" not in text and "tail of note" not in text and "b{}" not in text
-    assert text[:5] == ["Search goods", "Find", "it", "now", "after button"]
+    assert "unseen words" not in text and "words behind it" not in text and "i{}" not in text
+    at = text.index("Show")
+    assert text[:2] == ["Your address", "Guests"] and text[at : at + 4] == ["Show", "all", "rooms", "beside it"]
 
 
 def test_preceding_text_looks_strictly_back(nodes):
     rows = {r["tag"]: r["preceding"] for r in P.preceding_text(nodes, P.page_texts(nodes)).filter("tag in ('input', 'select', 'html')").collect()}
-    assert rows == {"input": "Search goods", "select": "Size", "html": None}
+    assert rows == {"input": "Your address", "select": "Guests", "html": None}
 
 
 def convert(spark, described, op, selector, wanted=None, **kw):
@@ -78,7 +79,7 @@ def convert(spark, described, op, selector, wanted=None, **kw):
     links = described.select("page_id", "pre", "parent", (F.col("acts") & ~F.col("hidden")).alias("interactive"))
     start = spark.createDataFrame([("x", 1, hit)], "step_id string, page_id long, hit int")
     s = P.climb(links, start).select("step_id", "page_id", "gold", "hit", F.lit(op).alias("op"), F.lit(wanted).cast("string").alias("wanted"),
-        F.lit("Find a shirt").alias("goal"), F.lit("http://shop/").alias("url"), F.lit("Shop").alias("title"), F.lit("text").alias("page_text"),
+        F.lit("Book a visit").alias("goal"), F.lit("http://museum/").alias("url"), F.lit("Museum").alias("title"), F.lit("text").alias("page_text"),
         F.array().cast(f"array<{A.ENTRY_TYPE}>").alias("history"), F.lit(None).cast("string").alias("skip_reason"))
     r = C.convert_steps(d, s, **kw).first()
     return r, r["request"] and json.loads(r["request"]), r["labels"] and json.loads(r["labels"])
@@ -90,10 +91,10 @@ def target_of(request, labels):
 
 
 def test_click_climbs_from_span_to_button(spark, described):
-    r, request, labels = convert(spark, described, "CLICK", "s", k_min=8, k_max=12)
-    assert r["skip_reason"] is None and target_of(request, labels).endswith("] Find it now")
+    r, request, labels = convert(spark, described, "CLICK", "word", k_min=8, k_max=12)
+    assert r["skip_reason"] is None and target_of(request, labels).endswith("] Show all rooms")
     shown = [e["label"] for e in request["state"]["elements"]]
-    assert shown.count("Find it now") == 1 and "Secret" not in shown and len(shown) == r["k"] <= 12
+    assert shown.count("Show all rooms") == 1 and "Staff only" not in shown and len(shown) == r["k"] <= 12
     assert [e["index"] for e in request["state"]["elements"]] == [str(i + 1) for i in range(len(shown))]
     menu = list(request["questions"]["operation"]["criteria"])
     assert menu[-3:] == ["WAIT", "DONE", "BLOCKED"] and "CLICK" in menu
@@ -102,16 +103,16 @@ def test_click_climbs_from_span_to_button(spark, described):
 
 
 def test_type_and_select_targets(spark, described):
-    _, request, labels = convert(spark, described, "TYPE_TEXT", "q", k_min=8, k_max=12)
-    assert target_of(request, labels).endswith("] Search goods")
-    _, request, labels = convert(spark, described, "SELECT", "size", " LARGE ", k_min=8, k_max=12)
-    assert target_of(request, labels).endswith("Size → Large") and labels["select_target"].endswith(":2")
+    _, request, labels = convert(spark, described, "TYPE_TEXT", "mail", k_min=8, k_max=12)
+    assert target_of(request, labels).endswith("] Your address")
+    _, request, labels = convert(spark, described, "SELECT", "guests", " a GROUP ", k_min=8, k_max=12)
+    assert target_of(request, labels).endswith("Guests → A group") and labels["select_target"].endswith(":3")
 
 
 def test_skip_reasons(spark, described):
-    assert convert(spark, described, "SELECT", "q")[0]["skip_reason"] == "select_not_a_select"
-    assert convert(spark, described, "SELECT", "size", "Huge")[0]["skip_reason"] == "select_option_not_found"
-    assert convert(spark, described, "CLICK", "s", k_min=38, k_max=40)[0]["skip_reason"] == "too_few_candidates"
+    assert convert(spark, described, "SELECT", "mail")[0]["skip_reason"] == "select_not_a_select"
+    assert convert(spark, described, "SELECT", "guests", "Nobody")[0]["skip_reason"] == "select_option_not_found"
+    assert convert(spark, described, "CLICK", "word", k_min=38, k_max=40)[0]["skip_reason"] == "too_few_candidates"
 
 
 TREE = """RootWebArea 'Sums', focused, url='https://sums.example/'

@@ -13,23 +13,26 @@ PAGE = """<main id="m"><section class="card wide"><h2 class="name">A</h2><ul cla
 ASKED = [
     "main", "#m", ".card", "section.card.wide", "li", "li.y", "#one", "li#one.x", ".wide li", "main > section > ul", "main em.y", "ul .y", "section section", ".x > .y", ".x .y",
     "main  >  section.card   li", "*", "main *", "main > *", "> li", "li >", "", "a[href]", "li:first-child", "li, em", ".é", "#1x", "ul > em", "main section ul li em", ".x.x",
+    "section:nth-child(2) > aside >b:nth-child(1)", "li:nth-child(2)", "section:nth-of-type(1)", "aside:nth-of-type(1)", "aside:nth-child(1)", ":nth-child(1)", "li:nth-child(0)", "li:nth-child(2n)",
 ]
 
 
 def plain(nodes, selector):
     text = re.sub(r"\s*>\s*", " > ", selector).strip()
     words = text.split()
-    if not words or words[0] == ">" or words[-1] == ">" or not all(w == ">" or re.fullmatch(r"(\*|[^\W\d][\w-]*)?([#.][^\W\d][\w-]*)*", w) for w in words):
+    if not words or words[0] == ">" or words[-1] == ">" or not all(w == ">" or re.fullmatch(r"(\*|[^\W\d][\w-]*)?([#.][^\W\d][\w-]*|:nth-(child|of-type)\(\d+\))*", w) for w in words):
         return set()
     found, child = None, False
     for w in words:
         if w == ">":
             child = True
             continue
-        parts = re.findall(r"[#.]?[\w-]+|\*", w)
+        parts = re.findall(r":[\w-]+\(\d+\)|[#.]?[\w-]+|\*", w)
 
         def fits(n, parts=parts):
             mine = {n.tag, "*", "#" + n.attrs.get("id", "")} | {"." + c for c in n.attrs.get("class", "").split()}
+            ahead = [m for m in nodes if m.parent == n.parent and m.pre <= n.pre]
+            mine |= {f":nth-child({len(ahead)})", f":nth-of-type({sum(m.tag == n.tag for m in ahead)})"}
             return all(x in mine for x in parts)
 
         hits = {n.pre for n in nodes if fits(n)}
