@@ -8,7 +8,6 @@ where another codeword is almost as near.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -28,7 +27,6 @@ SMOOTH = 0.5
 TEMPER = 6.0  # the most that a mean ratio is multiplied by; it grows as the square root of the n-grams up to there
 AMBIGUOUS = 2.0  # a difference of weighted loss between the two nearest codewords below this is flagged
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -129,7 +127,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 def decode(text: str | None, model: Model) -> tuple[str, float, bool]:
     """(language, score, ambiguous) of a text."""
-    if not model.languages or text is None or not LETTER.search(text):
+    if not model.languages or text is None or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
     loss = np.logaddexp(0, -margins(text, model.weights) * model.code) @ model.trust
     best = int(loss.argmin())
