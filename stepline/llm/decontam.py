@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepline.llm.scratch import Scratch
+from stepline.llm.scratch import Scratch, free_names
 
 # The places a mask looks at, '1', among the tokens of a window.
 MASKS = ("11101001101", "11011010011", "10111100101", "11110110100")
@@ -237,7 +237,12 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
 
 
 def keep_clean(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no test passage."""
-    flagged = contaminated(docs, tests, id_col, text_col, **options).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
-    marked = docs.withColumn("__h", F.xxhash64(text_col))
-    return marked.join(flagged, marked[id_col].eqNullSafe(flagged["__id"]) & (marked["__h"] == flagged["__hash"]), "left_anti").drop("__h")
+    """The rows of docs that hold no test passage, columns as they are.
+
+    Null and empty texts hold none and stay; rows equal in id and text stay or go together; no
+    test items leave docs as they are, no rows give no rows.
+    """
+    own, bad_id, bad_hash = free_names(docs.columns, "own_hash", "bad_id", "bad_hash")
+    flagged = contaminated(docs, tests, id_col, text_col, **options).select(F.col("id").alias(bad_id), F.col("text_hash").alias(bad_hash))
+    marked = docs.withColumn(own, F.xxhash64(text_col))
+    return marked.join(flagged, F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_hash)), "left_anti").drop(own)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepline.functions.hashing import uniform
-from stepline.llm.scratch import Scratch
+from stepline.llm.scratch import Scratch, free_names
 
 MAX_MEAN = 64.0  # a larger mean is drawn as a sum of Poisson numbers with means below this
 SLACK = 80  # terms of the inversion beyond the mean: P(more | mean <= 64) < 1e-15
@@ -57,11 +57,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     measured size allows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    marks = scratch.keep(rates(docs, weights, source_col, text_col, epochs, scratch), "rates").select(F.col("source").alias("__source"), F.col("mean").alias("__mean"), F.col("parts").alias("__parts"))
+    plain = docs.drop(copy_col)
+    of, mean, parts, n, at = free_names([*plain.columns, copy_col], "of", "mean", "parts", "n", "at")
+    marks = scratch.keep(rates(docs, weights, source_col, text_col, epochs, scratch), "rates").select(F.col("source").alias(of), F.col("mean").alias(mean), F.col("parts").alias(parts))
     who = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    with_rate = docs.drop(copy_col).join(marks, F.col(source_col).eqNullSafe(F.col("__source")))
-    count = F.when(F.col("__mean") > 0, poisson(F.col("__mean"), F.col("__parts"), lambda j: uniform(seed, who, j)))
-    counted = with_rate.withColumn("__n", count).where("__n > 0")
-    copies = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    dealt = copies.withColumn("__at", F.xxhash64(F.lit(seed), who, copy_col))
-    return dealt.repartition("__at").sortWithinPartitions("__at").drop("__source", "__mean", "__parts", "__n", "__at")
+    with_rate = plain.join(marks, F.col(source_col).eqNullSafe(F.col(of)))
+    count = F.when(F.col(mean) > 0, poisson(F.col(mean), F.col(parts), lambda j: uniform(seed, who, j)))
+    counted = with_rate.withColumn(n, count).where(F.col(n) > 0)
+    copies = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n))))
+    dealt = copies.withColumn(at, F.xxhash64(F.lit(seed), who, copy_col))
+    return dealt.repartition(at).sortWithinPartitions(at).drop(of, mean, parts, n, at)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepline.llm.scratch import Scratch
+from stepline.llm.scratch import Scratch, free_names
 
 SPACE = " \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -73,8 +73,12 @@ def n_repeat_words(word_list: Column) -> Column:
 
 
 def base_figures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, each behind the prefix."""
-    t, w = F.col(text_col), f"__{prefix}words"
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, each behind the prefix.
+
+    Null and empty texts have zeros; repeated rows get the same figures, no rows give no rows, and
+    columns named like a figure are replaced.
+    """
+    t, (w,) = F.col(text_col), free_names(docs.columns, "words")
     wide = docs.withColumn(w, words(t))
     figures = {
         "n_words": F.size(w).cast("long"),
@@ -142,5 +146,9 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that no rule rejects, columns as they are."""
+    """The rows that no rule rejects, columns as they are.
+
+    Null and empty texts are rejected (few_words); repeated rows stay or go together, no rows
+    give no rows.
+    """
     return docs.where(cascade(order_rules(docs, rules, text_col), F.col(text_col)).isNull())

@@ -172,9 +172,9 @@ r AS (SELECT source, CASE WHEN s.size>0 THEN 1.0::DOUBLE/t.w*t.size/s.size ELSE
 q AS (SELECT source, mean, greatest(1, ceil(mean/{mixing.MAX_MEAN}))::INT AS parts FROM r WHERE mean>0),
 c AS (SELECT source, parts, mean/parts AS m, 0 AS k, exp(-(mean/parts)) AS p, exp(-(mean/parts)) AS c FROM q
   UNION ALL SELECT source, parts, m, k+1, p*m/(k+1), c+p*m/(k+1) FROM c WHERE k<ceil(m)+{mixing.SLACK}),
-u AS (SELECT doc_id, source, parts, {unit(key(42, "doc_id", "j"))} AS u FROM documents JOIN q USING (source), range(1, 100) g(j) WHERE j<=parts),
-n AS (SELECT u.doc_id, sum(least(x, ceil(q.mean/q.parts)+{mixing.SLACK}))::INT AS n FROM (SELECT u.doc_id, u.source, u.u, count(c.k) AS x FROM u LEFT JOIN c ON c.source=u.source AND c.c<=u.u GROUP BY ALL) u
-  JOIN q ON q.source=u.source GROUP BY u.doc_id)
+u AS (SELECT doc_id, source, parts, {unit(key(42, "doc_id", "j"))} AS u FROM (SELECT d.doc_id, d.source, q.parts, unnest(range(1, q.parts+1)) AS j FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source)),
+n AS (SELECT u.doc_id, sum(least(x, ceil(q.mean/q.parts)+{mixing.SLACK}))::INT AS n FROM (SELECT u.doc_id, u.source, u.u, count(c.k) AS x FROM u LEFT JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.c<=u.u GROUP BY ALL) u
+  JOIN q ON q.source IS NOT DISTINCT FROM u.source GROUP BY u.doc_id)
 SELECT d.*, unnest(range(1, n.n+1))::INT AS copy FROM documents d JOIN n USING (doc_id)"""
 
 

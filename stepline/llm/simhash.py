@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepline.llm.components import connected_components
-from stepline.llm.scratch import Scratch, some_rows
+from stepline.llm.scratch import Scratch, free_names, some_rows
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -197,7 +197,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs without near duplicates: of each class the row with the smallest id (null last) stays."""
     rows = near_duplicates(docs, id_col, text_col)
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("k"))
-    if_none = least.select(F.col("k.id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    marked = docs.withColumn("__h", F.xxhash64(text_col))
-    stay = marked.join(if_none, marked[id_col].eqNullSafe(if_none["__id"]) & (marked["__h"] == if_none["__hash"]), "left_semi")
-    return stay.dropDuplicates([id_col, "__h"]).drop("__h")
+    own, kept_id, kept_hash = free_names(docs.columns, "own_hash", "kept_id", "kept_hash")
+    keep = least.select(F.col("k.id").alias(kept_id), F.col("k.text_hash").alias(kept_hash))
+    marked = docs.withColumn(own, F.xxhash64(text_col))
+    stay = marked.join(keep, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash)), "left_semi")
+    return stay.dropDuplicates([id_col, own]).drop(own)

@@ -22,7 +22,7 @@ def test_query(spark, folder, key):
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES if k.startswith("op")}
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
