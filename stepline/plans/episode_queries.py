@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepline.operators import episodes as E
-from stepline.operators.ordering import line_position
 from stepline.plans import oracle as O
 from stepline.plans import views as V
 from stepline.plans.registry import query
+from stepline.session import scratch_path
+from stepline.sources.lines import numbered_lines, parsed
 from stepline.sources.tables import table
 
 _BLOCK = E.SITE_BLOCK.removeprefix("(?i)")
@@ -197,17 +199,31 @@ _ACTION = """CASE WHEN judged IS NULL THEN 'no_verdict' WHEN operation='DONE' AN
   WHEN operation<>'DONE' AND judged THEN 'relabelled_to_done' ELSE 'kept' END"""
 
 
+LINE_SCHEMA = T.StructType([T.StructField(c, k) for c, k in (("doc_id", T.LongType()), ("operation", T.StringType()), ("split", T.StringType()))])
+VERDICT_SCHEMA = T.StructType([T.StructField("line", T.LongType()), T.StructField("done", T.BooleanType())])
+
+
+def judged_files(spark, folder):
+    """Labelled rows written as the JSON lines of several files, and what a judge wrote who read them line by line."""
+    labels = table(spark, folder, "labels")
+    operation = F.when(F.col("quality") == 1, "DONE").otherwise("CLICK")
+    split = F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train")
+    row = F.to_json(F.struct("doc_id", operation.alias("operation"), split.alias("split")))
+    data, judge = scratch_path(spark, "labelled"), scratch_path(spark, "judged")
+    ordered = labels.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered.select(row.alias("value")).write.text(data)
+    seen = parsed(numbered_lines(spark, data), LINE_SCHEMA).select(F.col("position").alias("line"), F.col("row.doc_id").alias("doc_id"))
+    verdict = seen.join(labels, "doc_id").where(F.col("doc_id") % 10 != 0)
+    verdict.select(F.to_json(F.struct("line", (F.col("toxic") == 1).alias("done"))).alias("value")).write.text(judge)
+    return data, judge
+
+
 def _lines(spark, folder):
-    """Labelled rows with an explicit line number, and the verdicts keyed by it."""
-    rows = line_position(table(spark, folder, "labels"), "doc_id").select(
-        "doc_id",
-        (F.col("position") - 1).alias("line"),
-        F.when(F.col("quality") == 1, "DONE").otherwise("CLICK").alias("operation"),
-        F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train").alias("split"),
-        "toxic",
-    )
-    verdicts = rows.filter(F.col("doc_id") % 10 != 0).select("line", (F.col("toxic") == 1).alias("judged"))
-    return rows.drop("toxic"), verdicts
+    """Labelled rows with the number of their line, and the verdicts keyed by it, both read from files."""
+    data, judge = judged_files(spark, folder)
+    rows = parsed(numbered_lines(spark, data), LINE_SCHEMA).where("not broken").select("row.*", F.col("position").alias("line"))
+    verdicts = parsed(spark.read.text(judge), VERDICT_SCHEMA).where("not broken").select("row.line", F.col("row.done").alias("judged"))
+    return rows.select("doc_id", "line", "operation", "split"), verdicts
 
 
 def audit(rows, verdicts):
@@ -267,7 +283,6 @@ def relabel_report(spark, folder):
 )
 def job_audit_labels(spark, folder):
     """Writes the cleaned copy by split, then reports on it beside the audit counts."""
-    from stepline.session import scratch_path
     from stepline.sources.steps import write_splits
 
     rows, verdicts = _lines(spark, folder)
