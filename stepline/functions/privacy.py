@@ -130,6 +130,20 @@ def may_hold(text: Column, pattern: str) -> Column:
     return F.contains(text, F.lit(sign)) if sign == "@" else text.rlike(sign)
 
 
+# an escaped character of a JSON text, behind which a sign may hide
+ESCAPED = "\\u"
+
+
+def json_may_change(json_text: Column) -> Column:
+    """Whether ``redact_free`` could change any string of a JSON text: without a sign in all of it, it could not."""
+    return F.contains(json_text, F.lit(ESCAPED)) | may_hold(json_text, EMAIL) | may_hold(json_text, SECRET) | may_hold(json_text, URL_SECRET)
+
+
+def json_may_hold_numbers(json_text: Column) -> Column:
+    """Whether any string of a JSON text could hold a card or social security number."""
+    return F.contains(json_text, F.lit(ESCAPED)) | may_hold(json_text, CARD) | may_hold(json_text, SSN)
+
+
 def detect(text: Column, pattern: str, replacement: str = MARK_OPEN + "$0" + MARK_CLOSE) -> Column:
     """``spans`` of a detector, behind its sign."""
     return F.when(may_hold(text, pattern), spans(text, pattern, replacement)).otherwise(no_spans())
@@ -263,14 +277,18 @@ def json_texts(json_text: Column) -> Column:
     return let(_json_pieces(json_text), values)
 
 
-def rewrite_json(json_text: Column, fix) -> Column:
-    """The JSON text with ``fix`` applied to every string value; keys, numbers and layout stay."""
+def rewrite_json(json_text: Column, fix, wanted=None) -> Column:
+    """The JSON text with ``fix`` applied to every string value; keys, numbers and layout stay.
+
+    ``wanted`` tells from a value as it is written whether ``fix`` could change it; others are not touched.
+    """
 
     def written(x: Column) -> Column:
         j = F.to_json(F.struct(fix(_string_of(x)).alias("v")))
         return F.substring(j, F.lit(7), F.length(j) - 8)
 
     def whole(p: Column) -> Column:
-        return F.array_join(F.transform(p, lambda x, i: F.when(_is_value(p, i), written(x)).otherwise(_released(x))), '"')
+        ask = (lambda x, i: _is_value(p, i)) if wanted is None else (lambda x, i: _is_value(p, i) & wanted(x))
+        return F.array_join(F.transform(p, lambda x, i: F.when(ask(x, i), written(x)).otherwise(_released(x))), '"')
 
     return let(_json_pieces(json_text), whole)

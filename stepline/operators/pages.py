@@ -8,13 +8,13 @@ All steps share the partitioning by page.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepline.functions.prob import let
 from stepline.functions.text import clip, norm_ws
 
 # fixed values: which tags and roles can be acted on, and how a tag reads as a role
@@ -272,8 +272,6 @@ def drop_repeats(texts: Column) -> Column:
 
 def page_text(texts: DataFrame, limit: int = PAGE_TEXT_CHARS) -> DataFrame:
     """Text of a page: runs in order, consecutive repeats dropped, one per line, cut at the limit."""
-    from stepline.functions.prob import let
-
     runs = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
     per = texts.groupBy("page_id").agg(runs.alias("_runs"))
     return per.select("page_id", F.substring(F.array_join(let(F.col("_runs"), drop_repeats), "\n"), 1, limit).alias("page_text"))
@@ -395,56 +393,74 @@ def tree_lines(tree: Column | str) -> Column:
     return F.transform(raw, fields)
 
 
-def _tree_walker(label_chars: int):
-    """Intervals, parents and inner names of trees for ``mapInPandas``: one pass with a stack of open depths."""
-
-    def walk(lines) -> list[dict]:
-        rows, open_rows = [], []
-        for i, line in enumerate(lines):
-            root = line["role"] == "RootWebArea"  # a page root is not a node of the tree
-            while open_rows and (root or rows[open_rows[-1]]["depth"] >= line["depth"]):
-                rows[open_rows.pop()]["last"] = i - 1
-            rows.append({**line, "pre": i, "last": i, "parent": open_rows[-1] if open_rows else None})
-            if not root:
-                open_rows.append(i)
-        for at in open_rows:
-            rows[at]["last"] = len(rows) - 1
-        for r in rows:
-            names, size = [], 0
-            if not r["name"]:
-                for inner in rows[r["pre"] + 1 : r["last"] + 1]:
-                    if size >= label_chars:
-                        break
-                    if inner["name"]:
-                        names.append(inner["name"])
-                        size += len(inner["name"]) + 1
-            r["below"] = " ".join(names)
-        return rows
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["tree_id", "pre", "last", "parent", "depth", "id", "role", "name", "props", "below"]
-        for batch in batches:
-            for tree_id, lines in zip(batch["tree_id"], batch["lines"], strict=True):
-                out = pd.DataFrame([{**r, "tree_id": tree_id} for r in walk(list(lines))], columns=names)
-                out["parent"] = out["parent"].astype("Int32")
-                yield out
+FOLD = 256  # results that a fold collects before it files them: appending to one array would cost the square of its length
+LABEL_NAMES = 200  # names below a node that its label can come from: more than a label has characters
 
-    return run
 
+def _folded(items: Column, state: Column, result_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The results of a left fold over an array, one per item; ``step`` gives the next state and a result."""
+    none = F.array().cast(f"array<{result_type}>")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / FOLD)).cast("int")), lambda c: F.slice(items, c * FOLD + 1, F.lit(FOLD)))
 
-TREE_SCHEMA = (
-    "tree_id long, pre int, last int, parent int, depth int, id string, role string, name string, props string, below string"
-)
+    def one(acc: Column, x: Column) -> Column:
+        after, result = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(result.cast(result_type))).alias("out"))
+
+    def piece(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["filed"], F.array(r["out"])).alias("filed")))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{result_type}>>").alias("filed"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(pieces, start, piece)["filed"])).otherwise(none)
+
+
+def tree_places(lines: Column) -> Column:
+    """array<struct<parent,last,named>> of node lines: the nearest line above that is less deep, the end of the interval, names up to here.
+
+    The open lines stand on a stack in the state of the fold, as deep as the tree at most; the
+    ends come from the same fold from the last line on. A page root closes all and is no node.
+    """
+    stack = F.array().cast("array<struct<depth:int,i:int>>")
+    items = F.transform(lines, lambda x, i: F.struct(x["depth"].alias("depth"), i.alias("i"), (x["role"] == "RootWebArea").alias("root"), (x["name"] != "").cast("int").alias("named")))
+
+    def down(state: Column, x: Column) -> tuple[Column, Column]:
+        held = F.when(x["root"], stack).otherwise(F.filter(state["open"], lambda e: e["depth"] < x["depth"]))
+        now = F.when(x["root"], stack).otherwise(F.concat(held, F.array(F.struct(x["depth"].alias("depth"), x["i"].alias("i")))))
+        names = state["names"] + x["named"]
+        parent = F.try_element_at(held, F.lit(-1))["i"]
+        return F.struct(now.alias("open"), names.alias("names")), F.struct(parent.alias("parent"), names.alias("named"))
+
+    def up(state: Column, x: Column) -> tuple[Column, Column]:
+        depth = F.when(x["root"], F.lit(-1)).otherwise(x["depth"])
+        behind = F.try_element_at(F.filter(state, lambda e: e["depth"] <= depth), F.lit(-1))["i"]
+        now = F.concat(F.filter(state, lambda e: e["depth"] < depth), F.array(F.struct(depth.alias("depth"), x["i"].alias("i"))))
+        return now, F.when(x["root"], x["i"]).otherwise(behind - 1)
+
+    def both(it: Column) -> Column:
+        above = _folded(it, F.struct(stack.alias("open"), F.lit(0).alias("names")), "struct<parent:int,named:int>", down)
+        ends = F.reverse(_folded(F.reverse(it), stack, "int", up))
+        return F.zip_with(above, ends, lambda a, e: F.struct(a["parent"].alias("parent"), F.coalesce(e, F.size(it) - 1).alias("last"), a["named"].alias("named")))
+
+    return let(items, both)
 
 
 def ax_tree_nodes(trees: DataFrame) -> DataFrame:
     """Nodes of accessibility trees (tree_id, tree) with interval, parent and label.
 
-    A tree is one input row, so it is walked where it is read, without a shuffle. The label
-    is the name, else the names below, else the role.
+    A tree is one input row, so it is walked where it is read, without a shuffle, in the JVM. The
+    label is the name, else the names below, else the role.
     """
-    lines = trees.select("tree_id", tree_lines("tree").alias("lines"))
-    nodes = lines.mapInPandas(_tree_walker(200), TREE_SCHEMA)
+    read = trees.select(F.col("tree_id").cast("long"), tree_lines("tree").alias("lines"))
+    placed = read.withColumns({"places": tree_places(F.col("lines")), "names": F.filter(F.transform("lines", lambda x: x["name"]), lambda x: x != "")})
+
+    def node(x: Column, i: Column) -> Column:
+        place = F.get("places", i)
+        many = F.get("places", place["last"])["named"] - place["named"]
+        below = F.array_join(F.slice("names", place["named"] + 1, F.least(many, F.lit(LABEL_NAMES))), " ")
+        own = [x[c].alias(c) for c in ("depth", "id", "role", "name", "props")]
+        return F.struct(place["last"].alias("last"), place["parent"].alias("parent"), *own, F.when(x["name"] == "", below).otherwise("").alias("below"))
+
+    nodes = placed.select("tree_id", F.posexplode(F.transform("lines", node)).alias("pre", "node")).select("tree_id", "pre", "node.*")
     return nodes.withColumn("label", first_filled(clip("name"), clip("below"), F.col("role"))).drop("below")
 
 

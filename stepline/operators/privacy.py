@@ -192,11 +192,21 @@ def _fixer(pairs: Column, goal: Column):
 def redact_rows(rows: DataFrame, first_names: Sequence[str], state_type: str) -> DataFrame:
     """Step rows (request and meta as JSON) with sensitive values replaced in every string of both.
 
-    Adds ``dropped``. Keys stay as they are; the goal and what was typed are read from the request.
+    Adds ``dropped``: a card or social security number that the goal does not dictate stands in
+    either of them. Keys stay as they are; the goal and what was typed are read from the request.
+    Most texts show no sign of anything to replace and are left alone as a whole, and in the
+    others only the strings that show one are written anew.
     """
     goal = F.lower(_text(F.get_json_object("request", "$.questions.operation.instructions.goal")))
     staged = rows.withColumn("_goal", goal).withColumn("_state", F.from_json("request", f"struct<state:{state_type}>")["state"])
     staged = staged.withColumn("_pairs", _exact_replacements(F.col("_state"), F.col("_goal"), first_names))
-    staged = staged.withColumn("dropped", must_drop(P.json_texts(F.col("request")), F.col("_goal")))
-    fix = _fixer(F.col("_pairs"), F.col("_goal"))
-    return staged.withColumns({c: P.rewrite_json(F.col(c), fix) for c in ("request", "meta")}).drop("_goal", "_state", "_pairs")
+    held = lambda c: F.when(P.json_may_hold_numbers(F.col(c)), must_drop(P.json_texts(F.col(c)), F.col("_goal"))).otherwise(False)
+    staged = staged.withColumn("dropped", F.coalesce(held("request"), F.lit(False)) | F.coalesce(held("meta"), F.lit(False)))
+    fix, typed = _fixer(F.col("_pairs"), F.col("_goal")), F.size("_pairs") > 0
+
+    def cleaned(c: Column) -> Column:
+        # what was typed may stand in any string; else a string needs a sign of its own
+        some = P.rewrite_json(c, fix, P.json_may_change)
+        return F.when(typed, P.rewrite_json(c, fix)).when(P.json_may_change(c), some).otherwise(c)
+
+    return staged.withColumns({c: cleaned(F.col(c)) for c in ("request", "meta")}).drop("_goal", "_state", "_pairs")

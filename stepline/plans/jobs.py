@@ -277,9 +277,9 @@ def job_make_tasks(spark, folder):
 _CARD, _MAIL = "4111 1111 1111 1111", "someone@mail.example.org"
 _OPERATION = '"operation":{"type":"choice",'
 _CRITERIA = '"criteria":{"CLICK":"go","DONE":"end","write to ' + _MAIL + '":"x"},'
-# some rows hold a card number in an action or a mail address in the title; some questions lack criteria
+# some rows hold a card number in an action or in meta, or a mail address in the title; some questions lack criteria
 _BUILD_ROWS = f"""SELECT * REPLACE (replace(CASE step_id%50 WHEN 7 THEN replace(request,'"action":"a"','"action":"paid by {_CARD}"') WHEN 8 THEN replace(request,'"title":"','"title":"{_MAIL} ') ELSE request END,
-  '{_OPERATION}', CASE WHEN step_id%50=9 THEN '{_OPERATION}' ELSE '{_OPERATION}{_CRITERIA}' END) AS request), step_id%50=7 AND step_id%3>0 AS dropped FROM sr"""
+  '{_OPERATION}', CASE WHEN step_id%50=9 THEN '{_OPERATION}' ELSE '{_OPERATION}{_CRITERIA}' END) AS request), (step_id%50=7 AND step_id%3>0) OR step_id%50=12 AS dropped FROM sr"""
 _BUILD = f"""SELECT 'rows' AS part, config, split, operation AS item, count(*) AS n FROM pub GROUP BY ALL
   UNION ALL SELECT 'removed', config, '', CASE WHEN dropped THEN 'pii' ELSE 'unloaded_done' END, count(*) FROM gone GROUP BY ALL
   UNION ALL SELECT 'bench', config, 'test', operation, count(*) FROM pub WHERE split='test' AND config<>'traces' AND step_id%50<>9 GROUP BY ALL
@@ -300,7 +300,8 @@ def build_rows(spark, folder):
     at, request = F.col("step_id") % 50, F.col("request")
     held = F.when(at == 7, F.replace(request, F.lit('"action":"a"'), F.lit(f'"action":"paid by {_CARD}"'))).when(at == 8, F.replace(request, F.lit('"title":"'), F.lit(f'"title":"{_MAIL} '))).otherwise(request)
     criteria = F.when(at == 9, F.lit(_OPERATION)).otherwise(F.lit(_OPERATION + _CRITERIA))
-    return RQ.step_rows(spark, folder).withColumn("request", F.replace(held, F.lit(_OPERATION), criteria))
+    meta = F.when(at == 12, F.regexp_replace("meta", r"\}$", f',"note":"paid by {_CARD}"}}')).otherwise(F.col("meta"))
+    return RQ.step_rows(spark, folder).withColumns({"request": F.replace(held, F.lit(_OPERATION), criteria), "meta": meta})
 
 
 @query("job_build_dataset", O.sql("steps", _BUILD, **_BUILD_VIEWS))

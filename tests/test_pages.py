@@ -142,6 +142,40 @@ def test_accessibility_tree(spark):
     assert page["lines"] == ["UPGRADE", "Enter a sum", "See", "more"]
 
 
+def test_long_and_odd_trees_match_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(8)
+
+    def tree(n, deepest):
+        out = []
+        for k in range(n):
+            root = rng.random() < 0.03
+            name = rng.choice(["", f"name {k}", "x" * 90])
+            out.append(f"RootWebArea '{name}', url='u'" if root else "\t" * rng.randint(0, deepest) + f"[{k}] {rng.choice(['button', 'link', 'group'])} '{name}', visible")
+        return "\n".join(out)
+
+    trees = [(1, tree(700, 6)), (2, tree(40, 1)), (3, ""), (4, "\t[1] button ''"), (5, None), (6, "\n".join("\t" * k + f"[{k}] group ''" for k in range(300)))]
+    nodes = P.ax_tree_nodes(spark.createDataFrame(trees, "tree_id long, tree string"))
+    for t in (1, 2, 4, 6):
+        rows = sorted((r for r in nodes.filter(F.col("tree_id") == t).collect()), key=lambda r: r["pre"])
+        for i, r in enumerate(rows):
+            root = r["role"] == "RootWebArea"
+            before = []
+            for k in range(i - 1, -1, -1):
+                if rows[k]["role"] == "RootWebArea":
+                    break
+                before.append(k)
+            parent = None if root else next((k for k in before if rows[k]["depth"] < r["depth"]), None)
+            end = next((k for k in range(i + 1, len(rows)) if rows[k]["role"] == "RootWebArea" or rows[k]["depth"] <= r["depth"]), len(rows))
+            last = i if root else end - 1
+            assert (r["pre"], r["parent"], r["last"]) == (i, parent, last)
+            if r["name"] == "":
+                inner = " ".join(x["name"] for x in rows[i + 1 : last + 1] if x["name"])
+                assert r["label"].rstrip("…") == (inner or r["role"])[: len(r["label"].rstrip("…"))] and len(r["label"]) >= min(len(inner), 90)
+    assert nodes.filter("tree_id in (3, 5)").count() == 0
+
+
 def test_the_text_of_an_element_is_whole(spark):
     runs = [f"word{i} " * 3 for i in range(300)]
     html = "<body>" + "".join(f"<p>{r}</p>" for r in runs) + "<div>" + "x" * 5000 + "</div></body>"
