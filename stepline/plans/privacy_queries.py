@@ -51,7 +51,48 @@ def pii_email(spark, folder):
     return _email_rows(spark, folder).select("doc_id", "i", "email")
 
 
-@query("pii_find")
+# The detectors again for an engine without look-around: a pattern is held against the text from
+# every place on where a match may begin, the character before is looked at by itself, and the one
+# behind is part of the pattern. Of matches that overlap the first counts.
+_WORD = r"\pL\pM\pN_"
+_PHONE_1 = r"^((?:\+?1[\s.-])?(?:\([0-9]{3}\)\s?[0-9]{3}[-.][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}))(?:[^0-9.]|$)"
+_PHONE_2 = r"^(\+[0-9]{1,3}(?:[\s.-]?[0-9]{2,4}){3,5})(?:[^0-9.]|$)"
+_CARD_2 = r"^([0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}|[0-9]{13,19})(?:[^0-9.,]|$)"
+_SSN_2 = r"^([0-9]{3}-[0-9]{2}-[0-9]{4})(?:[^0-9-]|$)"
+_MAIL_2 = rf"^([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})(?:[^{_WORD}-]|$)"
+_LUHN = """list_sum(list_transform(range(1, length(d)+1), lambda k: CASE WHEN k%2=1 THEN substr(reverse(d),k,1)::INT
+  WHEN substr(reverse(d),k,1)::INT>4 THEN 2*substr(reverse(d),k,1)::INT-9 ELSE 2*substr(reverse(d),k,1)::INT END))%10=0"""
+SECRET_RE2 = P.SECRET.removeprefix("(?U)")
+
+
+def found_sql(source: str) -> str:
+    """(id, category, start, m) of all findings in the texts of a relation (id, text); start counts from 0."""
+
+    def first(rows: str) -> str:
+        return f"""SELECT id, text, i, m FROM (SELECT *, coalesce(max(i+length(m)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS busy FROM ({rows}) WHERE m<>'') WHERE busy<=i"""
+
+    def at(starts: str, texts: str, width: int) -> str:
+        return f"""SELECT id, text, i, CASE WHEN i=1 THEN '' ELSE substring(text,i-1,1) END AS b, substring(text,i,{width}) AS w FROM (
+          SELECT id, text, unnest(range(1,length(text)+1)) AS i FROM {source} WHERE regexp_matches(text,'{texts}')) WHERE regexp_matches(substring(text,i,1),'{starts}')"""
+
+    phone = f"""SELECT id, text, i, CASE WHEN NOT regexp_matches(b,'[{_WORD}+.]') AND regexp_matches(w,'{_PHONE_1}') THEN regexp_extract(w,'{_PHONE_1}',1)
+      WHEN NOT regexp_matches(b,'[{_WORD}+]') THEN regexp_extract(w,'{_PHONE_2}',1) ELSE '' END AS m FROM ({at('[0-9+(]', '[0-9]{2}', 64)})"""
+    card = f"SELECT id, text, i, regexp_extract(w,'{_CARD_2}',1) AS m FROM ({at('[0-9]', '[0-9]{4}', 64)}) WHERE NOT regexp_matches(b,'[0-9.,-]')"
+    ssn = f"SELECT id, text, i, regexp_extract(w,'{_SSN_2}',1) AS m FROM ({at('[0-9]', '[0-9]-[0-9]', 64)}) WHERE NOT regexp_matches(b,'[0-9.-]')"
+    mail = f"SELECT id, text, i, regexp_extract(w,'{_MAIL_2}',1) AS m FROM ({at('[A-Za-z0-9._%+-]', '@', 300)}) WHERE NOT regexp_matches(b,'[{_WORD}.+-]')"
+    before = lambda n: f"substring(text, greatest(1,i-{n}), least({n},i-1))"
+    is_card = f"""length(d) BETWEEN 13 AND 19 AND {_LUHN} AND d<>repeat(left(d,1),length(d)) AND NOT regexp_matches(m,'{P.YEARS_ONLY}')
+      AND (regexp_matches(m,'[ -]') OR regexp_matches({before(40)},'{P.CARD_CONTEXT}'))"""
+    return f"""SELECT id, 'phone' AS category, i-1 AS start, m FROM ({first(phone)}) UNION ALL SELECT id, 'email', i-1, m FROM ({first(mail)})
+      UNION ALL SELECT id, 'ssn', i-1, m FROM ({first(ssn)}) WHERE NOT regexp_matches({before(30)},'{P.NOT_SSN}')
+      UNION ALL SELECT id, 'card', i-1, m FROM (SELECT *, regexp_replace(m,'[^0-9]','','g') AS d FROM ({first(card)})) WHERE {is_card}
+      UNION ALL SELECT id, 'secret', strpos(text,m)-1, m FROM (SELECT id, text, unnest(regexp_extract_all(text,'{SECRET_RE2}')) AS m FROM {source})"""
+
+
+_DOC_TEXTS = "SELECT doc_id AS id, text FROM documents"
+
+
+@query("pii_find", O.sql("", f"SELECT id AS doc_id, category, start::INT AS start, (start+length(m))::INT AS \"end\", {_mask('m')} AS masked FROM f", dt=_DOC_TEXTS, f=found_sql("dt")))
 def pii_find(spark, folder):
     d = _docs(spark, folder).select("doc_id", F.explode_outer(P.find(F.col("text"))).alias("f")).filter("f is not null")
     return d.select("doc_id", "f.category", "f.start", "f.end", P.mask("f.text").alias("masked"))
@@ -70,19 +111,16 @@ def match_context(spark, folder):
     return d.select("doc_id", P.context(F.col("t"), F.col("s.start"), F.col("s.end")).alias("context"))
 
 
-# the page of a step is its document with every digit replaced, so that phone and card numbers
-# and the like are exactly those put in front by rule, which the oracle can name
+# the page of a step is its document, with some numbers put in front by rule
 PHONE_LINE, SSN_LINE, CARD_NUMBER = "Call 212-555-0187 today. ", "My number is 078-05-1121 and so on. ", "4111 1111 1111 1111"
-_PAGE_SQL = f"CASE WHEN doc_id%13=0 THEN '{PHONE_LINE}' ELSE '' END||CASE WHEN doc_id%23=0 THEN '{SSN_LINE}' ELSE '' END||translate(text,'0123456789','DDDDDDDDDD')"
+_PAGE_SQL = f"CASE WHEN doc_id%13=0 THEN '{PHONE_LINE}' ELSE '' END||CASE WHEN doc_id%23=0 THEN '{SSN_LINE}' ELSE '' END||text"
 
 
-def browser_steps(spark, folder, raw=False):
-    """One step per document: its text as the page, form values typed from it; raw keeps the text's digits."""
+def browser_steps(spark, folder):
+    """One step per document: its text as the page, form values typed from it."""
     d = _docs(spark, folder)
     i = F.col("doc_id")
-    page = F.concat(
-        F.when(i % 13 == 0, PHONE_LINE).otherwise(""), F.when(i % 23 == 0, SSN_LINE).otherwise(""), F.col("text") if raw else F.translate("text", "0123456789", "DDDDDDDDDD")
-    )
+    page = F.concat(F.when(i % 13 == 0, PHONE_LINE).otherwise(""), F.when(i % 23 == 0, SSN_LINE).otherwise(""), F.col("text"))
     mail = F.concat(F.lit("user"), i, F.lit("@mail.example.com"))
     element = lambda label, value, op: F.struct(
         F.lit("textbox").alias("role"), F.lit(label).alias("label"), value.cast("string").alias("value"), F.lit("1").alias("index"), F.array(F.lit(op)).alias("operations"),
@@ -135,12 +173,8 @@ def scan_fields(spark, folder):
     return s.select("id", f).select("id", "f.*")
 
 
-_SECRET_RE2 = P.SECRET.removeprefix("(?U)")
-# what the derived steps hold by rule, plus the page's own e-mail addresses and secrets
-_FOUND = f"""SELECT id, 'page_text' AS field, 'email' AS category FROM (SELECT id, unnest({_emails('text')}) FROM st)
-  UNION ALL SELECT id, 'page_text', 'secret' FROM (SELECT id, unnest(regexp_extract_all(text,'{_SECRET_RE2}')) FROM st)
-  UNION ALL SELECT id, 'page_text', 'phone' FROM st WHERE id%13=0
-  UNION ALL SELECT id, 'page_text', 'ssn' FROM st WHERE id%23=0
+# what the pages hold, and what the derived steps hold by rule
+_FOUND = f"""SELECT id, 'page_text' AS field, category FROM ({found_sql('st')})
   UNION ALL SELECT id, 'typed', 'card' FROM st WHERE id%19=0
   UNION ALL SELECT id, 'url', 'secret' FROM st WHERE id%6=0
   UNION ALL SELECT id, 'typed', 'name' FROM st WHERE id%7=0
@@ -149,8 +183,8 @@ _FOUND = f"""SELECT id, 'page_text' AS field, 'email' AS category FROM (SELECT i
   UNION ALL SELECT id, 'goal', 'email' FROM st WHERE id%9=0"""
 
 
-def _found(spark, folder, raw=False):
-    return R.scan(browser_steps(spark, folder, raw), NAMES)
+def _found(spark, folder):
+    return R.scan(browser_steps(spark, folder), NAMES)
 
 
 @query("scan_row", O.sql("", "SELECT id, field, category, count(*) AS n FROM fo GROUP BY ALL", st=STEPS_SQL, fo=_FOUND))
@@ -161,8 +195,8 @@ def scan_row(spark, folder):
 @query("job_pii_scan")
 def job_pii_scan(spark, folder):
     """The whole report in long form: matches, flagged rows, rows scanned, examples with the proposed rule."""
-    s = browser_steps(spark, folder, raw=True)
-    found = _found(spark, folder, raw=True)
+    s = browser_steps(spark, folder)
+    found = _found(spark, folder)
     counts = R.report(found).select("part", "config", "item", "n", F.lit(None).cast("string").alias("note"))
     scanned = s.groupBy("config").agg(F.count("*").alias("n")).select(F.lit("rows_scanned").alias("part"), "config", F.lit("").alias("item"), "n", F.lit(None).cast("string").alias("note"))
     ex = R.examples(found).select(F.lit("example").alias("part"), "config", F.concat_ws(":", "field", "category").alias("item"), F.col("_rn").cast("long").alias("n"), F.col("context").alias("note"))
@@ -220,14 +254,17 @@ def redact_email(spark, folder):
 
 
 _URL_SECRET_RE2 = P.URL_SECRET.replace("'", "''")
-_SAFE = rf"regexp_replace(regexp_replace(text,'{_SECRET_RE2}','<redacted>','g'),'{_URL_SECRET_RE2}','\1<redacted>','g')"
-_REDACTED = rf"""SELECT id, config, split, goal, (id%23=0 OR id%19=0) AS dropped, CASE WHEN id%6=0 THEN 'http://h.example.com/?d='||id||'&token=<redacted>' ELSE url END AS url,
+_SAFE = rf"regexp_replace(regexp_replace(text,'{SECRET_RE2}','<redacted>','g'),'{_URL_SECRET_RE2}','\1<redacted>','g')"
+_REDACTED = rf"""SELECT id, config, split, goal, (id%19=0 OR id IN (SELECT id FROM numbers)) AS dropped, CASE WHEN id%6=0 THEN 'http://h.example.com/?d='||id||'&token=<redacted>' ELSE url END AS url,
   replace(regexp_replace({_MARKED.format(t=_SAFE)},'{_EMAIL_RE2}','\1<email>\3','g'),chr(3),'') AS text,
   concat_ws('|', CASE WHEN id%3=0 THEN CASE WHEN id%9=0 THEN mail ELSE 'user@example.com' END END, CASE WHEN id%5=0 THEN '<redacted>' END, CASE WHEN id%4=0 THEN lang END,
     CASE WHEN id%19=0 THEN '{CARD_NUMBER}' END, CASE WHEN id%7=0 THEN 'Alex Doe' END) AS typed FROM st"""
 
 
-@query("redact_row", O.sql("", _REDACTED, st=STEPS_SQL))
+_NUMBERS = f"SELECT id FROM ({found_sql('st')}) WHERE category IN ('card','ssn')"
+
+
+@query("redact_row", O.sql("", _REDACTED, st=STEPS_SQL, numbers=_NUMBERS))
 def redact_row(spark, folder):
     r = R.redact(browser_steps(spark, folder), NAMES)
     values, said = F.transform("state.elements", lambda e: e["value"]), F.transform("state.recent_actions", lambda a: a["text"])
