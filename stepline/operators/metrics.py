@@ -124,13 +124,12 @@ def score_answers(steps: DataFrame) -> DataFrame:
     return steps.withColumn("scored", read_answers("answers"))
 
 
-def bench_report(steps: DataFrame, latency: str = "latency_s") -> DataFrame:
-    """The full metric block, overall and by subset.
+def bench_scores(s: DataFrame) -> DataFrame:
+    """The metric block of scored steps without latencies, overall and by subset.
 
     One pass: every question row falls into (subset, operation?, calibration bin); all
     metrics are sums over those few hundred cells, rolled up per subset and overall.
     """
-    s = score_answers(steps)
     every = lambda field: F.forall("scored", lambda q: q[field])
     rows = s.select(
         "subset",
@@ -175,7 +174,7 @@ def bench_report(steps: DataFrame, latency: str = "latency_s") -> DataFrame:
         "gap_all", F.abs(h_b - c_b) * F.col("n") / n_b
     )
     total = lambda c, cond=None: F.sum(F.when(cond, F.col(c)) if cond is not None else F.col(c))
-    out = cell.groupBy("subset").agg(
+    return cell.groupBy("subset").agg(
         total("n", op).alias("n_items"),
         total("n_ok").alias("n_ok"),
         total("n_valid").alias("n_valid"),
@@ -194,6 +193,12 @@ def bench_report(steps: DataFrame, latency: str = "latency_s") -> DataFrame:
         (total("n_onehot") == 0).alias("has_distribution"),
         r6(ratio(total("tokens"), total("n_tokens"))).alias("mean_input_tokens"),
     )
+
+
+def bench_report(steps: DataFrame, latency: str = "latency_s") -> DataFrame:
+    """The full metric block, overall and by subset: scores, and the percentiles of the latencies."""
+    s = score_answers(steps)
+    out = bench_scores(s)
     timed = s.filter(F.col("error").isNull()).select(
         F.explode(F.array(F.lit(ALL), F.col("subset"))).alias("subset"), F.col(latency).alias("latency")
     )
@@ -253,17 +258,17 @@ def fit_temperature(rows: DataFrame, z: str, gold: str, points: int = 9, rounds:
     """The temperature of least negative log-likelihood.
 
     The loss has a single minimum, so each pass evaluates a grid and keeps the cells around
-    the best point; ten passes narrow the bracket below the printed precision.
+    the best point; ten passes narrow the bracket below the printed precision. The passes read
+    ``rows`` again, so the caller hands over a table.
     """
     lo, hi = T_LOW, T_HIGH
-    kept = rows.select(prob.shifted(z).alias(z), gold).persist()
+    kept = rows.select(prob.shifted(z).alias(z), gold)
     for _ in range(rounds):
         step = (hi - lo) / (points - 1)
         grid = [lo + i * step for i in range(points)]
         means = _mean_nll(kept, z, gold, grid).first()  # one row of means
         best = grid[min(range(points), key=lambda i: means[i])]
         lo, hi = max(lo, best - step), min(hi, best + step)
-    kept.unpersist()
     return round((lo + hi) / 2, T_DIGITS)
 
 

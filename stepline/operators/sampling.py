@@ -7,7 +7,7 @@ sort in one task; a sample of any size therefore stays distributed.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -34,6 +34,17 @@ def cut_fraction(df: DataFrame, hexes: Column, tie: str, fraction: float) -> Dat
     return placed.withColumn("split", F.when(F.col("_at") <= n_train, "train").otherwise("dev")).drop("_at")
 
 
+def repeat_until(df: DataFrame, times: Column, skips: Callable[[Column], Column], out: str = "copy", skipped: str = "skipped") -> DataFrame:
+    """Each row ``times`` times, numbered from 1, up to the first copy that ``skips`` names; that copy is marked, later ones are not made.
+
+    A null answer of ``skips`` is no skip; a row of no times gives none.
+    """
+    numbers = F.sequence(F.lit(1), times)
+    first = F.array_min(F.filter(numbers, lambda v: F.coalesce(skips(v), F.lit(False))))
+    made = F.when(times >= 1, F.transform(F.filter(numbers, lambda v: v <= F.coalesce(first, times)), lambda v: F.struct(v.alias("v"), (v == F.coalesce(first, F.lit(0))).alias("s"))))
+    return df.withColumn("_made", F.explode(made)).withColumns({out: F.col("_made.v"), skipped: F.col("_made.s")}).drop("_made")
+
+
 LEVELS = 64  # heights tried at once
 
 

@@ -385,6 +385,19 @@ def shrink_state(spark, folder):
     return p.select("page_id", left.cast("long").alias("text_chars")).withColumn("fits", F.col("text_chars") <= 500)
 
 
+@query(
+    "shrink_question_options",
+    """SELECT doc_id, sum(length(x))::INT AS size, sum(length(x))<=2000 AS fits, string_agg(x, chr(10) ORDER BY i) AS options FROM (
+      SELECT doc_id, i, CASE WHEN sum(length(o)) OVER (PARTITION BY doc_id)>2000 THEN substring(o,1,300) ELSE o END AS x FROM (
+      SELECT doc_id, generate_subscripts(string_split(text,chr(10)),1) AS i, unnest(string_split(text,chr(10))) AS o FROM documents)) GROUP BY doc_id""",
+)
+def shrink_question_options(spark, folder):
+    """The lines of a document as the options of a question of at most 2,000 characters."""
+    d = table(spark, folder, "documents").where("text is not null")
+    cut = d.select("doc_id", prompts.cut_options(F.split("text", "\n"), 2000).alias("q"))
+    return cut.select("doc_id", "q.size", "q.fits", F.array_join("q.options", "\n").alias("options"))
+
+
 @query("shrink_steps")
 def shrink_steps(spark, folder):
     """All stages over the derived browser steps, with a budget in characters."""

@@ -11,6 +11,7 @@ from stepline.operators.ordering import order_statistics
 from stepline.plans import oracle as O
 from stepline.plans import views as V
 from stepline.plans.registry import query
+from stepline.session import materialize
 from stepline.sources.tables import table
 
 
@@ -207,7 +208,7 @@ _FAMILY = ["subset", "n_items", "step_success", "operation_accuracy", "target_ac
 
 @query("overall_and_by_family", O.sql("bq", f"SELECT {', '.join(_FAMILY)} FROM blk LEFT JOIN e1 USING (subset)", **_REPORT))
 def overall_and_by_family(spark, folder):
-    return M.bench_report(_bench(spark, folder)).select(*_FAMILY)
+    return M.bench_scores(M.score_answers(_bench(spark, folder))).select(*_FAMILY)
 
 
 _COVERAGE = ["subset", "n_items", "n_ok", "n_valid", "coverage", "success_rate", "has_distribution", "mean_input_tokens"]
@@ -215,7 +216,7 @@ _COVERAGE = ["subset", "n_items", "n_ok", "n_valid", "coverage", "success_rate",
 
 @query("coverage", O.sql("bq", f"SELECT {', '.join(_COVERAGE)} FROM blk", **_REPORT))
 def coverage(spark, folder):
-    return M.bench_report(_bench(spark, folder)).select(*_COVERAGE)
+    return M.bench_scores(M.score_answers(_bench(spark, folder))).select(*_COVERAGE)
 
 
 @query(
@@ -277,7 +278,7 @@ def temperature_nll(spark, folder):
 
 @query("fit_temperature")
 def fit_temperature(spark, folder):
-    z = _logits(spark, folder).persist()
+    z = materialize(_logits(spark, folder), "logits")
     t = M.fit_temperature(z, "z", "gold_idx")
     parts = []
     for name, temp in (("before", 1.0), ("after", t)):

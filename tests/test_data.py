@@ -70,6 +70,12 @@ def test_round_robin_with_a_hot_group_is_exact(spark):
         assert {r["id"] for r in S.stratified(df, "g", keyed(0, "id"), "id", n).collect()} == want, n
 
 
+def test_variants_stop_at_the_first_that_cannot_be_made(spark):
+    df = spark.createDataFrame([(1, 3, 2), (2, 3, 9), (3, 1, 1), (4, 0, 1), (5, 2, None)], "id int, times int, bad int")
+    rows = S.repeat_until(df, F.col("times"), lambda v: v == F.col("bad"), "v").select("id", "v", "skipped").collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, False), (1, 2, True), (2, 1, False), (2, 2, False), (2, 3, False), (3, 1, True), (5, 1, False), (5, 2, False)]
+
+
 def test_recast_rows(spark):
     rows = [
         ("choice", ["b", "a", "c"], [0.2, 0.7, 0.1], "s", "q?"),
