@@ -86,6 +86,14 @@ def scan(steps: DataFrame, first_names: Sequence[str]) -> DataFrame:
     return rows.filter("f is not null").select("config", "split", "id", "f.*")
 
 
+BENCH = "bench"  # the config that copies test rows of the others
+
+
+def without_copies(steps: DataFrame) -> DataFrame:
+    """Steps of all configs but the bench, whose rows stand in another one; a row without config stays."""
+    return steps.where(~F.col("config").eqNullSafe(F.lit(BENCH)))
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts in long form: matches per config and field:category, flagged rows per config and category."""
     per_row = found.groupBy("config", "field", "category", "split", "id").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from stepline.operators import privacy as R
 from stepline.operators.ordering import first_per_group
 from stepline.plans import oracle as O
 from stepline.plans.registry import query
+from stepline.session import materialize
 from stepline.sources.tables import table
 
 # the caller brings the list of first names that count as a person's name
@@ -192,18 +193,6 @@ def scan_row(spark, folder):
     return _found(spark, folder).groupBy("id", "field", "category").agg(F.count("*").alias("n"))
 
 
-@query("job_pii_scan")
-def job_pii_scan(spark, folder):
-    """The whole report in long form: matches, flagged rows, rows scanned, examples with the proposed rule."""
-    s = browser_steps(spark, folder)
-    found = _found(spark, folder)
-    counts = R.report(found).select("part", "config", "item", "n", F.lit(None).cast("string").alias("note"))
-    scanned = s.groupBy("config").agg(F.count("*").alias("n")).select(F.lit("rows_scanned").alias("part"), "config", F.lit("").alias("item"), "n", F.lit(None).cast("string").alias("note"))
-    ex = R.examples(found).select(F.lit("example").alias("part"), "config", F.concat_ws(":", "field", "category").alias("item"), F.col("_rn").cast("long").alias("n"), F.col("context").alias("note"))
-    rules = found.select("category").distinct().select(F.lit("rule").alias("part"), F.lit("").alias("config"), F.col("category").alias("item"), F.lit(None).cast("long").alias("n"), R.policy_of(F.col("category")).alias("note"))
-    return counts.unionByName(scanned).unionByName(ex).unionByName(rules)
-
-
 @query(
     "pii_report",
     O.sql(
@@ -243,6 +232,44 @@ def redaction_policy(spark, folder):
     return _found(spark, folder).groupBy("category").agg(F.count("*").alias("n")).withColumn("rule", R.policy_of(F.col("category")))
 
 
+def _context(text, start, m):
+    """A masked match between its neighbours, as SQL; start counts from 0."""
+    return f"trim(regexp_replace(substring({text},greatest(1,{start}-29),least(30,{start}))||'['||{_mask(m)}||']'||substring({text},{start}+length({m})+1,30),'{O.SPACES}',' ','g'),' ')"
+
+
+_TOKEN = "'abcdefghijkl'||id"
+_EXAMPLES = f"""SELECT id, 'page_text' AS field, category, {_context('text', 'start', 'm')} AS context FROM (SELECT f.id, f.category, f.start, f.m, st.text FROM ({found_sql('st')}) f JOIN st ON st.id=f.id)
+  UNION ALL SELECT id, 'typed', 'card', {_context(f"'{CARD_NUMBER}'", '0', f"'{CARD_NUMBER}'")} FROM st WHERE id%19=0
+  UNION ALL SELECT id, 'url', 'secret', {_context('url', f"(strpos(url,{_TOKEN})-1)", f"({_TOKEN})")} FROM st WHERE id%6=0
+  UNION ALL SELECT id, 'typed', 'name', 'Your name: ['||{_mask("'Mary Poppins'")}||']' FROM st WHERE id%7=0
+  UNION ALL SELECT id, 'typed', CASE WHEN id%9=0 THEN 'email_from_goal' ELSE 'email' END, {_context('mail', '0', 'mail')} FROM st WHERE id%3=0
+  UNION ALL SELECT id, 'typed', 'password_value', 'Password: ['||{_mask("('hunter'||id)")}||']' FROM st WHERE id%5=0
+  UNION ALL SELECT id, 'goal', 'email', {_context('goal', '9', '(upper(mail))')} FROM st WHERE id%9=0"""
+_SCAN = f"""SELECT 'matches' AS part, config, field||':'||category AS item, count(*) AS n, NULL::VARCHAR AS note FROM fd JOIN st USING (id) GROUP BY ALL
+  UNION ALL SELECT 'rows_flagged', config, category, count(DISTINCT id), NULL FROM fd JOIN st USING (id) GROUP BY ALL
+  UNION ALL SELECT 'rows_scanned', config, '', count(*), NULL FROM st GROUP BY ALL
+  UNION ALL SELECT 'example', config, field||':'||category, rn, context FROM (SELECT config, field, category, context,
+    row_number() OVER (PARTITION BY field, category ORDER BY config, split, id, context) AS rn FROM fd JOIN st USING (id)) WHERE rn<=5
+  UNION ALL SELECT 'rule', '', category, NULL, CASE CASE WHEN category LIKE '%!_from!_goal' ESCAPE '!' THEN '*_from_goal' ELSE category END {_RULES} END FROM (SELECT DISTINCT category FROM fd)"""
+
+
+@query("job_pii_scan", O.sql("", _SCAN, st=STEPS_SQL, fd=_EXAMPLES))
+def job_pii_scan(spark, folder):
+    """The whole report in long form: matches, flagged rows, rows scanned, examples with the proposed rule.
+
+    The published folder also holds the bench, a copy of test rows, which is not scanned again.
+    """
+    steps = browser_steps(spark, folder)
+    copy = steps.where(F.col("id") % 10 == 0).withColumn("config", F.lit(R.BENCH))
+    s = R.without_copies(steps.unionByName(copy))
+    found = materialize(R.scan(s, NAMES), "findings")
+    counts = R.report(found).select("part", "config", "item", "n", F.lit(None).cast("string").alias("note"))
+    scanned = s.groupBy("config").agg(F.count("*").alias("n")).select(F.lit("rows_scanned").alias("part"), "config", F.lit("").alias("item"), "n", F.lit(None).cast("string").alias("note"))
+    ex = R.examples(found).select(F.lit("example").alias("part"), "config", F.concat_ws(":", "field", "category").alias("item"), F.col("_rn").cast("long").alias("n"), F.col("context").alias("note"))
+    rules = found.select("category").distinct().select(F.lit("rule").alias("part"), F.lit("").alias("config"), F.col("category").alias("item"), F.lit(None).cast("long").alias("n"), R.policy_of(F.col("category")).alias("note"))
+    return counts.unionByName(scanned).unionByName(ex).unionByName(rules)
+
+
 _LEAKY = "text||' '||source||'@x.org?token=0123456789abcdef'"
 _CLEAN = rf"replace(regexp_replace({_MARKED.format(t=_LEAKY)},'{_EMAIL_RE2}','\1<email>\3','g'),chr(3),'')"
 
