@@ -398,6 +398,26 @@ def page_nodes_flat(spark, folder):
     return n.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in ("a", "p", "li", "h1")])
 
 
+@query("page_nodes_known", O.sql("nodes", "SELECT page_id, pre, last, parent, tag, label, 'c'||(pre%3)||' k'||(pre%4) AS class FROM nodes"))
+def page_nodes_known(spark, folder):
+    """What the parser makes of pages whose tree SQL can state."""
+    return V.flat_nodes(spark, folder).select("page_id", "pre", "last", "parent", "tag", "label", F.try_element_at("attrs", F.lit("class")).alias("class"))
+
+
+@query(
+    "field_value_known",
+    O.sql(
+        "nodes",
+        f"""SELECT page_id, pre, CASE WHEN tag='a' THEN 'link' ELSE tag END AS role, coalesce(nullif({O.clip('said')},''),'f'||pre) AS label, false AS hidden FROM (
+        SELECT n.page_id, n.pre, n.tag, string_agg(i.raw,' ' ORDER BY i.pre) AS said FROM nodes n JOIN nodes i ON i.page_id=n.page_id AND i.pre BETWEEN n.pre AND n.last GROUP BY n.page_id, n.pre, n.tag)""",
+    ),
+)
+def field_value_known(spark, folder):
+    """Roles and labels of the elements of those pages: an element reads as all the text inside it."""
+    nodes = P.page_nodes(V.built_pages(spark, folder).select("page_id", "html"), text_chars=1000)
+    return P.describe(nodes).select("page_id", F.col("pre").cast("long").alias("pre"), "role", "label", "hidden")
+
+
 @query("page_nodes")
 def page_nodes(spark, folder):
     n = _nodes(spark, folder)
