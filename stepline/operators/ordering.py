@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stepline.functions.hashing import unit
 from stepline.session import materialize
 
-ACCURACY = 100_000
+ACCURACY = 100_000  # of the quantile sketch: its error is a row in so many
 
 
 def range_count(df: DataFrame) -> int:
@@ -128,8 +128,9 @@ def order_statistics(
       linear  interpolation at position q * (n - 1)
       lower   the value at int(q * (n - 1))
       upper   the value at int(n * q)
-    A quantile sketch brackets each position; only the rows inside the narrow bracket are
-    ordered, everything below it is merely counted.
+    A quantile sketch brackets each position; only the rows inside the bracket are ordered. What
+    lies outside is merely counted, with its value next to the bracket: in a small group, where
+    the sketch is exact, a position can miss the bracket by one row.
     """
     names, slack = list(picks), 2.0 / ACCURACY
     points = [p for q, _ in picks.values() for p in (max(0.0, q - slack), min(1.0, q + slack))]
@@ -137,33 +138,31 @@ def order_statistics(
     if not by:
         data = data.withColumn("_all", F.lit(0))
     keys = list(by) or ["_all"]
-    marks = data.groupBy(*keys).agg(
+    brackets = data.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(p) for p in points]), ACCURACY).alias("_b")
     )
-    # a small group has fewer rows than the sketch resolves: keep all of it
-    low = [F.when(F.col("_n") <= ACCURACY, F.lit(float("-inf"))).otherwise(F.col("_b")[2 * i]) for i in range(len(names))]
-    high = [F.when(F.col("_n") <= ACCURACY, F.lit(float("inf"))).otherwise(F.col("_b")[2 * i + 1]) for i in range(len(names))]
-    brackets = marks.select(*keys, "_n", F.array(*low).alias("_lo"), F.array(*high).alias("_hi"))
-    entries = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col("_v") <= F.col("_hi")[i],
-                    F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= F.col("_lo")[i], F.col("_v")).alias("v")),
-                )
-                for i in range(len(names))
-            ]
-        )
-    )
+    v = F.col("_v")
+
+    def entry(i: int) -> Column:
+        side = F.when(v < F.col("_b")[2 * i], -1).when(v > F.col("_b")[2 * i + 1], 1).otherwise(0)
+        return F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, v).alias("v"))
+
     tallies = (
         data.join(brackets, keys)
-        .select(*keys, "_n", F.explode(entries).alias("e"))
-        .groupBy(*keys, "_n", F.col("e.i").alias("_i"), F.col("e.v").alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        .select(*keys, "_n", "_v", F.explode(F.array(*[entry(i) for i in range(len(names))])).alias("e"))
+        .groupBy(*keys, "_n", F.col("e.i").alias("_i"), F.col("e.side").alias("_side"), F.col("e.v").alias("_at"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     )
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
+    w = Window.partitionBy(*keys, "_i").orderBy("_side", "_at")
     ranked = tallies.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
     aggs = [F.max("_n").alias("n")]
+
+    def found(here: Column, position: Column) -> Column:
+        inside = (F.col("_from") <= position) & (position < F.col("_to"))
+        side = F.col("_side")
+        at = F.when(side == 0, F.col("_at")).when((side < 0) & (position == F.col("_to") - 1), F.col("_most")).when((side > 0) & (position == F.col("_from")), F.col("_least"))
+        return F.max(F.when(here & inside, at))
+
     for i, name in enumerate(names):
         q, rule = picks[name]
         n = F.col("_n")
@@ -171,8 +170,7 @@ def order_statistics(
         below = F.floor(at)
         above = F.ceil(at) if rule == "linear" else below
         here = F.col("_i") == i
-        v_lo = F.max(F.when(here & (F.col("_from") <= below) & (below < F.col("_to")), F.col("_v")))
-        v_hi = F.max(F.when(here & (F.col("_from") <= above) & (above < F.col("_to")), F.col("_v")))
+        v_lo, v_hi = found(here, below), found(here, above)
         share = F.max(F.when(here, at - below))
         if rule == "linear":
             aggs.append(F.when(share == 0, v_lo).otherwise(v_lo * (1 - share) + v_hi * share).alias(name))

@@ -90,3 +90,35 @@ def test_hashes_match_plain_python(spark):
         assert r["m"] == digest % 1000
         assert r["u"] == pytest.approx(share, abs=1e-15)
         assert r["s"] == ("test" if share < 0.1 else "dev" if share < 0.1 + 0.2 else "train")
+
+
+def test_order_statistics_of_every_size_and_beyond_the_sketch(spark, monkeypatch):
+    """Groups of one to sixty rows, with ties, and one of many more rows than the sketch resolves."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stepline.operators import ordering
+
+    rng = random.Random(6)
+    groups = {f"g{n}": [rng.choice([1.0, 2.0, 2.5, float(rng.randint(0, 50))]) for _ in range(n)] for n in [*range(1, 61), 997]}
+    groups["flat"] = [7.0] * 40
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("g5", None)], "g string, x double")
+    picks = {"a": (0.0, "linear"), "b": (0.5, "linear"), "c": (0.95, "linear"), "d": (1.0, "linear"), "e": (0.9, "lower"), "f": (0.3, "upper"), "h": (0.25, "linear")}
+
+    def plain(xs, q, rule):
+        xs = sorted(xs)
+        if rule == "upper":
+            return xs[int(len(xs) * q)]
+        at = q * (len(xs) - 1)
+        lo = int(at)
+        return xs[lo] if rule == "lower" or at == lo else xs[lo] * (1 - (at - lo)) + xs[lo + 1] * (at - lo)
+
+    for accuracy in (ordering.ACCURACY, 50):  # the second leaves the sketch of the larger groups inexact
+        monkeypatch.setattr(ordering, "ACCURACY", accuracy)
+        for r in ordering.order_statistics(df, ["g"], "x", picks).collect():
+            for name, (q, rule) in picks.items():
+                assert abs(r[name] - plain(groups[r["g"]], q, rule)) < 1e-9, (r["g"], name, accuracy)
+            assert r["n"] == len(groups[r["g"]])
+    wide = spark.range(30_000).select(((F.col("id") * 7919) % 30_011).cast("double").alias("x"))
+    assert ordering.order_statistics(wide, [], "x", {"p": (0.5, "lower")}).first()["p"] == sorted((i * 7919) % 30_011 for i in range(30_000))[14_999]
