@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepline.functions import actions as A
-from stepline.functions import privacy as PV
 from stepline.functions import text as T
 from stepline.functions.hashing import fraction_split, hex_mod, keyed
 from stepline.operators import convert as C

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepline.functions import text as T
 from stepline.functions.actions import first_failure
-from stepline.functions.hashing import keyed, uniform, uniform_int
-from stepline.functions.prob import let
+from stepline.functions.hashing import uniform, uniform_int
 from stepline.operators import convert as C
 from stepline.operators import pages as P
-from stepline.operators.ordering import first_per_group
 from stepline.operators.sampling import weighted_sample
 from stepline.operators.selectors import resolve_unique as resolve
 from stepline.plans import oracle as O

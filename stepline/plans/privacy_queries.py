@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepline.functions import privacy as P
-from stepline.functions import text as T
-from stepline.functions.prob import let
 from stepline.operators import privacy as R
 from stepline.operators.ordering import first_per_group
 from stepline.plans import oracle as O

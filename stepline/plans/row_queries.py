@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepline.functions import text as T
-from stepline.functions.hashing import uniform
 from stepline.operators import dataset as D
 from stepline.operators.ordering import first_per_group
 from stepline.plans import oracle as O
