@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from llm_data import docs, sentence
+from llm_data import sentence
 from pyspark.sql import functions as F
 
 from stepline.llm import divergence, maxscore, prefix_trie, rollup
