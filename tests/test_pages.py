@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,15 @@ def test_other_positives_are_no_negatives(spark):
     near = C.near_gold(nodes, steps).filter("not is_gold").select("gold", "pre").collect()
     assert {r["pre"] for r in near if r["gold"] == 2} == {0, 1, 3, 5, 7, 8, 9}
     assert {r["pre"] for r in near if r["gold"] == 3} == {0, 1, 2, 4, 5, 6, 7, 8, 9}
+
+
+def test_parser_holds_few_rows_and_characters_at_once():
+    deep = "<div>" * 40 + "word " * 10_000 + "</div>" * 40
+    flat = "<p>x</p>" * 2_500
+    pages = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, None], "html": [flat, deep, None, flat]})
+    out = list(P._page_parser(P.VOID_TAGS, None)(iter([pages])))
+    assert max(b.num_rows for b in out) <= 1_000 and max(b.nbytes for b in out) < 1_500_000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["pre"] for r in rows] == [*range(2_500), *range(40), *range(2_500)]
+    assert {r["page_id"] for r in rows[:2_500]} == {1} and {r["page_id"] for r in rows[2_540:]} == {None}
+    assert all(r["text"] == ("word " * 10_000).strip() for r in rows[2_500:2_540])
