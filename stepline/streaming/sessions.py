@@ -7,17 +7,20 @@ on how the log was cut into batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LAST = ("DONE", "BLOCKED")  # operations that end a session
 
-WAITING = "at long, step_id long, operation string, reason string"
-CLOSED = "session long, opened timestamp, ended timestamp, closed_by string, n_decisions long, decisions array<struct<step_id: long, operation: string, reason: string>>"
+# an entry is a JSON list of decisions [at, step_id, [operation, reason]], not one of them: converting values one by one costs more than all else
+WAITING = "told string"
+PIECE = 10_000  # decisions of an entry at most
+CLOSED = "session long, opened_us long, ended_us long, closed_by string, n_decisions long, step_id array<long>, operation array<string>, reason array<string>"
 
 
 def cut(rows: list[tuple], watermark: int, gap: int) -> tuple[list[tuple[str, list[tuple]]], list[tuple], int | None]:
@@ -43,6 +46,11 @@ def cut(rows: list[tuple], watermark: int, gap: int) -> tuple[list[tuple[str, li
     return over, [], None
 
 
+def read(told: Iterable[str]) -> list[tuple]:
+    """(at, step_id, operation, reason) of all entries."""
+    return [(at, step_id, operation, reason) for entry in told for at, step_id, (operation, reason) in json.loads(entry)]
+
+
 class Sessions(StatefulProcessor):
     """Collects the decisions of a session and gives each finished run once."""
 
@@ -53,40 +61,31 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         first = None
-        for f in rows:
-            if f.empty:
-                continue
-            self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in f[["at", "step_id", "operation", "reason"]].itertuples(index=False)])
-            ends = f.loc[f["operation"].isin(LAST), "at"]
-            for due in (f["at"].min() // 1000 + self.gap, *(() if ends.empty else (ends.min() // 1000,))):
+        for piece in batched(rows, PIECE):
+            entry = f"[{','.join([r.told for r in piece])}]"
+            self.waiting.appendValue((entry,))
+            at, _, operation, _ = zip(*read([entry]), strict=True)
+            ends = [t for t, op in zip(at, operation, strict=True) if op in LAST]
+            for due in (min(at) // 1000 + self.gap, *([min(ends) // 1000] if ends else ())):
                 first = due if first is None else min(first, due)
         # the list is read when something may be over, not with every batch
         if first is not None:
-            self.handle.registerTimer(int(first))
+            self.handle.registerTimer(first)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        over, wait, due = cut([tuple(r) for r in self.waiting.get()], timerValues.getCurrentWatermarkInMs(), self.gap)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        over, wait, due = cut(read(e for (e,) in self.waiting.get()), timerValues.getCurrentWatermarkInMs(), self.gap)
         if wait:
             if over:
-                self.waiting.put(wait)
-            self.handle.registerTimer(int(due))
+                self.waiting.put([(json.dumps([(at, step_id, said) for at, step_id, *said in piece]),) for piece in batched(wait, PIECE)])
+            self.handle.registerTimer(due)
         else:
             self.waiting.clear()
-        if over:
-            runs = [run for _, run in over]
-            yield pd.DataFrame(
-                {
-                    "session": [key[0]] * len(runs),
-                    "opened": pd.to_datetime([run[0][0] for run in runs], unit="us"),
-                    "ended": pd.to_datetime([run[-1][0] for run in runs], unit="us"),
-                    "closed_by": [why for why, _ in over],
-                    "n_decisions": [len(run) for run in runs],
-                    "decisions": [[{"step_id": r[1], "operation": r[2], "reason": r[3]} for r in run] for run in runs],
-                }
-            )
+        for why, run in over:
+            at, step_id, operation, reason = map(list, zip(*run, strict=True))
+            yield Row(session=key[0], opened_us=at[0], ended_us=at[-1], closed_by=why, n_decisions=len(run), step_id=step_id, operation=operation, reason=reason)
 
     def close(self) -> None:
         pass
@@ -100,5 +99,8 @@ def closed_sessions(log: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
     without a session or ts are left out. Equal times are ordered by step_id.
     """
     told = log.where("session is not null and ts is not null").withWatermark("ts", delay)
-    rows = told.select("session", "ts", F.unix_micros("ts").alias("at"), "step_id", "operation", "reason")
-    return rows.groupBy("session").transformWithStateInPandas(Sessions(gap_seconds * 1000), CLOSED, "append", "eventTime")
+    one = F.concat(F.lit("["), F.unix_micros("ts"), F.lit(","), F.coalesce(F.col("step_id").cast("string"), F.lit("null")), F.lit(","), F.to_json(F.array("operation", "reason")), F.lit("]"))
+    rows = told.select("session", "ts", one.alias("told"))
+    closed = rows.groupBy("session").transformWithState(Sessions(gap_seconds * 1000), CLOSED, "append", "eventTime")
+    times = [F.timestamp_micros(f"{c}_us").alias(c) for c in ("opened", "ended")]
+    return closed.select("session", *times, "closed_by", "n_decisions", F.arrays_zip("step_id", "operation", "reason").alias("decisions"))

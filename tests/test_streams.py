@@ -2,11 +2,12 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stepline.session import scratch_path
 from stepline.streaming import decisions as S
-from stepline.streaming.sessions import closed_sessions, cut
+from stepline.streaming.sessions import PIECE, Sessions, closed_sessions, cut, read
 from stepline.streaming.versions import POINTER, VersionedTable
 
 SCHEMA = "session long, step_id long, ts timestamp, request string, operation string"
@@ -105,3 +106,33 @@ def test_update_mode_over_batches_equals_batch(spark):
     assert sorted(map(tuple, got.collect())) == [("CLICK", 26), ("DONE", 14)]
     rate = S.drain(S.running_rate(stream, "session", F.col("operation") == "DONE"), "rates", ["session"])
     assert [tuple(r) for r in rate.collect()] == [(1, 40, 0.35)]
+
+
+def test_waiting_decisions_are_few_state_entries(spark):
+    class Handle:
+        def __init__(self):
+            self.entries, self.timers = [], []
+
+        def getListState(self, name, schema):
+            return self
+
+        def appendValue(self, entry):
+            self.entries.append(entry)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    handle, sessions = Handle(), Sessions(1000)
+    sessions.init(handle)
+    rows = (Row(session=1, told=f'[{5_000_000 + i},{i},["{"DONE" if i == 7 else "CLICK"}",null]]') for i in range(2 * PIECE + 1))
+    assert list(sessions.handleInputRows((1,), rows, None)) == []
+    assert len(handle.entries) == 3 and handle.timers == [5000]
+    assert [r[1] for r in read(e for (e,) in handle.entries)] == [*range(2 * PIECE + 1)]
+
+
+def test_sessions_keep_odd_reasons_as_they_are(spark):
+    said = ['a "b", [c]', "line\nbreak \\ é 日本", "", None, "\u2028{}"]
+    batches = [[(1, i, i, "CLICK", r) for i, r in enumerate(said)], [(2, 50, 400, "CLICK", "moves the watermark")], [(2, 51, 500, None, "later")]]
+    stream, _ = log_of(spark, "odd-reasons", batches)
+    (run,) = S.drain(closed_sessions(stream, 1800, "60 minutes"), "odd-closed", own_state=True).where("session = 1").collect()
+    assert [(d.step_id, d.operation, d.reason) for d in run.decisions] == [(i, "CLICK", r) for i, r in enumerate(said)]
