@@ -39,7 +39,7 @@ def _no_history():
 
 
 def described_pages(spark, folder):
-    """Described elements of all pages, parsed once and kept as a table, with each page's text and title."""
+    """Described elements of all pages, parsed once and kept as a table; each page's language and title; each page's text."""
     nodes = materialize(P.page_nodes(table(spark, folder, "pages"), text_chars=LABEL_CHARS), "nodes")
     d = P.describe(nodes)
     weight = F.when(F.col("tag").isin(*P.INTERACTIVE_TAGS) | F.col("role").isin(*P.INTERACTIVE_ROLES), 3.0).otherwise(1.0)
@@ -50,7 +50,7 @@ def described_pages(spark, folder):
     texts = P.page_text(P.page_texts(nodes))
     titles = nodes.filter("tag = 'title'").groupBy("page_id").agg(T.clip(F.min_by("text", "pre")).alias("title"))
     langs = nodes.filter("pre = 0").select("page_id", F.lower(F.coalesce(F.try_element_at("attrs", F.lit("lang")), F.lit(""))).alias("lang"))
-    return d, langs.join(texts, "page_id", "left").join(titles, "page_id", "left")
+    return d, langs.join(titles, "page_id", "left"), texts
 
 
 def page_steps(spark, folder, nodes, about):
@@ -70,8 +70,8 @@ def page_steps(spark, folder, nodes, about):
 @query("job_convert_pages")
 def job_convert_pages(spark, folder):
     """Human traces: pages with candidate lists → labelled steps by site split, or their skip reason."""
-    nodes, about = described_pages(spark, folder)
-    out = C.convert_steps(nodes, page_steps(spark, folder, nodes, about), k_min=4)
+    nodes, about, texts = described_pages(spark, folder)
+    out = C.convert_steps(nodes, page_steps(spark, folder, nodes, about.join(texts, "page_id", "left")), k_min=4)
     return out.select("step_id", F.col("title").alias("website"), fraction_split(keyed(0, "title"), 0.1, 0.1).alias("split"), "op", "gold_label", "k", "has_target", "skip_reason", "request", "labels")
 
 
@@ -103,7 +103,7 @@ def trace_actions(spark, folder):
 @query("job_convert_traces")
 def job_convert_traces(spark, folder):
     """Page traces: actions with snapshots and selectors → labelled steps with accumulated history."""
-    nodes, about = described_pages(spark, folder)
+    nodes, about, texts = described_pages(spark, folder)
     a = trace_actions(spark, folder)
     op = A.mapped(A.TRACE_OPERATIONS, F.col("action_type"))
     a = a.withColumn("op", F.when(F.col("included"), op)).withColumn("step_id", F.concat_ws("-", "conv_id", "turn"))
@@ -122,6 +122,7 @@ def job_convert_traces(spark, folder):
         .groupBy("step_id").agg(F.count("*").alias("_n"), F.min("_f").alias("_only")).filter("_n = 1").drop("_n")
     )
     j = j.join(gold.select("step_id", "gold"), "step_id", "left").join(only, "step_id", "left").withColumn("gold", F.coalesce("_only", "gold"))
+    j = j.join(texts, "page_id", "left")  # last, so that page texts, the largest column, are dealt once
     english = (F.col("lang") == "") | F.col("lang").startswith("en")
     body = F.coalesce("page_text", F.lit(""))
     early = A.first_failure(

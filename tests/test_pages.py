@@ -206,3 +206,20 @@ def test_parser_holds_few_rows_and_characters_at_once():
     assert [r["pre"] for r in rows] == [*range(2_500), *range(40), *range(2_500)]
     assert {r["page_id"] for r in rows[:2_500]} == {1} and {r["page_id"] for r in rows[2_540:]} == {None}
     assert all(r["text"] == ("word " * 10_000).strip() for r in rows[2_500:2_540])
+
+
+def test_described_elements_are_dealt_by_page_only(spark, nodes):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        some = spark.createDataFrame(nodes.collect(), nodes.schema)
+        plan = P.describe(some)._jdf.queryExecution().executedPlan().toString()
+        wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(page_id" in line]
+        joins = [line for line in plan.splitlines() if "Join [page_id" in line]
+        assert joins and all(", pre#" not in j and ", _id#" not in j for j in joins)
+        # texts before a node, the nodes, and for labels and selects one exchange by their key and one by page
+        assert len(wide) <= 6
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
