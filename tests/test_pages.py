@@ -223,3 +223,9 @@ def test_described_elements_are_dealt_by_page_only(spark, nodes):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_clipped_texts_come_in_small_batches_too():
+    pages = pa.RecordBatch.from_pydict({"page_id": [7], "html": ["<p>x</p>" * 3_000 + f'<img alt="{"y" * 2_000_000}"><p>z</p>']})
+    out = list(P._page_parser(P.VOID_TAGS, 1000)(iter([pages])))
+    assert [b.num_rows for b in out] == [1_000, 1_000, 1_000, 1, 1]
