@@ -233,3 +233,29 @@ def test_contexts_file_equal_windows_together():
 
 def test_difference_cover_is_one():
     assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
+
+
+def test_pairs_to_be_met_are_all_similar_ones_and_few_others(spark):
+    rng = random.Random(12)
+    sets = [{rng.getrandbits(63) for _ in range(n)} for n in (0, 1, 40)]
+    base = [rng.getrandbits(63) for _ in range(200)]
+    for _ in range(150):
+        share = rng.choice([0.7, 0.95])
+        sets.append({x if rng.random() < share else rng.choice([rng.getrandbits(63), ~x]) for x in base})
+    rows = [(k, k % 140, list(x)) for k, x in enumerate(sets)]
+    ranks = lines.ranked(spark.createDataFrame(rows, "line long, part long, x array<long>"))
+    got = {(r.a, r.b) for r in lines.candidates(ranks).collect()}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(3, 153) for b in range(a + 1, 153)}
+    assert {p for p, j in alike.items() if j >= 0.8 and p[0] % 140 != p[1] % 140} <= got
+    assert all(p[0] % 140 != p[1] % 140 for p in got)
+    # masks leave out what shares rare shingles only
+    assert all(alike[p] > 0.6 for p in got)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    kept = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    df = spark.createDataFrame([(1, 5), (1, 6), (2, 9), (9, 2)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(df, "a", "b", Scratch(spark, "t"), "c").collect()}
+    assert got == {1: 1, 5: 1, 6: 1, 2: 2, 9: 2} and kept == ["c0"]
