@@ -173,6 +173,24 @@ def test_lines_of_one_template_are_all_compared(spark, monkeypatch):
     assert all(want.get(n) == want.get(c) for n, c in got.items())
 
 
+def test_hubs_of_large_bands_are_compared_only_where_masks_allow_it(spark, monkeypatch):
+    rng = random.Random(15)
+    head = sentence(rng, 24)
+    texts = sorted({head + " " + sentence(rng, 12) for _ in range(150)})
+    ids = {np.uint64(xxhash.xxh64(x.encode(), seed=42).intdigest()).astype(np.int64).item(): line_shingles(x) for x in texts}
+    kept = {}
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.setdefault(name, keep(self, df, name)))
+    lines.line_classes(docs(spark, list(enumerate(texts))), Scratch(spark, "t"))
+    opened = kept["open"].where(F.col("many") > lines.SMALL).select("line").distinct().count()
+    large = {r.line for r in kept["open"].where(F.col("many") > lines.SMALL).collect()}
+    small = {tuple(r) for r in lines.small_pairs(kept["open"]).collect()}
+    met = {(r.a, r.b) for r in kept["compared_open"].collect()} - small
+    assert opened > 100 and met <= {(a, b) for a in large for b in large}
+    # a mask of 1,024 bits leaves no pair far below SIMILARITY
+    assert all(len(ids[a] & ids[b]) > 0.65 * len(ids[a] | ids[b]) for a, b in met), len(met)
+
+
 def removed_by_hand(rows):
     """Per row: the spans of bytes that a LENGTH-byte string starting earlier covers."""
     first = {}
